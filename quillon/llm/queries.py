@@ -30,5 +30,40 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(ids, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op8_byte_bpe)}
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quality import graded_documents
+
+    return graded_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.common import save
+    from quillon.llm.warc import mark_revisits, read_archives, write_archives
+
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("id"), F.col("url").alias("uri"), F.col("html").alias("payload"))
+    out = read_archives(save(write_archives(mark_revisits(pages)), "archives"), with_payload=False)
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.toxicity import scored_documents
+
+    return scored_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.common import documents
+    from quillon.llm.jpeg import store, tensors
+
+    docs = documents(_table(spark, sf_dir, "documents")).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    media = store(docs.withColumn("n_bytes", F.octet_length("content").cast("long")))
+    media = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    size = F.octet_length("payload")
+    feature = F.concat_ws(" ", F.concat_ws("x", "width", "height"), F.concat_ws(",", F.transform("means", lambda x: F.format_number(x, 4))))
+    return tensors(media, with_rgb=False).select(
+        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op4_dictionary_warc, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg)}
 SQL: dict[str, str] = {}
