@@ -18,6 +18,14 @@ def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.common import documents
+    from quillon.llm.suffix import cut_repeats
+
+    out = cut_repeats(documents(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,5 +73,5 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
 
 
-QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op4_dictionary_warc, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg)}
+QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op4_dictionary_warc, op5_run_length_dedup, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg)}
 SQL: dict[str, str] = {}
