@@ -44,6 +44,12 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.jaccard import components
+
+    return components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op4_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.common import save
     from quillon.llm.warc import mark_revisits, read_archives, write_archives
@@ -73,5 +79,5 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
 
 
-QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op4_dictionary_warc, op5_run_length_dedup, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg)}
+QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op3_signature_tree_join, op4_dictionary_warc, op5_run_length_dedup, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg)}
 SQL: dict[str, str] = {}
