@@ -26,6 +26,12 @@ def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.imatch import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,5 +85,5 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
 
 
-QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op3_signature_tree_join, op4_dictionary_warc, op5_run_length_dedup, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg)}
+QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op3_signature_tree_join, op4_dictionary_warc, op5_run_length_dedup, op6_imatch, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg)}
 SQL: dict[str, str] = {}
