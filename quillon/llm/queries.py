@@ -32,6 +32,12 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.license import document_licenses
+
+    return document_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,5 +91,5 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
 
 
-QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op3_signature_tree_join, op4_dictionary_warc, op5_run_length_dedup, op6_imatch, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg)}
+QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op3_signature_tree_join, op4_dictionary_warc, op5_run_length_dedup, op6_imatch, op7_license_paragraphs, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg)}
 SQL: dict[str, str] = {}
