@@ -1,8 +1,9 @@
 """Catalogue: queryables, descriptions, localised text, extents and operation names."""
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +35,6 @@ def queryables_table(spark: SparkSession, collections: dict[str, DataFrame]) ->
 
 def correct_queryables(docs: DataFrame, replacement: str, column: str = "body") -> DataFrame:
     """Documents whose ``components.schemas.queryables`` is replaced, where they have it; other documents stay as they are, byte by byte."""
-    import json
-
-    import pandas as pd
-
     new = json.loads(replacement)
 
     @F.pandas_udf(T.StringType())
@@ -84,5 +81,3 @@ def tool_names(operations: DataFrame) -> DataFrame:
 def tool_inventory(operations: DataFrame) -> DataFrame:
     return tool_names(operations).groupBy("tag").agg(F.count(F.lit(1)).alias("n_operations"), F.count_distinct("tool").alias("n_tools"))
 
-
-Process = Callable[[DataFrame], DataFrame]
