@@ -5,9 +5,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 DEFAULT_LIMIT, MAX_LIMIT = 20, 50
 
@@ -74,9 +75,11 @@ def equals(df: DataFrame, name: str, value, queryables: Sequence[str]) -> DataFr
 def predicate(df: DataFrame, text: str, queryables: Sequence[str]) -> DataFrame:
     """A boolean SQL expression over queryable columns: comparisons, and/or/not, null tests."""
     try:
-        df.select(*queryables).where(F.expr(text))
-    except AnalysisException as e:
+        kind = df.select(*queryables).select(F.expr(text)).schema[0].dataType
+    except (AnalysisException, ParseException) as e:
         raise ValueError(f"not a filter over the queryables: {text!r}") from e
+    if not isinstance(kind, BooleanType):
+        raise ValueError(f"not a condition: {text!r}")
     return df.where(F.expr(text))
 
 
