@@ -1,11 +1,13 @@
 """Repeated passages by a run-length suffix index.
 
 Every window of ``length`` bytes has an anchor, its least k-gram by hash, so equal windows have equal anchors at equal
-places. The windows of one anchor form a segment. Segments with equal bytes repeat as a whole and are settled by a count;
-different segments of one anchor may share some windows. Those are put into indexes of bounded size: the run-compressed
+places. The windows of one anchor, in one half of the possible places, form a segment; they have a core of bytes in
+common, and its hash is the segment's key. Segments with equal bytes repeat as a whole and are settled by a count;
+different segments of one key may share some windows. Those are put into indexes of bounded size: the run-compressed
 Burrows-Wheeler transform of the distinct segments, with suffix-array samples and common-prefix lengths at run ends only.
 Streaming over the text, the matching statistic of a position is the nearest sample before it less the distance, and
-windows whose statistic reaches ``length`` occur elsewhere.
+windows whose statistic reaches ``length`` occur elsewhere. Keys with more segments than an index holds are refined first:
+the range of places is halved, which lengthens the core, until the groups are small.
 """
 from __future__ import annotations
 
@@ -20,8 +22,8 @@ from pyspark.sql import types as T
 from quillon.llm.common import BROADCAST_IDS, save
 
 #: Bytes of the k-grams; bytes of text that one numpy step scans and that one index holds, except for a longer value.
-GRAM, STEP_BYTES, INDEX_BYTES = 16, 1_000_000, 600_000
-#: Distinct segments of one anchor above which its windows are counted one by one instead of being indexed together.
+GRAM, STEP_BYTES, INDEX_BYTES = 16, 700_000, 400_000
+#: Distinct segments of one key above which it is refined.
 MANY_SEGMENTS = 1500
 
 
@@ -36,7 +38,7 @@ def _words(data: np.ndarray) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int):
-    """``(text number, key, first window, number of windows)`` arrays of all segments of the texts."""
+    """``(text number, first window, number of windows, place of the anchor from the first window on)``, an anchor a row."""
     use = [i for i, t in enumerate(texts) if len(t) >= length]
     if not use:
         return (np.zeros(0, np.int64),) * 4
@@ -66,28 +68,50 @@ def segments(texts: list[bytes], length: int):
     edge = np.flatnonzero(fresh | ~valid)
     stop = np.append(edge, len(h))[np.searchsorted(edge, first, side="right")]
     which = np.searchsorted(start, first, side="right") - 1
-    return np.array(use)[which], h[anchor[first]].view(np.int64), first - start[which], stop - first
+    return np.array(use)[which], first - start[which], stop - first, anchor[first] - first
+
+
+def classes(first: np.ndarray, n: np.ndarray, place: np.ndarray, width: int):
+    """Cuts rows of windows so that their anchor's places lie in one class of ``width`` places: which row, and the new
+    first window, number of windows and place."""
+    low = place - n + 1
+    count = place // width - low // width + 1
+    row = np.repeat(np.arange(len(n)), count)
+    c = np.repeat(place // width, count) - (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+    top, bottom = np.minimum(place[row], (c + 1) * width - 1), np.maximum(low[row], c * width)
+    return row, first[row] + place[row] - top, top - bottom + 1, top
+
+
+def core(part: bytes, place: int, low: int, high: int, length: int) -> int:
+    """Key of a segment: hash of the bytes that every window with the anchor at a place from low to high (exclusive) has."""
+    return xxhash.xxh3_64_intdigest(part[place - low: place - high + 1 + length], low) - (1 << 63)
 
 
 def _scan(length: int):
-    """Rows ``(key, seg, h, starts, n_windows)``: one for each distinct segment of a text."""
-    names = ["key", "seg", "h", "starts", "n_windows"]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+    """Rows ``(key, seg, h, starts, n_windows, place)``: one for each distinct segment of a text."""
+    names = ["key", "seg", "h", "starts", "n_windows", "place"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+    width = max(1, length // 2)
 
     def run(batches):
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for hs, texts in _steps(zip(batch.column(0).to_pylist(), (x.as_py().encode() for x in batch.column(1)))):
                 rows: dict[tuple, list] = {}
-                for i, key, a, n in zip(*(x.tolist() for x in segments(texts, length))):
-                    seg = xxhash.xxh3_128_digest(texts[i][a: a + n - 1 + length])
-                    if (row := rows.get((i, key, seg))) is None:
-                        rows[i, key, seg] = [a], n
+                text, first, n, place = segments(texts, length)
+                row, first, n, place = classes(first, n, place, width)
+                for i, a, m, o in zip(text[row].tolist(), first.tolist(), n.tolist(), place.tolist()):
+                    part = texts[i][a: a + m - 1 + length]
+                    low = o // width * width
+                    k = i, core(part, o, low, low + width, length), digest(part, o), m, o
+                    if k in rows:
+                        rows[k].append(a)
                     else:
-                        row[0].append(a)
-                cols = [[k[1] for k in rows], [k[2] for k in rows], [hs[k[0]] for k in rows], [np.array(a, "<i4").tobytes() for a, _ in rows.values()], [n for _, n in rows.values()]]
+                        rows[k] = [a]
+                cols = [[k[1] for k in rows], [k[2] for k in rows], [hs[k[0]] for k in rows], [np.array(a, "<i4").tobytes() for a in rows.values()], [k[3] for k in rows], [k[4] for k in rows]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return run, "key long, seg binary, h binary, starts binary, n_windows int"
+    return run, "key long, seg binary, h binary, starts binary, n_windows int, place int"
 
 
 def _steps(rows):
@@ -172,10 +196,13 @@ def shared_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
     return [long[a: a + n - length] for a, n in zip(at, size)]
 
 
-def _spans(hit: np.ndarray) -> bytes:
-    """First and last place of each run of true values, as 32-bit numbers."""
+def _spans(hit: np.ndarray) -> list[dict]:
+    """First and last place of each run of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).reshape(-1, 2)
-    return (edge - (0, 1)).astype("<i4").tobytes()
+    return [{"lo": a, "hi": b - 1} for a, b in edge.tolist()]
+
+
+SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def _index(length: int):
@@ -185,7 +212,7 @@ def _index(length: int):
 
         def close():
             found = [(k, s, _spans(hit)) for (k, s, _), hit in zip(held, shared_windows([p for _, _, p in held], length)) if hit.any()]
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["key", "seg", "windows"])
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.binary(), SPANS))], ["key", "seg", "windows"])
 
         for batch in batches:
             for key, seg, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -197,19 +224,29 @@ def _index(length: int):
         if held:
             yield close()
 
-    return run, "key long, seg binary, windows binary"
+    return run, "key long, seg binary, windows array<struct<lo:int,hi:int>>"
 
 
-def _each_window(length: int):
-    """Digest of every window of a segment, for anchors with very many segments."""
+def _halved(length: int):
+    """Rows ``(origin, key, seg, part, place, low, high, at)`` with each range of places ``low`` to ``high`` cut into two. ``at`` is the first
+    window's number in the segment that ``origin`` names."""
+    names = ["origin", "key", "seg", "part", "place", "low", "high", "at"]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+
     def run(batches):
         for batch in batches:
-            for key, seg, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                p = part.as_py()
-                n = len(p) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(p[i: i + length]) for i in range(n)]), pa.array([key] * n, pa.int64()), pa.array([seg] * n, pa.binary()), pa.array(range(n), pa.int32())], ["digest", "key", "seg", "at"])
+            rows = []
+            for origin, part, place, low, high, at in zip(*(batch.column(n).to_pylist() for n in ("origin", "part", "place", "low", "high", "at"))):
+                n = len(part) - length + 1
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle, high)):
+                    top, bottom = min(place, b - 1), max(place - n + 1, a)
+                    if top >= bottom:
+                        piece = part[place - top: place - bottom + length]
+                        rows.append((origin, core(piece, top, a, b, length), xxhash.xxh3_128_digest(piece, top), piece, top, a, b, at + place - top))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return run, "digest binary, key long, seg binary, at int"
+    return run, "origin binary, key long, seg binary, part binary, place int, low int, high int, at int"
 
 
 # ---------------------------------------------------------------- the job
@@ -229,16 +266,57 @@ def _tagged(docs: DataFrame, length: int) -> DataFrame:
 
 def _cut(length: int):
     """Segments' bytes, from ``(text, want)`` with a list of wanted segments for each text."""
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    names = ["key", "seg", "part", "place", "n_segs"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
 
     def run(batches):
         for batch in batches:
             for text, want in zip(batch.column(0), batch.column(1)):
                 data = text.as_py().encode()
-                rows = [(w["key"], w["seg"], data[a: a + w["n_windows"] - 1 + length], w["n_segs"]) for w in want.as_py() if (a := int.from_bytes(w["starts"][:4], "little")) >= 0]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "seg", "part", "n_segs"])
+                rows = [(w["key"], w["seg"], data[a: a + w["n_windows"] - 1 + length], w["place"], w["n_segs"]) for w in want.as_py() for a in [int.from_bytes(w["starts"], "little")]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return run, "key long, seg binary, part binary, n_segs long"
+    return run, "key long, seg binary, part binary, place int, n_segs long"
+
+
+def _indexed(parts: DataFrame, length: int) -> DataFrame:
+    run, schema = _index(length)
+    return parts.select("key", "seg", "part").repartition("key").sortWithinPartitions("key", "seg").mapInArrow(run, schema)
+
+
+def _refined(parts: DataFrame, length: int) -> DataFrame | None:
+    """Marks ``(key, seg, windows)`` of segments whose key has too many for one index.
+
+    Each round halves the ranges of places: equal pieces are settled by a count, and groups that have become small are
+    indexed. Only rows of groups that are still large go on; at a range of one place all pieces of a group are equal.
+    """
+    width = max(1, length // 2)
+    low = (F.floor(F.col("place") / width) * width).cast("int")
+    rows = parts.where(F.col("n_segs") > MANY_SEGMENTS).select(F.struct("key", "seg").alias("origin"), "part", "place", low.alias("low"), (low + width).alias("high"), F.lit(0).alias("at"))
+    rows, marks = rows.withColumn("origin", F.concat(F.unhex(F.lpad(F.hex("origin.key"), 16, "0")), F.col("origin.seg"))), None
+    while not rows.isEmpty():
+        run, schema = _halved(length)
+        rows = save(rows.mapInArrow(run, schema), "halves")
+        distinct = rows.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"))
+        groups = save(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n_segs"), F.max("n").alias("most")).where("n_segs > 1 or most > 1"), "groups")
+        rows = save(rows.join(groups, "key").join(distinct.where("n > 1"), ["key", "seg"], "left"), "halves")
+        last = F.octet_length("part") - length + F.col("at")
+        whole = rows.where("n > 1").select("origin", F.array(F.struct(F.col("at").alias("lo"), last.cast("int").alias("hi"))).alias("spans"))
+        some = rows.where(F.col("n_segs").between(2, MANY_SEGMENTS)).dropDuplicates(["key", "seg"])
+        some = rows.select("key", "seg", "origin", "at").join(_indexed(some, length), ["key", "seg"])
+        some = some.select("origin", _pairs(F.col("windows"), F.col("at")).alias("spans"))
+        found = save(whole.union(some), "refined")
+        marks = found if marks is None else marks.union(found)
+        rows = rows.where(F.col("n_segs") > MANY_SEGMENTS).drop("n", "n_segs", "most")
+    if marks is None:
+        return None
+    key = F.conv(F.hex(F.substring(F.col("origin"), 1, 8)), 16, -10).cast("long")
+    return marks.select(key.alias("key"), F.substring(F.col("origin"), 9, 16).alias("seg"), F.explode("spans").alias("s")).groupBy("key", "seg").agg(F.collect_set("s").alias("places"))
+
+
+def _pairs(spans, shift):
+    """Spans moved by ``shift``."""
+    return F.transform(spans, lambda w: F.struct((w["lo"] + shift).alias("lo"), (w["hi"] + shift).alias("hi")))
 
 
 def _remove(length: int, at: int, names: list[str]):
@@ -249,11 +327,7 @@ def _remove(length: int, at: int, names: list[str]):
         edge = np.zeros(len(text) + 1, np.int32)
         for m in marks:
             starts = np.frombuffer(m["starts"], "<i4")
-            if m["places"] is not None:
-                pairs = np.repeat(np.array(m["places"]), 2).reshape(-1, 2)
-            else:
-                pairs = np.array([[0, m["n_windows"] - 1]]) if m["windows"] is None else np.frombuffer(m["windows"], "<i4").reshape(-1, 2)
-            for lo, hi in pairs:
+            for lo, hi in [(0, m["n_windows"] - 1)] if m["windows"] is None else [(w["lo"], w["hi"]) for w in m["windows"]]:
                 np.add.at(edge, starts + lo, 1)
                 np.add.at(edge, starts + hi + length, -1)
         gone = np.cumsum(edge[:-1]) > 0
@@ -288,9 +362,8 @@ def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     Rows that repeat an id count as rows of their own. Other columns pass through, and those four names are replaced.
 
     Copies are counted by digest (one row a text and task after the partial sum) and scanned once. What is shuffled: a
-    row of about 60 bytes for each segment (two in a window's length), texts with segments to compare, and texts that
-    are not wholly copies. Anchors with more than ``MANY_SEGMENTS`` different segments are settled by counting their
-    windows' digests, so nothing holds a group as a whole.
+    row of about 60 bytes for each segment (four in a window's length), texts with segments to compare, and texts that
+    are not wholly copies. Keys with more than ``MANY_SEGMENTS`` different segments are refined, so no group is held as a whole.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW])
     rows = _tagged(docs, length)
@@ -299,23 +372,18 @@ def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     run, schema = _scan(length)
     found = save(once.select("_h", "text").mapInArrow(run, schema), "segments")
 
-    distinct = found.groupBy("key", "seg").agg(F.sum((F.octet_length("starts") / 4).cast("long")).alias("n"), F.min(F.struct("h", "starts", "n_windows")).alias("at"))
+    distinct = found.groupBy("key", "seg").agg(F.sum((F.octet_length("starts") / 4).cast("long")).alias("n"), F.min(F.struct("h", F.substring("starts", 1, 4).alias("starts"), "n_windows", "place")).alias("at"))
     distinct = save(distinct.select("key", "seg", "n", "at.*"), "distinct")
     several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n_segs")).where("n_segs > 1")
-    wanted = distinct.join(several, "key").select(F.col("h").alias("_h"), F.struct("key", "seg", F.substring("starts", 1, 4).alias("starts"), "n_windows", "n_segs").alias("want"))
+    wanted = distinct.join(several, "key").select(F.col("h").alias("_h"), F.struct("key", "seg", "starts", "n_windows", "place", "n_segs").alias("want"))
     run, schema = _cut(length)
     parts = save(once.select("_h", "text").join(wanted.groupBy("_h").agg(F.collect_list("want").alias("want")), "_h").select("text", "want").mapInArrow(run, schema), "parts")
 
-    none = {"windows": F.lit(None).cast("binary"), "places": F.lit(None).cast("array<int>")}
-    run, schema = _index(length)
-    some = parts.where(F.col("n_segs") <= MANY_SEGMENTS).select("key", "seg", "part").repartition("key").sortWithinPartitions("key", "seg").mapInArrow(run, schema)
-    run, schema = _each_window(length)
-    each = save(parts.where(F.col("n_segs") > MANY_SEGMENTS).select("key", "seg", "part").mapInArrow(run, schema), "windows")
-    twice = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = each.join(twice, "digest", "left_semi").groupBy("key", "seg").agg(F.collect_list("at").alias("places"))
-    marks = distinct.where("n > 1").select("key", "seg").withColumns(none)
-    marks = marks.unionByName(some.withColumn("places", none["places"])).unionByName(hot.withColumn("windows", none["windows"]))
-    marked = found.join(marks, ["key", "seg"]).select(F.col("h").alias("_h"), F.struct("starts", "n_windows", "windows", "places").alias("mark"))
+    marks = distinct.where("n > 1").select("key", "seg", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("windows"))
+    marks = marks.union(_indexed(parts.where(F.col("n_segs") <= MANY_SEGMENTS), length))
+    if (refined := _refined(parts, length)) is not None:
+        marks = marks.union(refined)
+    marked = found.join(marks, ["key", "seg"]).select(F.col("h").alias("_h"), F.struct("starts", "n_windows", "windows").alias("mark"))
     marked = save(marked.groupBy("_h").agg(F.collect_list("mark").alias("_marks")), "marked")
 
     size = F.octet_length("text").cast("long")
