@@ -213,13 +213,14 @@ def labelled(spark):
     return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
 
 
-HELD = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+def held():
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
 def test_quality_held_out(labelled):
     docs, labels = labelled
-    model = quality.fit(docs, labels, max_rows=1500, where=~HELD)
-    out = quality.grade(docs.join(labels, "doc_id").where(HELD), model).select("quality", "keep", "tail_probability", "expected_grade").toPandas()
+    model = quality.fit(docs, labels, max_rows=1500, where=~held())
+    out = quality.grade(docs.join(labels, "doc_id").where(held()), model).select("quality", "keep", "tail_probability", "expected_grade").toPandas()
     assert (out.keep == (out.quality == 1)).mean() > 0.97
     assert np.allclose(out.expected_grade, out.tail_probability)
 
@@ -276,8 +277,8 @@ def test_windows_cover():
 
 def test_toxicity_held_out(labelled, spark):
     docs, labels = labelled
-    net = toxicity.fit(docs, labels, where=~HELD)
-    out = toxicity.score(docs.join(labels, "doc_id").where(HELD), net).select("toxic", "predicted", "score").toPandas()
+    net = toxicity.fit(docs, labels, where=~held())
+    out = toxicity.score(docs.join(labels, "doc_id").where(held()), net).select("toxic", "predicted", "score").toPandas()
     rank, bad = out.score.rank(), out.toxic == 1
     auc = (rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum())
     assert auc > 0.93 and out.predicted[bad].mean() > 0.75 and out.predicted[~bad].mean() < 0.06
