@@ -32,7 +32,7 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
 class PerfectHash:
     """Minimal perfect hash: keys fall into buckets, and each bucket has a displacement that sends its keys to free slots."""
 
-    def __init__(self, keys: list[bytes], load: int = 4):
+    def __init__(self, keys: list[bytes], load: int = 2):
         self.n = n = max(1, len(keys))
         self.buckets = m = max(1, n // load)
         groups: list[list[tuple[int, int]]] = [[] for _ in range(m)]
