@@ -21,7 +21,7 @@ SUBSETS = SUBSETS_EACH * len(ONE_IN)
 #: The lexicon is broadcast up to so many terms (about 60 bytes each), and joined by shuffle beyond.
 BROADCAST_TERMS = 400_000
 #: Documents with neighbouring ids that are ordered together.
-BUCKET = 4096
+BUCKET = 1024
 
 
 def terms(text: str) -> str:
@@ -69,9 +69,10 @@ def likeness(a: str, b: str, a_hash: str, b_hash: str):
 
 def _next_first(heads: DataFrame) -> DataFrame:
     """For each bucket the ``head`` of the next lower bucket with rows; for the lowest, of the highest."""
-    every = Window.orderBy(F.col("bucket").desc())  # one row for each BUCKET documents
-    first = F.first("head").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return heads.select("bucket", F.coalesce(F.lead("head").over(every), first).alias("_after"))
+    every = Window.orderBy(F.col("bucket").desc())  # numbers alone: one for each BUCKET documents
+    first = F.first("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    following = heads.select("bucket", F.coalesce(F.lead("bucket").over(every), first).alias("_at"))
+    return following.join(heads.select(F.col("bucket").alias("_at"), F.col("head").alias("_after")), "_at").select("bucket", "_after")
 
 
 def edited_fingerprints(docs: DataFrame, min_idf: float = math.log(50), max_idf: float = math.log(1000)) -> DataFrame:
