@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, only_ids, save
+from quillon.llm.common import BROADCAST_IDS, connected_components, only_ids, save
 
 #: Words whose hashes a worker remembers; keys that are combined before they leave a task.
 CACHE_WORDS, COMBINE_KEYS = 1_000_000, 2_000_000
@@ -357,10 +357,12 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     def hashes(batches):
         shingle = Shingler(k)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(x.as_py() or "").tobytes() for x in batch.column(1)], pa.binary())], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingle(x.as_py() or "").tobytes() for x in batch.column(3)], pa.binary())], ["doc_id", "block", "chunks", "hashes"])
 
-    sets = only_ids(texts, blocks, "doc_id").mapInArrow(hashes, "doc_id long, hashes binary").where(F.octet_length("hashes") > 0)
-    members = save(sets.join(blocks, "doc_id").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))), "members")
+    # block numbers go to the texts where their count allows it, so that texts and hashes are not shuffled for this join
+    side = F.broadcast(blocks) if blocks.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2 else blocks
+    sets = texts.join(side, "doc_id").select("doc_id", "block", "chunks", "text").mapInArrow(hashes, "doc_id long, block long, chunks long, hashes binary").where(F.octet_length("hashes") > 0)
+    members = save(sets.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))), "members")
     heads = members.where("chunks > 1 and doc_id = block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     chunked = members.unionByName(heads).select("block", "chunk", "doc_id", "hashes")
     near = save(chunked.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(_within(num, den), "a long, b long"), "links")

@@ -199,7 +199,7 @@ def test_licenses(spark):
     docs = spark.read.parquet(path)
     model = license.fit(docs)
     found = license.scan(docs, model).where("confirmed").collect()
-    marked = docs.select(F.explode(F.split("text", "\n")).alias("l")).where("l RLIKE '(?i)(licen[sc]ed? |rights reserved)'").count()
+    marked = docs.select(F.explode(F.split("text", "\n")).alias("l")).where("l RLIKE '(?i)(licen[sc]e|rights reserved)'").count()
     assert len(found) == marked > 10
     rows = [(1, "Text.\nReleased under the MIT License."), (1, None), (None, "All rights reserved."), (2, ""), (3, "nothing of the sort here, only prose about licences"), (4, "x " * 50000 + "\nLicensed under the Apache License, Version 2.0.")]
     out = license.document_licenses(spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, words string"), model).collect()
