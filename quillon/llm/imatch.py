@@ -1,8 +1,11 @@
 """Document fingerprints by I-Match, in DataFrame functions only.
 
-The terms of a document whose inverse document frequency lies in a band are made distinct and sorted, and hashed once as a
-whole and once for each of several randomised lexicon subsets. Subsets come in sizes from an eighth of the lexicon down to a
-five-hundredth, so that short and long documents both have subsets that hold a few of their terms.
+The distinct terms of a document whose inverse document frequency lies in a band are hashed once as a whole and once for each
+of several randomised lexicon subsets. Subsets come in sizes from an eighth of the lexicon down to a five-hundredth, so that
+short and long documents both have subsets that hold a few of their terms.
+
+The same numbers are made of all distinct terms of a document. They count where the band says little: where a group of near
+copies is so large that its own terms leave the band, and in tables so small that the band is empty.
 """
 from __future__ import annotations
 
@@ -22,6 +25,8 @@ SUBSETS = SUBSETS_EACH * len(ONE_IN)
 BROADCAST_TERMS = 400_000
 #: Documents with neighbouring ids that are ordered together.
 BUCKET = 1024
+#: A document has few band terms if they are fewer than so many, or less than one in so many of its distinct terms.
+FEW, FEW_ONE_IN = 3, 5
 
 
 def terms(text: str) -> str:
@@ -29,6 +34,17 @@ def terms(text: str) -> str:
     return rf"filter(array_distinct(split(lower({text}), '{SEPARATOR.replace(chr(92), chr(92) * 2)}')), t -> t <> '')"
 
 
+def subsets(term: str) -> str:
+    """SQL of a term's mask: bit i is set if subset i holds the term. Each 64-bit hash is cut into as many subsets as it has bits for."""
+    bits, n, at = [], 0, 64
+    for i in range(SUBSETS):
+        width = ONE_IN[i // SUBSETS_EACH].bit_length() - 1
+        n, at = (n, at) if at + width <= 64 else (n + 1, 0)
+        bits.append(f"if((shiftrightunsigned(xxhash64({term}, {n}), {at}) & {(1 << width) - 1}) = 0, {1 << i}L, 0L)")
+        at += width
+    return " | ".join(bits)
+
+
 def lexicon(docs: DataFrame, text: str = "text", min_idf: float = math.log(50), max_idf: float = math.log(1000)) -> DataFrame:
     """``(term, mask)`` of terms with ``min_idf <= ln(documents / frequency) <= max_idf`` that more than one document has.
 
@@ -38,33 +54,44 @@ def lexicon(docs: DataFrame, text: str = "text", min_idf: float = math.log(50),
     n = docs.count()
     counted = docs.select(F.explode(F.expr(terms(f"`{text}`"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     band = counted.where((F.col("df") > 1) & (F.col("df") >= math.ceil(n * math.exp(-max_idf))) & (F.col("df") <= math.floor(n * math.exp(-min_idf)))).select("term")
-    bits = [f"if(pmod(xxhash64(term, {i}), {ONE_IN[i // SUBSETS_EACH]}) = 0, {1 << i}L, 0L)" for i in range(SUBSETS)]
-    return band.withColumn("mask", F.expr(" + ".join(bits)))
+    return band.withColumn("mask", F.expr(subsets("term")))
 
 
 def fingerprints(df: DataFrame, key: list[str], text: str, words: DataFrame) -> DataFrame:
-    """``key`` and ``prints`` for each row with terms of the lexicon: an array of 32-bit numbers, that of all its band
-    terms first, then that of each subset, null where a subset has none of them. Keys are unique.
+    """``key``, ``prints`` and ``every`` for each row with terms. Both are arrays of 32-bit numbers, from -2**31 on: that of all terms of a
+    set first, then that of each subset, null where a subset has none of them. The set is that of the band terms for
+    ``prints``, which is null for rows with few of them, and that of all distinct terms for ``every``. Keys are unique.
 
-    If ``df`` is partitioned by some of the keys, nothing but the lexicon moves.
+    A number is the exclusive or of its terms' hashes, so terms are neither gathered nor sorted. If ``df`` is partitioned by
+    some of the keys, nothing but the lexicon moves.
     """
-    found = df.select(*key, F.explode(F.expr(terms(f"`{text}`"))).alias("term")).join(words, "term")
-    sets = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("term", "mask"))).alias("terms"))
-    parts = f"transform(sequence(0, {SUBSETS - 1}), i -> filter(terms, t -> (t.mask & shiftleft(1L, i)) <> 0))"
-    number = "if(size(s) = 0, null, xxhash64(transform(s, t -> t.term)) & 4294967295)"
-    return sets.select(*key, F.expr(f"transform(concat(array(terms), {parts}), s -> {number})").alias("prints"))
+    found = df.select(*key, F.explode(F.expr(terms(f"`{text}`"))).alias("term")).join(words.select("term", F.col("mask").alias("band")), "term", "left")
+    found = found.select(*key, F.xxhash64("term").alias("h"), F.expr(subsets("term")).alias("mask"), "band")
+    number = lambda i, mask: F.expr(f"bit_xor(if(({mask} & {1 << i}L) <> 0, h, null))")
+    sets = found.groupBy(*key).agg(
+        F.count("band").alias("n_band"), F.count("h").alias("n_terms"), F.expr("bit_xor(if(band is null, null, h))").alias("b"), F.expr("bit_xor(h)").alias("e"),
+        *[number(i, "band").alias(f"b{i}") for i in range(SUBSETS)], *[number(i, "mask").alias(f"e{i}") for i in range(SUBSETS)])
+    whole = lambda c: f"array({', '.join(f'cast(({x} & 4294967295) - 2147483648 as int)' for x in [c, *[f'{c}{i}' for i in range(SUBSETS)]])})"
+    return sets.select(*key, F.expr(f"if(n_band < {FEW} or n_band * {FEW_ONE_IN} < n_terms, null, {whole('b')})").alias("prints"), F.expr(whole("e")).alias("every"))
+
 
+def printed(prints: str, every: str, text_hash: str):
+    """The fingerprint as text: the numbers of the band terms, all ``-`` where these are few, a bar, and those of all terms. Without
+    terms it is the text's own hash, so that only equal texts agree."""
+    words = lambda c: f"array_join(transform({c}, x -> if(x is null, '-', lower(hex(x + 2147483648L)))), ' ')"
+    none = "'" + " ".join("-" * (SUBSETS + 1)) + "'"
+    return F.expr(f"if({every} is null, concat('text:', lower(hex({text_hash}))), concat(coalesce({words(prints)}, {none}), ' | ', {words(every)}))")
 
-def printed(prints: str, text_hash: str):
-    """The fingerprint as text. Without band terms it is the text's own hash, so that only equal texts agree."""
-    return F.expr(f"if({prints} is null, concat('text:', lower(hex({text_hash}))), array_join(transform({prints}, x -> if(x is null, '-', lower(hex(x)))), ' '))")
 
+def likeness(a: str, b: str, a_every: str, b_every: str, a_hash: str, b_hash: str):
+    """Share of equal numbers among those that either of two fingerprints has: of the band terms if both texts have enough of them,
+    else of all terms; without terms: whether the texts are equal."""
+    def share(x: str, y: str) -> str:
+        either = f"size(filter(zip_with({x}, {y}, (x, y) -> x is not null or y is not null), z -> z))"
+        return f"cast(size(filter(zip_with({x}, {y}, (x, y) -> coalesce(x = y, false)), z -> z)) as double) / {either}"
 
-def likeness(a: str, b: str, a_hash: str, b_hash: str):
-    """Share of equal numbers among those that either of two fingerprints has; without numbers: whether the texts are equal."""
-    either = f"size(filter(zip_with({a}, {b}, (x, y) -> x is not null or y is not null), z -> z))"
-    same = f"size(filter(zip_with({a}, {b}, (x, y) -> coalesce(x = y, false)), z -> z))"
-    return F.expr(f"case when {a} is null and {b} is null then if({a_hash} = {b_hash}, 1.0D, 0.0D) when {a} is null or {b} is null then 0.0D else cast({same} as double) / {either} end")
+    return F.expr(f"case when {a_every} is null and {b_every} is null then if({a_hash} = {b_hash}, 1.0D, 0.0D) when {a_every} is null or {b_every} is null then 0.0D "
+                  f"when {a} is null or {b} is null then {share(a_every, b_every)} else {share(a, b)} end")
 
 
 def _next_first(heads: DataFrame) -> DataFrame:
@@ -80,8 +107,8 @@ def edited_fingerprints(docs: DataFrame, min_idf: float = math.log(50), max_idf:
 
     The edited text has the last half of the characters, rounded down, replaced by as many first characters of the next
     document in descending order of ``doc_id``; after the last comes the first. Null texts are empty. Rows that repeat an id
-    follow each other by text, and rows without an id come last. A single row is its own next. Empty texts, and texts
-    without band terms, have their text's hash for a fingerprint. An empty table gives an empty result.
+    follow each other by text, and rows without an id come last. A single row is its own next. Texts with few
+    band terms are compared by all their terms, and texts without terms have their text's hash for a fingerprint. An empty table gives an empty result.
 
     Texts are shuffled once, by ranges of ids, and everything up to the fingerprints happens there; a neighbour across ranges
     comes from a table with one row a range.
@@ -100,13 +127,16 @@ def edited_fingerprints(docs: DataFrame, min_idf: float = math.log(50), max_idf:
 
     versions = pair.select("bucket", "rn", F.explode(F.array(F.struct(F.lit(0).alias("version"), "text"), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text")))).alias("v"))
     found = fingerprints(versions.select("bucket", "rn", "v.*"), ["bucket", "rn", "version"], "text", words)
-    of = lambda v: F.first(F.when(F.col("version") == v, F.col("prints")), ignorenulls=True)
-    found = found.groupBy("bucket", "rn").agg(of(0).alias("prints"), of(1).alias("edited_prints"))
-    facts = pair.select("bucket", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("hash"), F.xxhash64("edited").alias("edited_hash"))
+    of = lambda v: F.first(F.when(F.col("version") == v, F.struct("prints", "every")), ignorenulls=True)
+    found = found.groupBy("bucket", "rn").agg(of(0).alias("own"), of(1).alias("edit"))
+    found = found.select("bucket", "rn", *[F.col(f"{v}.{c}").alias(f"{v}_{c}") for v in ("own", "edit") for c in ("prints", "every")])
+    facts = pair.select("bucket", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("own_hash"), F.xxhash64("edited").alias("edit_hash"))
     done = save(facts.join(found, ["bucket", "rn"], "left"), "prints")
 
-    heads = _next_first(done.where("rn = 1").select("bucket", F.struct("prints", "hash").alias("head")))
-    after = F.coalesce(F.lead(F.struct("prints", "hash")).over(Window.partitionBy("bucket").orderBy("rn")), F.col("_after"))
-    out = done.join(heads, "bucket").withColumn("_n", after).withColumns({"_next_prints": F.col("_n.prints"), "_next_hash": F.col("_n.hash")})
-    return out.select("doc_id", "n_chars", "edited_sha256", printed("prints", "hash").alias("fingerprint"), printed("edited_prints", "edited_hash").alias("edited_fingerprint"),
-                      likeness("prints", "edited_prints", "hash", "edited_hash").alias("near_edited"), likeness("prints", "_next_prints", "hash", "_next_hash").alias("near_next"))
+    whole = F.struct("own_prints", "own_every", "own_hash")
+    heads = _next_first(done.where("rn = 1").select("bucket", whole.alias("head")))
+    after = F.coalesce(F.lead(whole).over(Window.partitionBy("bucket").orderBy("rn")), F.col("_after"))
+    out = done.join(heads, "bucket").withColumn("_n", after).withColumns({f"next_{c}": F.col(f"_n.own_{c}") for c in ("prints", "every", "hash")})
+    like = lambda v: likeness(*[f"{x}_{c}" for c in ("prints", "every", "hash") for x in ("own", v)])
+    return out.select("doc_id", "n_chars", "edited_sha256", printed("own_prints", "own_every", "own_hash").alias("fingerprint"), printed("edit_prints", "edit_every", "edit_hash").alias("edited_fingerprint"),
+                      like("edit").alias("near_edited"), like("next").alias("near_next"))

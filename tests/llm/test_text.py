@@ -144,3 +144,23 @@ def test_edited_edge_rows(spark):
     assert imatch.edited_fingerprints(df.limit(0)).count() == 0
     one = imatch.edited_fingerprints(df.where("doc_id = 1000000")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"far awafar aw").hexdigest()
+
+
+def _near_group(spark, n, group):
+    """``group`` copies of one text with 2% of the words changed in each, side by side, among texts of other words."""
+    import random
+
+    r = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = r.sample(vocabulary, 150)
+    texts = [" ".join(r.choice(vocabulary) if r.random() < 0.02 else w for w in base) if i < group else " ".join(r.choices(vocabulary, k=150)) for i in range(n)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("n, group", [(900, 300), (60, 20), (900, 9)])
+def test_near_copies_agree_in_groups_of_any_size(spark, n, group):
+    rows = {r.doc_id: r for r in imatch.edited_fingerprints(_near_group(spark, n, group)).collect()}
+    inside = [rows[i].near_next for i in range(1, group)]
+    outside = [rows[i].near_next for i in range(group + 1, n)]
+    assert sum(inside) / len(inside) > 0.4 and min(inside) > 0.1
+    assert sum(outside) / len(outside) < 0.1
