@@ -621,9 +621,22 @@ def r1_stream_decisions(spark, d):
     return streams.run_once(stream, rule, "decisions")
 
 
-@query("SELECT DISTINCT user_id AS url_id FROM events")
-def r2_stream_fetches(spark, d):
+def _stream_fetches(spark, d):
     path = shared_path(spark, "accesses")
-    df = table(spark, d, "events").selectExpr("user_id AS url_id", "CAST(ts AS TIMESTAMP) AS ts")
+    df = view(spark, d, "accesses").select("url_id", "t")
     df.write.parquet(path)
-    return streams.run_once(streams.read_parquet_stream(df, path), lambda s: streams.first_per_ttl(s, "url_id"), "fetches").select("url_id").distinct()
+    return streams.run_once(streams.read_parquet_stream(df, path), lambda s: streams.first_per_ttl(s, "url_id"), "fetches")
+
+
+@query("SELECT DISTINCT user_id AS url_id FROM events")
+def r2_stream_fetches(spark, d):
+    return _stream_fetches(spark, d).select("url_id").distinct()
+
+
+@query()
+def r2_stream_fetch_counts(spark, d):
+    """The fetches of the stream for each URL, with the SQL of the replay."""
+    return _stream_fetches(spark, d).groupBy("url_id").agg(F.count(F.lit(1)).alias("n_fetches"))
+
+
+SQL["r2_stream_fetch_counts"] = SQL["g11_replay"]

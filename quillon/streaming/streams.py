@@ -3,9 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from quillon.operators.docgraph import DAY
 from quillon.sources.scratch import shared_path
 
 
@@ -29,9 +34,26 @@ def run_once(stream: DataFrame, rule: Callable[[DataFrame], DataFrame], name: st
     return spark.read.schema(changed.schema).parquet(out)
 
 
-def first_per_ttl(stream: DataFrame, key: str, time: str = "ts", ttl: str = "1 day") -> DataFrame:
-    """The first access of each key passes and repeats inside the time to live are dropped.
+def first_per_ttl(stream: DataFrame, key: str, seconds: str = "t", ttl: float = DAY) -> DataFrame:
+    """``(key, seconds)`` of every fetch: the first access of each key, and then the first one more than a time to live after the last fetch.
 
-    Approximate against ``docgraph.replay``: state leaves with the watermark, not exactly a time to live after the first access.
+    The last fetch of each key is kept in Spark's state. Accesses of one batch are put in order by time, so where batches follow each other in
+    time, the fetches are those of ``docgraph.replay`` however files fall into batches; an access older than the last fetch is a hit. Of
+    a key's accesses in one batch only the times are held. Rows without a time are no accesses.
     """
-    return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
+    own = stream.select(key, seconds).where(F.col(seconds).isNotNull())
+
+    def run(of, frames, state):
+        times = np.sort(np.concatenate([f[seconds].to_numpy() for f in frames]))
+        last, found = state.get[0] if state.exists else None, []
+        at = 0 if last is None else int(np.searchsorted(times, last + ttl, side="right"))
+        while at < len(times):
+            last = times[at].item()
+            found.append(at)
+            at = int(np.searchsorted(times, last + ttl, side="right"))
+        if found:
+            state.update((last,))
+        yield pd.DataFrame({key: pd.Series([of[0]] * len(found), dtype=object), seconds: times[found]})
+
+    kind = T.StructType([T.StructField("last", own.schema[seconds].dataType)])
+    return own.groupBy(key).applyInPandasWithState(run, own.schema, kind, "append", "NoTimeout")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillon.operators import access as a
 from quillon.operators import docgraph as g
 from quillon.sources import readers, sinks
+from quillon.streaming import streams
 
 
 def test_references(spark):
@@ -57,6 +58,18 @@ def test_replay_restarts_on_fetches_only(spark):
     assert hits == {("a", 0), ("a", 101), ("a", 202), ("b", 5)}
 
 
+def test_stream_fetches_like_replay_for_any_batches(spark, tmp_path):
+    random.seed(2)
+    rows = sorted(((random.choice("abc"), random.randrange(1000)) for _ in range(200)), key=lambda r: r[1])
+    df = spark.createDataFrame(rows, "k string, t long")
+    expected = sorted((r.k, r.t) for r in g.replay(df, "k", "t", 100).where("fetched").collect())
+    for name, cuts in (("one", [0, 1000]), ("three", [0, 310, 620, 1000])):
+        for low, high in zip(cuts, cuts[1:]):
+            df.where(f"t >= {low} and t < {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        out = streams.run_once(streams.read_parquet_stream(df, str(tmp_path / name), 1), lambda s: streams.first_per_ttl(s, "k", "t", 100), name)
+        assert sorted((r.k, r.t) for r in out.collect()) == expected
+
+
 def test_fresh_and_newest(spark):
     df = spark.createDataFrame([("u", 1.0, "old"), ("u", 5.0, "new"), ("v", None, "x")], "url string, timestamp double, document string")
     assert [(r.url, r.document) for r in g.newest(df.where("url = 'u'")).collect()] == [("u", "new")]
