@@ -140,53 +140,89 @@ def reach(pairs: DataFrame) -> DataFrame:
     return closure(pairs).groupBy("src").agg(F.count(F.lit(1)).alias("n_reached"), F.bool_or(F.col("src") == F.col("dst")).alias("in_cycle"))
 
 
-def inline(docs: DataFrame, max_depth: int = 20) -> DataFrame:
-    """Documents ``(url, body)`` with ``resolved``: sole-key references replaced by what they point to, at any depth.
+def _target(base: str | None, ref: str) -> str:
+    """URL and fragment that a reference points to, as ``url#fragment``."""
+    where, _, fragment = urljoin(base or "", ref).partition("#")
+    return f"{where}#{fragment}"
 
-    The documents that each one reaches are joined to it, then rebuilt document by document. Local references stay; a reference
-    back to a document and fragment that is being resolved, a missing document or a missing key stays too, and is listed in ``unresolved``.
-    """
-    found = edges(docs).where("sole_key and not startswith(ref, '#')").withColumn("_r", resolve("src_url", "ref")).where("_r.url is not null")
-    links = found.select(F.col("src_url").alias("src"), F.substring_index("_r.url", "#", 1).alias("dst")).distinct()
-    needs = closure(links).join(docs.select(F.col("url").alias("dst"), F.col("body").alias("_b")), "dst")
-    bundle = needs.groupBy(F.col("src").alias("url")).agg(F.map_from_entries(F.collect_list(F.struct("dst", "_b"))).alias("_docs"))  # as large as the result of inlining
-    kind = T.StructType([T.StructField("resolved", T.StringType()), T.StructField("unresolved", T.ArrayType(T.StringType()))])
-
-    @F.pandas_udf(kind)
-    def build(urls: pd.Series, bodies: pd.Series, others: pd.Series) -> pd.DataFrame:
-        def one(url, body, more):
-            texts, failed = dict(more or {}), []
-            texts.setdefault(url, body)
-            parsed: dict = {}
-
-            def go(x, base, open_refs):
-                if isinstance(x, list):
-                    return [go(v, base, open_refs) for v in x]
-                if not isinstance(x, dict):
-                    return x
-                ref = x.get("$ref")
-                if len(x) != 1 or not isinstance(ref, str) or ref.startswith("#"):
-                    return {k: go(v, base, open_refs) for k, v in x.items()}
-                where, _, fragment = urljoin(base, ref).partition("#")
-                try:
-                    if (where, fragment) in open_refs or len(open_refs) >= max_depth:
-                        raise KeyError(ref)
-                    y = parsed.setdefault(where, json.loads(texts[where]))
-                    for key in filter(None, fragment.split("/")):
-                        y = y[key] if isinstance(y, dict) else {}[key]
-                except (KeyError, TypeError, ValueError):
-                    failed.append(ref)
-                    return x
-                return go(y, where, open_refs | {(where, fragment)})
 
+def _targets(url: str, body: str) -> Column:
+    """``array<struct<key, ref>>`` of the references that inlining replaces, in the order of the text."""
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("ref", T.StringType())])))
+    def find(urls: pd.Series, bodies: pd.Series) -> pd.Series:
+        def one(u, text):
             try:
-                return json.dumps(go(json.loads(body), url, frozenset()), separators=(",", ":")), failed
+                return [{"key": _target(u, r), "ref": r} for r, sole in walk(json.loads(text)) if sole and not r.startswith("#")]
+            except (TypeError, ValueError):
+                return []
+
+        return pd.Series([one(*x) for x in zip(urls, bodies)], dtype=object)
+
+    return find(url, body)
+
+
+def _filled(url: str, body: str, parts: str) -> Column:
+    """``struct<resolved, unresolved>``: a body with its references replaced by ``parts``, resolved targets; the others are listed."""
+    @F.pandas_udf(T.StructType([T.StructField("resolved", T.StringType()), T.StructField("unresolved", T.ArrayType(T.StringType()))]))
+    def fill(urls: pd.Series, bodies: pd.Series, found: pd.Series) -> pd.DataFrame:
+        def one(u, text, rows):
+            try:
+                top = [json.loads(text)]
             except (TypeError, ValueError):
                 return None, ["not JSON"]
+            texts, failed = {x["key"]: x for x in (rows if rows is not None else ())}, []
+            todo = [(top, 0)]
+            while todo:
+                box, at = todo.pop()
+                x = box[at]
+                ref = x.get("$ref") if isinstance(x, dict) and len(x) == 1 else None
+                if isinstance(ref, str) and not ref.startswith("#"):
+                    y = texts.get(_target(u, ref))
+                    if y is not None:
+                        box[at] = json.loads(y["resolved"])
+                    failed.extend([ref] if y is None else y["unresolved"])
+                elif isinstance(x, (dict, list)):
+                    todo.extend((x, k) for k in reversed(x if isinstance(x, dict) else range(len(x))))
+            return json.dumps(top[0], separators=(",", ":")), failed
+
+        return pd.DataFrame([one(*x) for x in zip(urls, bodies, found)], columns=["resolved", "unresolved"])
+
+    return fill(url, body, parts)
+
+
+def inline(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Documents ``(url, body)`` with ``resolved``: sole-key references replaced by what they point to, at any depth.
 
-        return pd.DataFrame([one(*r) for r in zip(urls, bodies, others)], columns=["resolved", "unresolved"])
+    Local references stay; a reference back to a document and fragment that is being resolved, a missing document or a missing key stays
+    too, and is listed in ``unresolved``. With ``max_depth``, so are references nested deeper.
 
-    return docs.join(bundle, "url", "left").withColumn("_x", build("url", "body", "_docs")).select("url", "body", "_x.resolved", "_x.unresolved")
+    Works by rounds, each written to the shared folder. Going down, a row is one fragment in one place of one document, with the fragments open
+    there, and is joined with those it points to, until there are none. Going up, each row is filled with its own resolved targets. A row
+    never holds more than a fragment, or its own part of the result.
+    """
+    own = materialise(docs.select("url", "body").withColumn("id", F.monotonically_increasing_id().cast("string")), "inline")
+    level = materialise(own.withColumn("refs", _targets("url", "body")).withColumn("open", F.array().cast("array<string>")), "inline")
+    wanted = level.select(F.explode("refs.key").alias("key")).distinct().withColumns({"url": F.substring_index("key", "#", 1), "fragment": F.expr("substring(key, instr(key, '#') + 1)")})
+    bodies = own.groupBy("url").agg(F.max("body").alias("_b"))
+    pieces = wanted.join(bodies, "url").withColumn("body", pointer("_b", "fragment")["value"]).where("body is not null")
+    pieces = materialise(pieces.select("key", "url", "body").withColumn("refs", _targets("url", "body")), "inline-pieces")
+
+    levels = [level]
+    while max_depth is None or len(levels) <= max_depth:
+        below = level.select(F.col("id").alias("parent"), "open", F.explode(F.array_distinct("refs.key")).alias("key")).where("not array_contains(open, key)").join(pieces, "key")
+        level = materialise(below.select(F.sha2(F.concat_ws(" ", "parent", "key"), 256).alias("id"), "parent", "key", "url", "body", "refs", F.array_append("open", F.col("key")).alias("open")), "inline-level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    parts = None
+    for level in reversed(levels):
+        if parts is not None:
+            level = level.join(parts.groupBy(F.col("parent").alias("id")).agg(F.collect_list(F.struct("key", "resolved", "unresolved")).alias("parts")), "id", "left")
+        else:
+            level = level.withColumn("parts", F.lit(None).cast("array<struct<key:string,resolved:string,unresolved:array<string>>>"))
+        names = [c for c in ("parent", "key") if c in level.columns] or ["url", "body"]
+        parts = materialise(level.withColumn("_x", _filled("url", "body", "parts")).select(*names, "_x.resolved", "_x.unresolved"), "inline-filled")
+    return parts
 
 
 def replay(accesses: DataFrame, key: str, seconds: str, ttl: float = DAY) -> DataFrame:

@@ -369,9 +369,10 @@ def g8_closure(spark, d):
 
 @query()
 def g8_inline(spark, d):
-    """Every specification with its references replaced; tests compare it with resolving one by one."""
+    """Every specification with its references replaced; tests compare it with resolving one by one. Every other one refers to a fragment that holds a reference."""
     docs = view(spark, d, "specs")
-    own = docs.select(F.concat(F.lit("https://h"), (F.col("p_partkey") % 3).cast("string"), F.lit(".example.com/d/"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("url"), "body")
+    own = docs.select(F.concat(F.lit("https://h"), (F.col("p_partkey") % 3).cast("string"), F.lit(".example.com/d/"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("url"),
+                      F.when(F.col("p_partkey") % 2 == 0, F.replace("body", F.lit("#/c/x"), F.lit("#/a"))).otherwise(F.col("body")).alias("body"))
     return g.inline(own).select("url", "resolved", F.size("unresolved").alias("n_unresolved"))
 
 

@@ -52,6 +52,32 @@ def test_inline(spark):
     assert out["http://h/a"].unresolved == ["a#/none"] and out["http://h/d"].unresolved == ["d"] and out["http://h/e"].unresolved == ["not JSON"]
 
 
+def test_inline_deep_chains_and_cycles(spark):
+    n = 24
+    docs = {f"http://h/{i}": {"p": {"v": i, "n": {"$ref": f"{i + 1}#/p"}} if i < n else i} for i in range(n + 1)}
+    docs |= {"http://h/a": {"p": [{"$ref": "b#/p"}, {"$ref": "none"}]}, "http://h/b": {"p": [{"$ref": "a#/p"}, {"$ref": "c"}]}, "http://h/c": {"x": {"$ref": "b#/p"}}}
+
+    def go(x, base, opened, failed):
+        if isinstance(x, list):
+            return [go(v, base, opened, failed) for v in x]
+        if not isinstance(x, dict):
+            return x
+        if set(x) != {"$ref"}:
+            return {k: go(v, base, opened, failed) for k, v in x.items()}
+        name, _, fragment = x["$ref"].partition("#")
+        y = docs.get(f"http://h/{name}")
+        if y is None or x["$ref"] in opened:
+            failed.append(x["$ref"])
+            return x
+        return go(y["p"] if fragment else y, name, opened | {x["$ref"]}, failed)
+
+    out = {r.url: r for r in g.inline(spark.createDataFrame([(u, json.dumps(b)) for u, b in docs.items()], "url string, body string")).collect()}
+    assert set(out) == set(docs)
+    for u, body in docs.items():
+        failed = []
+        assert json.loads(out[u].resolved) == go(body, u, frozenset(), failed) and out[u].unresolved == failed
+
+
 def test_replay_restarts_on_fetches_only(spark):
     df = spark.createDataFrame([("a", t) for t in (0, 50, 100, 101, 150, 201, 202)] + [("b", 5)], "k string, t long")
     hits = {(r.k, r.t) for r in g.replay(df, "k", "t", 100).where("fetched").collect()}
