@@ -1,6 +1,7 @@
 """Helpers that several operators share: scratch tables, hashing constants, connected components."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,16 +12,24 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 2_000_000
 
 
+#: Folders of sessions on one machine that name none.
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (unit tests on one machine), a temporary folder is set in its place.
+    Where the setting is absent, as in tests, a session that runs on one machine gets a temporary folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillon-")
+    return _LOCAL[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -42,6 +51,19 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def small(df: DataFrame, rows: int = BROADCAST_IDS // 2) -> DataFrame:
+    """A join side of a few numbers a row: broadcast below a checked count of rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` is in ``ids``. The id list is broadcast only below a checked count."""
     ids = ids.select(column).distinct()
@@ -53,21 +75,25 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest node reachable from each node of an undirected edge list, as ``(node, root)``.
 
     Alternates large-star and small-star steps until a round changes nothing. Each step is a grouped minimum and an
-    equi-join, so no component is ever gathered in one task; each round is written to the shared folder.
+    equi-join, so no component is ever gathered in one task; each round is written to the shared folder. The side with the
+    minima is broadcast where a count of its rows allows it, so that the many edges of one node stay where they are; beyond that
+    count, Spark splits skewed joins.
     Self-edges and repeated edges are allowed. Nodes that only have self-edges get themselves.
     """
     pairs = save(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").distinct(), "cc")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     links, before = pairs.where("u <> v"), None
     while True:
+        n = before[0] if before else links.limit(BROADCAST_IDS // 4 + 1).count()  # edges; twice as many nodes at most
+        side = F.broadcast if n <= BROADCAST_IDS // 4 else (lambda df: df)
         both = links.union(links.select("v", "u"))
         # large-star: every larger neighbour of u joins the smallest of u's neighbourhood
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(side(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small-star: every smaller neighbour of u, and u, join the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        links = save(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        star = large.join(side(least), "u")
+        links = save(star.select(F.col("v").alias("u"), F.col("m").alias("v")).union(star.select("u", F.col("m").alias("v")))
                      .where("u <> v").distinct(), "cc")
         now = links.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
@@ -77,4 +103,4 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-__all__ = ["BROADCAST_IDS", "connected_components", "documents", "only_ids", "save", "scratch_dir", "scratch_path"]
+__all__ = ["BROADCAST_IDS", "connected_components", "documents", "fresh", "only_ids", "save", "scratch_dir", "scratch_path", "small"]

@@ -1,33 +1,35 @@
 """N-gram Jaccard join with signature trees.
 
-A document's set holds the hashes of its distinct word shingles. Two stages, both without loss:
+A document's set holds the hashes of its distinct word shingles. Three stages, all without loss:
 
-1. Blocking. Sets of two documents of similarity t differ in at most (1-t)/(1+t) of their joint size. Hash space is cut
-   into more slots than that (the number depends on a size class), so at least one slot is equal in both. Documents
-   that share a slot's content are joined into blocks: each pair that may link lies in one block.
-2. Signature trees. A block's sets become a tree whose nodes hold the OR of their members' token bitmaps and a range of
-   sizes. Two trees (or a tree and itself) are traversed together: a pair of nodes whose greatest possible overlap cannot
-   reach the threshold is dropped, as is one whose members are already connected. Surviving pairs are compared exactly.
+1. Shingles that occur again and again are counted over the whole corpus. All shingles are put into one order, the rarest first.
+2. Routing. Sets of similarity t share one of the first ``n - ceil(t n) + 1`` shingles of that order: the keys by which they meet.
+   Where few documents have a key, all their pairs are counted over the keys, and those with too few keys in common for the
+   threshold are dropped. What is left, and what meets at a key of many documents, is joined into blocks: each pair
+   that may link lies in one block, and a passage that several documents have in common does not bring these together.
+3. Signature trees find the links. A block's different sets become a tree whose nodes hold the OR of their members' token bitmaps and a
+   range of sizes. Two trees (or a tree and itself) are traversed together: a pair of nodes whose greatest possible overlap
+   cannot reach the threshold is dropped, as is one whose members are already connected. Surviving pairs are compared exactly.
 
 Blocks above a size are cut into chunks. Every chunk's tree also holds the block's first document, which connects large
 groups of near copies; the documents that are still apart from the block's main component are then compared with all chunks.
 """
 from __future__ import annotations
 
-import functools
-import math
-from fractions import Fraction
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BROADCAST_IDS, connected_components, only_ids, save
+from quillon.llm.common import connected_components, fresh, only_ids, save, small
 
-#: Words whose hashes a worker remembers; keys that are combined before they leave a task.
-CACHE_WORDS, COMBINE_KEYS = 1_000_000, 2_000_000
+#: Words whose hashes a worker remembers; keys that are combined, and shingles that are counted, before they leave a task.
+CACHE_WORDS, COMBINE_KEYS, COUNT_HASHES = 1_000_000, 2_000_000, 4_000_000
+#: Documents of a key up to which their pairs are counted.
+MANY = 32
+#: Shingles that are ordered by their frequency at most, and the least count that makes one frequent.
+FREQUENT, LEAST_COUNT = 1_000_000, 2
 #: A chunk's documents and hashes of shingles at most (a single larger set is a chunk's own size).
 CHUNK_DOCS, CHUNK_HASHES = 2000, 4_000_000
 #: Bitmap words of 64 bits; members of a leaf and children of a node.
@@ -66,101 +68,159 @@ class Shingler:
         return np.unique(out)
 
 
-# ---------------------------------------------------------------- blocking
+# ---------------------------------------------------------------- routing
+
+class Frequent:
+    """Classes of frequent shingles: the binary logarithm of their count; 0 for all others."""
 
-@functools.cache
-def _class(i: int, num: int, den: int) -> tuple[int, int, int, int]:
-    """Size class i: least and first greater size, number of slots, and empty slots that need no key."""
-    ratio = 1.5
-    lo, hi = math.ceil(ratio ** i), math.ceil(ratio ** (i + 1))
-    differ = int(Fraction(2 * (hi - 1) * (den - num), den + num)) if hi > lo else 0
-    slots = differ + 1
-    if differ:
-        for _ in range(8):  # empty slots that even a set at the lower end rarely exceeds
-            share = math.exp(-max(1.0, lo * num / den) / slots)
-            slots = differ + 1 + max(1, math.ceil(slots * share + 3 * math.sqrt(slots * share)))
-    return lo, hi, slots, slots - differ - 1
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.classes = np.append(np.log2(np.maximum(counts[order], 2)).astype(np.int8), np.int8(0))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.hashes >> np.uint64(44)] = True
 
+    def classes_of(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), np.int8)
+        maybe = np.flatnonzero(self.maybe[s >> np.uint64(44)])
+        if len(maybe):
+            at = np.searchsorted(self.hashes, s[maybe])
+            same = self.hashes[np.minimum(at, len(self.hashes) - 1)] == s[maybe]
+            out[maybe[same]] = self.classes[at[same]]
+        return out
 
-def slot_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of a set: any two sets of similarity num/den have one in common.
 
-    In each size class that the set belongs to (its own, and the next if a partner may be there) hash space is cut into
-    ``differ + 1 + spare`` equal slots; at least ``spare + 1`` are equal in both sets. A slot without hashes gets a key only in sets with more
-    than ``spare`` of them, because otherwise an equal slot with hashes exists.
+def prefix_keys(s: np.ndarray, frequent: Frequent, num: int, den: int) -> np.ndarray:
+    """The first shingles of a set in the common order (class, hash): any two sets of similarity num/den have one in common.
+
+    The larger of two such sets shares at least ``ceil(num n / den)`` of its n shingles with the other, and so does the smaller one.
     """
-    n, out = len(s), []
-    own = max(0, int(math.log(n, 1.5)) - 1)
-    while not _class(own, num, den)[0] <= n < _class(own, num, den)[1]:
-        own += 1
-    sums = np.append(np.uint64(0), np.cumsum(_mixed(s ^ _MIX[0])))
-    for i in (own, own + 1):
-        lo, _, slots, spare = _class(i, num, den)
-        if i > own and n * den < num * lo:
-            break
-        at = np.append(0, np.searchsorted(s, _edges(slots), side="left"))
-        at = np.append(at, n)
-        filled = at[1:] > at[:-1]
-        keep = np.ones(slots, bool) if slots - int(filled.sum()) > spare else filled
-        number = np.arange(slots, dtype=np.uint64) * _MIX[2] + np.uint64((i + 1) * int(_MIX[1]) % (1 << 64))
-        out.append(_mixed((sums[at[1:]] - sums[at[:-1]]) * _MIX[0] + number)[keep])
-    return np.concatenate(out)
+    first = len(s) - -(-num * len(s) // den) + 1
+    kind = frequent.classes_of(s)
+    return s[np.argsort(kind, kind="stable")[:first]] if kind.any() else s[:first]
+
+
+def _counts(k: int):
+    """``(g, c)``: hashes of shingles that several different sets of a stretch of a task have, and how many."""
+    def run(batches):
+        shingle = Shingler(k)
+        held, total, seen = [], 0, set()
+
+        def counted():
+            g, c = np.unique(np.concatenate(held), return_counts=True)
+            g, c = g[c > 1], c[c > 1]
+            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["g", "c"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                s = shingle(text.as_py() or "")
+                digest = xxhash.xxh3_128_digest(s.tobytes())
+                if len(s) and digest not in seen:
+                    seen.add(digest)
+                    held.append(s)
+                    total += len(s)
+                if total > COUNT_HASHES:
+                    yield counted()
+                    held, total, seen = [], 0, set()
+        if held:
+            yield counted()
 
+    return run, "g long, c long"
 
-@functools.cache
-def _edges(slots: int) -> np.ndarray:
-    return np.array([(j << 64) // slots for j in range(1, slots)], np.uint64)
 
+def frequent_shingles(texts: DataFrame, k: int) -> Frequent:
+    """The most frequent shingles of all texts, at most ``FREQUENT``: the bound of what reaches the driver and the tasks (16 MB).
 
-#: Kinds of rows of the first pass.
-KEY, CANDIDATE, EQUAL, SIZE = range(4)
+    Counts are summed over all stretches of all tasks in which a shingle repeats. They decide about the order of keys only: any
+    order gives the same links.
+    """
+    run, schema = _counts(k)
+    counts = save(texts.select("text").mapInArrow(run, schema).groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_COUNT), "frequent")
+    kinds = {r.kind: r.n for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, least = 0, 1 + max(kinds, default=0)
+    for kind in sorted(kinds, reverse=True):  # as many classes from the top as the bound allows
+        total += kinds[kind]
+        if total > FREQUENT:
+            break
+        least = kind
+    rows = counts.where(F.floor(F.log2("c")) >= least).toArrow()
+    return Frequent(rows["g"].to_numpy().view(np.uint64), rows["c"].to_numpy())
+
+
+#: Kinds of rows of the second pass.
+KEY, HOT, MET, EQUAL, SIZE = range(5)
 
 
-def _sketch(k: int, num: int, den: int):
-    """Rows ``(kind, a, b)``: KEY (key, id); CANDIDATE (id, id) for keys that meet within a task; EQUAL (id, id) for equal sets within
-    a task, of which only the first gets keys; SIZE (id, set size)."""
+def _sketch(k: int, num: int, den: int, frequent):
+    """Rows ``(kind, a, b, n)``: KEY (key, id, set size); HOT (key, id, set size) for a key that more than ``MANY`` documents of a task have,
+    and MET (id, id) for those; EQUAL (id, id) for equal sets within a task, of which only the first gets keys; SIZE (id, set size)."""
     def run(batches):
-        shingle = Shingler(k)
-        keys, owners, total = [], [], 0
+        shingle, order = Shingler(k), frequent.value
+        keys, owners, sizes, total = [], [], [], 0
         seen: dict[bytes, int] = {}
 
-        def batch_of(kind, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
+        def batch_of(kind, a, b, n=None):
+            n = np.zeros(len(a), np.int32) if n is None else n
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], ["kind", "a", "b", "n"])
 
         def combined():
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
+            count = list(map(len, keys))
+            key, owner, n = np.concatenate(keys), np.repeat(np.array(owners), count), np.repeat(np.array(sizes, np.int32), count)
+            at = np.lexsort((owner, key))
+            key, owner, n = key[at], owner[at], n[at]
             first = np.append(True, key[1:] != key[:-1])
-            head = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            yield batch_of(KEY, key[first].view(np.int64), owner[first])
-            more = ~first & (head != owner)
-            pairs = np.unique(np.stack([head[more], owner[more]], axis=1), axis=0)
-            yield batch_of(CANDIDATE, pairs[:, 0], pairs[:, 1])
+            group = np.cumsum(first) - 1
+            many = np.bincount(group)[group] > MANY
+            yield batch_of(KEY, key[~many].view(np.int64), owner[~many], n[~many])
+            yield batch_of(HOT, key[many & first].view(np.int64), owner[many & first], n[many & first])
+            head = owner[np.flatnonzero(first)[group]]
+            rest = many & (head != owner)
+            pairs = np.unique(np.stack([head[rest], owner[rest]], axis=1), axis=0)
+            yield batch_of(MET, pairs[:, 0], pairs[:, 1])
 
         for batch in batches:
-            ids, sizes, same = batch.column(0).to_pylist(), [], []
+            ids, every, same = batch.column(0).to_pylist(), [], []
             for doc, text in zip(ids, batch.column(1)):
                 s = shingle(text.as_py() or "")
-                sizes.append(len(s))
+                every.append(len(s))
                 if doc is None or not len(s):
                     continue
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 if (other := seen.setdefault(digest, doc)) != doc:
                     same.append((other, doc))
                     continue
-                keys.append(slot_keys(s, num, den))
-                owners.append(np.full(len(keys[-1]), doc, np.int64))
+                keys.append(prefix_keys(s, order, num, den))
+                owners.append(doc)
+                sizes.append(len(s))
                 total += len(keys[-1])
                 if total > COMBINE_KEYS:
                     yield from combined()
-                    keys, owners, total, seen = [], [], 0, {}
-            yield batch_of(SIZE, ids, sizes)
+                    keys, owners, sizes, total, seen = [], [], [], 0, {}
+            yield batch_of(SIZE, ids, every)
             yield batch_of(EQUAL, [x for x, _ in same], [x for _, x in same])
         if keys:
             yield from combined()
 
-    return run, "kind byte, a long, b long"
+    return run, "kind byte, a long, b long, n int"
+
+
+def _met(sketch: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` that bring together all that may link: the first document of each frequent key with the others of that key, and the
+    pairs of rare keys that have enough keys in common.
+
+    Of two sets with c common keys, the one whose keys end first in the common order has ``ceil(t n) - 1`` shingles behind them. So the overlap is at
+    most c and the larger of these two numbers, and it has to be ``t / (1 + t)`` of the sum of the sizes.
+    """
+    by_key = Window.partitionBy("a")
+    keys = sketch.where(F.col("kind").isin(KEY, HOT)).select("a", "b", "n", (F.col("kind") == HOT).alias("hot"))
+    keys = keys.withColumns({"many": (F.count(F.lit(1)).over(by_key) > MANY) | F.max("hot").over(by_key), "one": F.count(F.lit(1)).over(by_key) == 1, "least": F.min("b").over(by_key)})
+    frequent = keys.where("many and least < b").select(F.col("least").alias("a"), "b")
+    lists = keys.where("not many and not one").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("l"))
+    pairs = lists.select(F.expr("inline(flatten(transform(sequence(1, size(l) - 1), i -> transform(slice(l, i + 1, size(l)), y -> struct(l[i - 1] as x, y as y)))))"))
+    pairs = pairs.where(f"x.b < y.b and least(x.n, y.n) * {den}L >= greatest(x.n, y.n) * {num}L").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    up = lambda x, d: f"floor((({x}) * {num}L + {d - 1}) / {d})"
+    enough = f"c >= {up('x.n + y.n', num + den)} - greatest({up('x.n', den)}, {up('y.n', den)}) + 1"
+    return frequent.union(pairs.where(enough).select("x.b", "y.b"))
 
 
 # ---------------------------------------------------------------- signature trees
@@ -206,9 +266,10 @@ def possible(x, i, y, j, num: int, den: int) -> np.ndarray:
     return (most * (num + den) >= num * (xlo + ylo)) & (xhi * den >= num * ylo) & (yhi * den >= num * xlo)
 
 
-def links(one: SignatureTree, two: SignatureTree, union: Union, shift: int, num: int, den: int):
+def links(one: SignatureTree, two: SignatureTree, union: Union, shift: int, num: int, den: int, seen: dict | None = None):
     """Pairs (member of one, member of two) that link and connect what was apart. ``shift``: where two's members begin in union;
-    0 for a tree with itself."""
+    0 for a tree with itself. ``seen``, if given, counts node pairs that were ``pruned`` by their bound, and pairs ``compared``."""
+    seen = {} if seen is None else seen
     own = one is two
     top = max(len(one.levels), len(two.levels)) - 1
     level = lambda tree, k: min(k, len(tree.levels) - 1)
@@ -223,13 +284,16 @@ def links(one: SignatureTree, two: SignatureTree, union: Union, shift: int, num:
 
             i, j = below(one, a), below(two, b)
             ok = possible(one.levels[level(one, k - 1)], i, two.levels[level(two, k - 1)], j, num, den)
-            for p, q in zip(*np.nonzero(ok)):
-                u, v = int(i[p]), int(j[q])
+            seen["pruned"] = seen.get("pruned", 0) + ok.size - int(ok.sum())
+            # the diagonal comes last onto the stack: neighbours in order, which are most alike, are connected first
+            for u, v in sorted(((int(i[p]), int(j[q])) for p, q in zip(*np.nonzero(ok))), key=lambda x: -abs(x[0] - x[1])):
                 if (not own or u <= v) and not _connected(union, one, u, two, v, k - 1, shift):
                     stack.append((k - 1, u, v))
-        elif (not own or a < b) and union.find(a) != union.find(b + shift) and similar(one.sets[a], two.sets[b], num, den):
-            union.join(a, b + shift)
-            yield a, b
+        elif (not own or a < b) and union.find(a) != union.find(b + shift):
+            seen["compared"] = seen.get("compared", 0) + 1
+            if similar(one.sets[a], two.sets[b], num, den):
+                union.join(a, b + shift)
+                yield a, b
 
 
 def _connected(union: Union, one, u, two, v, k: int, shift: int) -> bool:
@@ -279,18 +343,15 @@ def _edge_batches(pairs):
 def _within(num: int, den: int):
     """Connecting links within each chunk: ``(block, chunk, id, hashes)`` in, ``(a, b)`` out."""
     def found(rows):
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        order = _order(sets)
-        ids, sets = [rows[i][2] for i in order], [sets[i] for i in order]
-        union, head = Union(len(ids)), min(range(len(ids)), key=ids.__getitem__)
-        for i in range(len(ids)):
-            if i != head and similar(sets[head], sets[i], num, den):
-                union.join(head, i)
-                yield ids[head], ids[i]
-        if len({union.find(i) for i in range(len(ids))}) > 1:
-            tree = SignatureTree(sets)
-            for i, j in links(tree, tree, union, 0, num, den):
-                yield ids[i], ids[j]
+        first: dict[bytes, int] = {}
+        for _, _, doc, hashes in rows:  # equal sets of several tasks: one of them goes into the tree
+            if first.setdefault(hashes, doc) != doc:
+                yield first[hashes], doc
+        sets = [np.frombuffer(h, np.uint64) for h in first]
+        order, ids = _order(sets), list(first.values())
+        tree = SignatureTree([sets[i] for i in order])
+        for i, j in links(tree, tree, Union(len(ids)), 0, num, den):
+            yield ids[order[i]], ids[order[j]]
 
     def run(batches):
         for rows in _groups(batches, 2):
@@ -337,22 +398,25 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     are one node with several sets: their links add up. A null id gives a null component and links with nothing.
     Ties do not arise: the result does not depend on the order of rows. An empty table gives an empty result.
 
-    Shuffled are: one key for about each sixth shingle (t = 0.9), after equal keys and equal sets of a task are combined; edges; and the
-    hashes of documents that share a key with another. Equality of shingles is that of 64-bit hashes.
+    Shuffled are: counts of shingles that repeat; the key shingles (one in ten at t = 0.9, one in five at 0.8), after equal keys
+    and equal sets of a task are combined; edges; and the hashes of documents that share a key with another. Texts of any
+    length are taken whole. Equality of shingles is that of 64-bit hashes.
     """
     if not 0 < num <= den:
         raise ValueError("the threshold is not between 0 and 1")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    run, schema = _sketch(k, num, den)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, k))
+    run, schema = _sketch(k, num, den, frequent)
     sketch = save(texts.mapInArrow(run, schema), "sketch")
     kind = lambda x, a, b: sketch.where(F.col("kind") == x).select(F.col("a").alias(a), F.col("b").alias(b))
-    by_key = Window.partitionBy("key")
-    met = kind(KEY, "key", "b").withColumn("a", F.min("b").over(by_key)).where("a < b").select("a", "b").distinct()
-    blocks = connected_components(met.union(kind(CANDIDATE, "a", "b")), "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
+    met = _met(sketch, num, den).union(kind(MET, "a", "b"))
+    blocks = connected_components(met, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
     sizes = kind(SIZE, "doc_id", "n_shingles")
     size = sizes.join(blocks, "doc_id").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("hashes"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("hashes") / CHUNK_HASHES)).cast("long")
-    blocks = save(blocks.join(size.select("block", chunks.alias("chunks")), "block"), "blocks")
+    large = save(size.select("block", chunks.alias("chunks")).where("chunks > 1"), "large")
+    blocks = blocks.join(small(large), "block", "left").select("doc_id", "block", F.coalesce("chunks", F.lit(1).cast("long")).alias("chunks"))
+    blocks = save(blocks, "blocks")
 
     def hashes(batches):
         shingle = Shingler(k)
@@ -360,9 +424,8 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingle(x.as_py() or "").tobytes() for x in batch.column(3)], pa.binary())], ["doc_id", "block", "chunks", "hashes"])
 
     # block numbers go to the texts where their count allows it, so that texts and hashes are not shuffled for this join
-    side = F.broadcast(blocks) if blocks.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2 else blocks
-    sets = texts.join(side, "doc_id").select("doc_id", "block", "chunks", "text").mapInArrow(hashes, "doc_id long, block long, chunks long, hashes binary").where(F.octet_length("hashes") > 0)
-    members = save(sets.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))), "members")
+    sets = texts.join(small(blocks), "doc_id").select("doc_id", "block", "chunks", "text").mapInArrow(hashes, "doc_id long, block long, chunks long, hashes binary").where(F.octet_length("hashes") > 0)
+    members = save(sets.withColumn("chunk", F.pmod(F.xxhash64("hashes"), F.col("chunks"))), "members")  # equal sets meet in a chunk
     heads = members.where("chunks > 1 and doc_id = block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     chunked = members.unionByName(heads).select("block", "chunk", "doc_id", "hashes")
     near = save(chunked.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(_within(num, den), "a long, b long"), "links")
@@ -379,9 +442,10 @@ def _apart(members: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame
     roots = connected_components(only_ids(near.select(F.col("a").alias("doc_id"), "b"), large, "doc_id"), "doc_id", "b")
     labels = large.join(roots, large.doc_id == roots.node, "left").select("block", "chunks", "doc_id", F.coalesce("root", "doc_id").alias("label"))
     main = labels.groupBy("block", "label").count().groupBy("block").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    main = small(save(main, "main"))
     labels = save(labels.distinct().join(main, "block"), "labels")
-    rest = labels.where("label <> main").groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).cast("long").alias("slices"))
-    rows = members.join(labels.select("doc_id", "label", "main"), "doc_id").join(rest, "block")
+    rest = small(save(labels.where("label <> main").groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).cast("long").alias("slices")), "rest"))
+    rows = members.join(small(labels.select("doc_id", "label", "main")), "doc_id").join(rest, "block")
     cols = ["block", "chunk", "slice", "probe", "doc_id", "label", "hashes"]
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     there = rows.withColumn("slice", upto("slices")).withColumn("probe", F.lit(False)).select(cols)
@@ -391,18 +455,30 @@ def _apart(members: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component: the one with the smallest id; columns unchanged. Rows without an id, and texts without words,
-    stay. Of rows that repeat an id, the one with the least text stays."""
-    found = save(components(docs, k, num, den), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = save(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    small = lambda df: F.broadcast(df) if df.limit(2_000_001).count() <= 2_000_000 else df
-    ident = docs["doc_id"].cast("long")
-    gone = small(gone.withColumnRenamed("doc_id", "_gone"))
-    kept = docs.join(gone, ident == F.col("_gone"), "left_anti")
+    """One row of each group of texts that link: the one with the smallest id, and of those the one whose id and text have the least hash.
+
+    Columns are unchanged. Rows without an id stay, and so do texts without words. Rows that share an id but whose texts do not link
+    all stay; of rows that repeat both id and text, the one with the least other columns stays. The result does
+    not depend on the order of rows. An empty table gives an empty result. Columns may have any names.
+    """
+    node, ident, winner = (fresh(docs, x) for x in ("node", "ident", "winner"))
+    rows = docs.withColumn(ident, F.col("doc_id").cast("long")).withColumn(node, F.xxhash64(ident, "text"))
+    named = rows.where(F.col(ident).isNotNull())
+    found = save(components(named.select(F.col(node).alias("doc_id"), "text"), k, num, den).distinct(), "components")
+    several = save(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id"), "several")
+    group = save(found.join(small(several), "component_id").select(F.col("doc_id").alias(node), "component_id"), "group")
+    group = save(named.select(ident, node).join(small(group), node), "named")
+    best = group.groupBy("component_id").agg(F.min(F.struct(ident, node)).alias("best"))
+    best = save(best.select("component_id", F.col("best").getField(ident).alias(winner), F.col("best").getField(node).alias(winner + "_node")), "best")
+    apart = (F.col(ident) != F.col(winner)) | (F.col(node) != F.col(winner + "_node"))
+    gone = save(group.join(small(best), "component_id").where(apart).select(node, ident).distinct(), "gone")
+    again = save(named.groupBy(node).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(node), "again")
+    kept = rows.join(small(gone), [node, ident], "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if again.isEmpty():
-        return kept
-    again = small(again.withColumnRenamed("doc_id", "_again"))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in ["text", *[c for c in docs.columns if c != "text"]]]))
-    several = kept.join(again, ident == F.col("_again"), "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
-    return kept.join(again, ident == F.col("_again"), "left_anti").unionByName(several)
+        return kept.select(*columns)
+    repeated = kept.where(F.col(ident).isNotNull()).join(small(again), node, "left_semi")
+    one = repeated.groupBy(node, ident, "text").agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(winner)).select(f"{winner}.*")
+    other = small(again.withColumnRenamed(node, winner))
+    rest = kept.join(other, (F.col(node) == F.col(winner)) & F.col(ident).isNotNull(), "left_anti")
+    return rest.select(*columns).unionByName(one)
