@@ -23,9 +23,15 @@ def decision(public: Column, kind: str = "kind", method: str = "method", claims:
             .when(F.coalesce(F.col(claims), F.lit(False)), row("pass", 200)).when(F.coalesce(F.col(redirect), F.lit(False)), row("redirect", 302)).otherwise(row("unauthenticated", 401)))
 
 
-def audience(aud: str = "aud", client_id: str = "client_id") -> Column:
-    """The audience list; the client's id stands in where there is none."""
-    given = F.filter(F.col(aud), lambda x: x != "")
+def audience_list(aud: str = "aud") -> Column:
+    """The audiences of a claim kept as text: a plain string, or a JSON list of strings."""
+    text = F.trim(F.col(aud))
+    return F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>")).when(text != "", F.array(text))
+
+
+def audience(aud: str | Column = "aud", client_id: str = "client_id") -> Column:
+    """The audience list, ``aud`` being a list or ``audience_list`` of a text; the client's id stands in where there is none."""
+    given = F.filter(F.col(aud) if isinstance(aud, str) else aud, lambda x: x != "")
     return F.when(F.size(F.coalesce(given, F.array().cast("array<string>"))) > 0, given).when(F.coalesce(F.col(client_id), F.lit("")) != "", F.array(client_id))
 
 
@@ -58,17 +64,17 @@ def policy(requests: DataFrame, rules: DataFrame, default: bool = False) -> Data
     """Requests with ``allowed`` and ``status``. A rule has ``method``, ``p0``, ``p1`` and ``company``, null where it does not matter, and ``depth``, the
     exact number of path parts, or null. Any rule that matches allows; a denial is 401. ``rules`` has one row a rule.
 
-    The equal first part is the join key, so the rules are hashed; a request is kept once however many rules match.
+    The rules of one first part are one list, which requests meet by that part; so requests are read once, and kept once
+    however many rules match. Requests may be a stream.
     """
+    own = requests.columns
     parts = requests.withColumn("_parts", path_parts())
     parts = parts.withColumns({"_p0": F.coalesce(F.get("_parts", F.lit(0)), F.lit("")), "_p1": F.get("_parts", F.lit(1)), "_n": F.size("_parts")})
-    r = rules.select(*[F.col(c).alias(f"r_{c}") for c in ("method", "p0", "p1", "company", "depth")])
-    same = lambda a, b: F.col(b).isNull() | F.col(a).eqNullSafe(F.col(b))
-    hit = (F.col("_p0") == F.col("r_p0")) & same("method", "r_method") & same("_p1", "r_p1") & same("company", "r_company") & same("_n", "r_depth")
-    allowed = parts.join(F.broadcast(r), hit, "left_semi").withColumn("allowed", F.lit(True))
-    rest = parts.join(F.broadcast(r), hit, "left_anti").withColumn("allowed", F.lit(default))
-    both = allowed.unionByName(rest)
-    return both.withColumn("status", F.when(F.col("allowed"), 200).otherwise(401)).drop("_parts", "_p0", "_p1", "_n")
+    lists = rules.groupBy(F.col("p0").alias("_p0")).agg(F.collect_list(F.struct("method", "p1", "company", "depth")).alias("_rules"))
+    same = lambda value, x: x.isNull() | F.col(value).eqNullSafe(x)
+    hit = F.exists("_rules", lambda r: same("method", r["method"]) & same("_p1", r["p1"]) & same("company", r["company"]) & same("_n", r["depth"]))
+    allowed = F.coalesce(hit, F.lit(False)) | F.lit(default)
+    return parts.join(lists, "_p0", "left").select(*own, allowed.alias("allowed"), F.when(allowed, 200).otherwise(401).alias("status"))
 
 
 def visible(features: DataFrame, grants: DataFrame) -> DataFrame:

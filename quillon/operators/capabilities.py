@@ -24,12 +24,12 @@ def provider_classes(rows: DataFrame, classes: DataFrame, item_groups: dict[str,
 
 def with_base(services: DataFrame, found: DataFrame, base: DataFrame) -> DataFrame:
     """Base classes for every service, those without resources included. ``base`` is one group's list."""
-    return services.select("service_id").distinct().crossJoin(F.broadcast(base.select("cls"))).union(found)
+    return services.select("service_id").distinct().crossJoin(base.select("cls")).union(found)
 
 
 def optional(services: DataFrame, flag: str, classes: DataFrame) -> DataFrame:
     """Classes that a service has only where its flag is set."""
-    return services.where(F.coalesce(flag, F.lit(False))).select("service_id").distinct().crossJoin(F.broadcast(classes.select("cls")))
+    return services.where(F.coalesce(flag, F.lit(False))).select("service_id").distinct().crossJoin(classes.select("cls"))
 
 
 def roll_up(pairs: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def roll_up(pairs: DataFrame) -> DataFrame:
 
 
 def missing(services: DataFrame, expected: DataFrame, pairs: DataFrame) -> DataFrame:
-    return services.select("service_id").distinct().crossJoin(F.broadcast(expected.select("cls"))).exceptAll(pairs.select("service_id", "cls").distinct())
+    return services.select("service_id").distinct().crossJoin(expected.select("cls")).exceptAll(pairs.select("service_id", "cls").distinct())
 
 
 def forbidden(pairs: DataFrame, classes: DataFrame) -> DataFrame:

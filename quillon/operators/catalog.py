@@ -40,15 +40,17 @@ def correct_queryables(docs: DataFrame, replacement: str, column: str = "body")
     @F.pandas_udf(T.StringType())
     def put(bodies: pd.Series) -> pd.Series:
         def one(body):
+            if body is None:
+                return None
             doc = json.loads(body)
             doc["components"]["schemas"]["queryables"] = new
             return json.dumps(doc, separators=(",", ":"))
 
         return bodies.map(one)
 
-    has = F.get_json_object(column, "$.components.schemas.queryables").isNotNull()
-    changed = docs.where(F.coalesce(has, F.lit(False))).withColumn(column, put(column))
-    return changed.withColumn("corrected", F.lit(True)).unionByName(docs.where(~F.coalesce(has, F.lit(False))).withColumn("corrected", F.lit(False)))
+    has = F.coalesce(F.array_contains(F.json_object_keys(F.get_json_object(column, "$.components.schemas")), "queryables"), F.lit(False))
+    # one pass: the function gets nulls for documents that stay
+    return docs.withColumns({column: F.coalesce(put(F.when(has, F.col(column))), F.col(column)), "corrected": has})
 
 
 def localised(text: str, language: str, default: str) -> Column:
@@ -57,9 +59,17 @@ def localised(text: str, language: str, default: str) -> Column:
 
 
 def describe(collections: DataFrame, base: str, language: str = "en", default: str = "en") -> DataFrame:
-    """Descriptions: title in a language, item type, crs and links to self, items and queryables."""
+    """Descriptions: title, description and keywords in a language, item type, crs, extent and links to self, items and queryables.
+
+    ``collections`` has ``id`` and ``title``, and may have ``description`` (texts by language), ``keywords`` (lists by language) and the columns of
+    ``extents``; what it lacks is null. A collection without times or coordinates has nulls in its extent.
+    """
     link = lambda rel, tail: F.struct(F.lit(rel).alias("rel"), F.lit("application/json").alias("type"), F.concat(F.lit(base + "/collections/"), F.col("id"), F.lit(tail)).alias("href"))
-    return collections.select("id", localised("title", language, default).alias("title"), F.lit("feature").alias("item_type"), F.array(F.lit(CRS84)).alias("crs"), F.array(link("self", ""), link("items", "/items"), link("queryables", "/queryables")).alias("links"))
+    own = lambda name, kind: localised(name, language, default) if name in collections.columns else F.lit(None).cast(kind)
+    has = lambda name, kind: F.col(name) if name in collections.columns else F.lit(None).cast(kind)
+    extent = F.struct(F.array(*[has(n, "double") for n in ("minx", "miny", "maxx", "maxy")]).alias("bbox"), F.array(*[has(n, "timestamp") for n in ("begin", "end")]).alias("interval"), F.lit(CRS84).alias("crs"))
+    return collections.select("id", own("title", "string").alias("title"), own("description", "string").alias("description"), own("keywords", "array<string>").alias("keywords"), F.lit("feature").alias("item_type"), F.array(F.lit(CRS84)).alias("crs"),
+                              extent.alias("extent"), F.array(link("self", ""), link("items", "/items"), link("queryables", "/queryables")).alias("links"))
 
 
 def extents(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,8 @@ from quillon.sources.scratch import materialise
 
 REFS = T.ArrayType(T.StructType([T.StructField("ref", T.StringType()), T.StructField("sole_key", T.BooleanType())]))
 DAY = 86400
+#: What the parser raises for text that is not JSON, or is nested deeper than it goes.
+NOT_JSON = (TypeError, ValueError, RecursionError)
 
 
 def walk(value) -> list[tuple[str, bool]]:
@@ -36,7 +38,7 @@ def refs(body: str) -> Column:
         def one(text):
             try:
                 return [{"ref": r, "sole_key": s} for r, s in walk(json.loads(text))]
-            except (TypeError, ValueError):
+            except NOT_JSON:
                 return None
 
         return bodies.map(one)
@@ -60,15 +62,19 @@ def split_ref(ref: str) -> tuple[Column, Column]:
 
 
 def resolve(base: str, ref: str) -> Column:
-    """``struct<url, error>`` of a reference's URL part against the document that holds it. A URL with a scheme stays, an empty one is the base."""
+    """``struct<url, error>`` of a reference's URL part against the document that holds it. A URL with a scheme stays, an empty one is the base;
+    a malformed one is an error."""
     @F.pandas_udf(T.StructType([T.StructField("url", T.StringType()), T.StructField("error", T.StringType())]))
     def join(bases: pd.Series, found: pd.Series) -> pd.DataFrame:
         def one(b, r):
-            if r is not None and urlsplit(r).scheme:
-                return r, None
-            if not b:
-                return None, "no base"
-            return (urljoin(b, r), None) if r else (b, None)
+            try:
+                if r is not None and urlsplit(r).scheme:
+                    return r, None
+                if not b:
+                    return None, "no base"
+                return (urljoin(b, r), None) if r else (b, None)
+            except ValueError:
+                return None, "malformed URL"
 
         return pd.DataFrame([one(b, r) for b, r in zip(bases, found)], columns=["url", "error"])
 
@@ -85,11 +91,11 @@ def pointer(body: str, fragment: str) -> Column:
                 x = json.loads(text)
                 for part in filter(None, (where or "").split("/")):
                     x = x[part] if isinstance(x, dict) else {}[part]
+                return json.dumps(x, separators=(",", ":")), None
             except KeyError as e:
                 return None, f"no key {e.args[0]}"
-            except (TypeError, ValueError):
+            except NOT_JSON:
                 return None, "not JSON"
-            return json.dumps(x, separators=(",", ":")), None
 
         return pd.DataFrame([one(t, w) for t, w in zip(bodies, fragments)], columns=["value", "error"])
 
@@ -118,20 +124,22 @@ def lookups(wanted: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]
     return urls.join(cached, "url"), urls.join(cached, "url", "left_anti")
 
 
-def closure(pairs: DataFrame, max_rounds: int = 20) -> DataFrame:
+def closure(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """All ``(src, dst)`` where dst is reached from src; cycles show as rows whose ends are equal.
 
-    Paths double in length each round, so a chain of n documents takes about log2(n) rounds. Each round is written to the
-    shared folder, and it ends when nothing is added, or after ``max_rounds`` (chains of 2**max_rounds).
+    Paths double in length each round, so a chain of n documents takes about log2(n) rounds; a round joins only what the last one added.
+    Each is written to the shared folder, and they end when nothing is added. With ``max_rounds``, needing more is an error. The result is as
+    large as the number of pairs that reach each other: use ``reach`` of a few sources, or ``inline``, where that is too much.
     """
-    found = materialise(pairs.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure")
-    before, now = -1, found.count()
-    for _ in range(max_rounds):
-        if before == now:
-            break
-        right = found.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
-        found = materialise(found.union(found.join(right, "dst").select("src", "far")).distinct(), "closure")
-        before, now = now, found.count()
+    new = materialise(pairs.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure")
+    found, rounds = new, 0
+    while not new.isEmpty():
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"the closure is not complete after {max_rounds} rounds")
+        follow = lambda one, two: one.join(two.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
+        longer = follow(new, found).union(follow(found, new)).distinct()
+        new = materialise(longer.join(found, ["src", "dst"], "left_anti"), "closure")
+        found, rounds = found.union(new), rounds + 1
     return found
 
 
@@ -140,9 +148,12 @@ def reach(pairs: DataFrame) -> DataFrame:
     return closure(pairs).groupBy("src").agg(F.count(F.lit(1)).alias("n_reached"), F.bool_or(F.col("src") == F.col("dst")).alias("in_cycle"))
 
 
-def _target(base: str | None, ref: str) -> str:
-    """URL and fragment that a reference points to, as ``url#fragment``."""
-    where, _, fragment = urljoin(base or "", ref).partition("#")
+def _target(base: str | None, ref: str) -> str | None:
+    """URL and fragment that a reference points to, as ``url#fragment``; None for a malformed one."""
+    try:
+        where, _, fragment = urljoin(base or "", ref).partition("#")
+    except ValueError:
+        return None
     return f"{where}#{fragment}"
 
 
@@ -152,8 +163,8 @@ def _targets(url: str, body: str) -> Column:
     def find(urls: pd.Series, bodies: pd.Series) -> pd.Series:
         def one(u, text):
             try:
-                return [{"key": _target(u, r), "ref": r} for r, sole in walk(json.loads(text)) if sole and not r.startswith("#")]
-            except (TypeError, ValueError):
+                return [{"key": k, "ref": r} for r, sole in walk(json.loads(text)) if sole and not r.startswith("#") and (k := _target(u, r))]
+            except NOT_JSON:
                 return []
 
         return pd.Series([one(*x) for x in zip(urls, bodies)], dtype=object)
@@ -168,7 +179,7 @@ def _filled(url: str, body: str, parts: str) -> Column:
         def one(u, text, rows):
             try:
                 top = [json.loads(text)]
-            except (TypeError, ValueError):
+            except NOT_JSON:
                 return None, ["not JSON"]
             texts, failed = {x["key"]: x for x in (rows if rows is not None else ())}, []
             todo = [(top, 0)]
@@ -183,7 +194,10 @@ def _filled(url: str, body: str, parts: str) -> Column:
                     failed.extend([ref] if y is None else y["unresolved"])
                 elif isinstance(x, (dict, list)):
                     todo.extend((x, k) for k in reversed(x if isinstance(x, dict) else range(len(x))))
-            return json.dumps(top[0], separators=(",", ":")), failed
+            try:
+                return json.dumps(top[0], separators=(",", ":")), failed
+            except RecursionError:
+                return None, ["nested too deep"]
 
         return pd.DataFrame([one(*x) for x in zip(urls, bodies, found)], columns=["resolved", "unresolved"])
 
@@ -193,8 +207,8 @@ def _filled(url: str, body: str, parts: str) -> Column:
 def inline(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Documents ``(url, body)`` with ``resolved``: sole-key references replaced by what they point to, at any depth.
 
-    Local references stay; a reference back to a document and fragment that is being resolved, a missing document or a missing key stays
-    too, and is listed in ``unresolved``. With ``max_depth``, so are references nested deeper.
+    Local references stay; a reference back to a document and fragment that is being resolved, a missing document, a missing key or a
+    malformed URL stays too, and is listed in ``unresolved``. Text that is no JSON, or nested deeper than Python's parser goes, has no result and says so there. With ``max_depth``, so are references nested deeper.
 
     Works by rounds, each written to the shared folder. Going down, a row is one fragment in one place of one document, with the fragments open
     there, and is joined with those it points to, until there are none. Going up, each row is filled with its own resolved targets. A row
@@ -228,23 +242,28 @@ def inline(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
 def replay(accesses: DataFrame, key: str, seconds: str, ttl: float = DAY) -> DataFrame:
     """Accesses with ``fetched``: whether a cache would have fetched then. A fetch starts the clock anew and a hit does not.
 
-    Rows are dealt by key and sorted there, and read as a stream with one number of state, so no key's rows are held together.
+    An access more than a time to live after the one before it fetches in any case, so a key's accesses fall into stretches that do not
+    depend on each other. Those are dealt out, sorted, and read as a stream with one number of state: neither keys nor stretches are held.
     """
+    names = accesses.columns
+    order = Window.partitionBy(key).orderBy(seconds)
+    fresh = F.when(F.col(seconds) - F.lag(seconds).over(order) <= ttl, 0).otherwise(1)
+    rows = accesses.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
     schema = T.StructType([*accesses.schema.fields, T.StructField("fetched", T.BooleanType())])
 
     def run(frames):
-        last_key, last = None, 0.0
+        last_stretch, last = None, 0.0
         for frame in frames:
             hits = []
-            for k, t in zip(frame[key], frame[seconds]):
-                if k != last_key or t - last > ttl:
-                    last_key, last = k, t
+            for k, s, t in zip(frame[key], frame["_stretch"], frame[seconds]):
+                if (k, s) != last_stretch or t - last > ttl:
+                    last_stretch, last = (k, s), t
                     hits.append(True)
                 else:
                     hits.append(False)
-            yield frame.assign(fetched=hits)
+            yield frame[names].assign(fetched=hits)
 
-    return accesses.repartition(key).sortWithinPartitions(key, seconds).mapInPandas(run, schema)
+    return rows.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", seconds).mapInPandas(run, schema)
 
 
 def host_summary(found: DataFrame, url: str = "url", source: str = "src_url") -> DataFrame:

@@ -140,5 +140,6 @@ class ItemsQuery:
         found = self.matching(df)
         rows = page(found, self.limit, self.offset)
         rows = project(rows, self.properties) if self.properties is not None else rows
-        counts = number_matched(found).crossJoin(rows.agg(F.count(F.lit(1)).alias("number_returned")))  # one row
-        return rows.crossJoin(F.broadcast(counts))
+        size = min(DEFAULT_LIMIT if self.limit is None else self.limit, MAX_LIMIT)
+        returned = F.least(F.lit(size), F.greatest(F.lit(0), F.col("number_matched") - self.offset)).cast("long")
+        return rows.crossJoin(F.broadcast(number_matched(found).withColumn("number_returned", returned)))  # one row

@@ -143,6 +143,17 @@ def s2_geojson_source(spark, d):
     return readers.geojson_features(spark, path, "value double").select("id", "value", "minx", "miny", "maxx", "maxy")
 
 
+@query("SELECT id, value, concat('feature ', CAST(id AS VARCHAR)) AS title, lon AS minx, lat AS miny, lon + 1 AS maxx, lat + 2 AS maxy FROM {features}")
+def s2_feature_collections(spark, d):
+    """FeatureCollections, one a line, of line strings with altitude; title from a named field."""
+    path = shared_path(spark, "collections")
+    geometry = "named_struct('type', 'LineString', 'coordinates', array(array(lon, lat, 900.5D), array(lon + 1, lat + 2, -1e3D)))"
+    features = view(spark, d, "features").selectExpr("id", f"named_struct('type', 'Feature', 'id', id, 'properties', named_struct('value', value, 'name', concat('feature ', id)), 'geometry', {geometry}) AS f")
+    lines = features.groupBy(F.floor(F.col("id") / 500)).agg(F.collect_list("f").alias("features")).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
+    lines.write.text(path)
+    return readers.geojson_features(spark, path, "value double, name string", collection=True, by_line=True, title_field="name").select("id", "value", "title", "minx", "miny", "maxx", "maxy")
+
+
 @query("SELECT resource_id, CASE WHEN resource_id % 9 = 0 THEN '' ELSE type END AS type, CASE WHEN resource_id % 4 = 0 THEN 0 ELSE 1 END AS n_providers, CASE WHEN resource_id % 4 = 0 THEN NULL WHEN resource_id % 6 = 0 THEN '' ELSE provider_type END AS first_provider FROM {registry}")
 def s3_registry(spark, d):
     raw = view(spark, d, "registry").selectExpr("service_id", "cast(resource_id AS string) AS name", "CASE WHEN resource_id % 9 <> 0 THEN type END AS type",
@@ -202,6 +213,18 @@ def q3_describe(spark, d):
     return q.describe(kinds, APP).select("id", "title", F.size("links").alias("n_links"), F.col("links")[1]["href"].alias("items"))
 
 
+@query("""SELECT collection AS id, concat('Év ', collection) AS title, concat('All ', collection) AS description, concat('events ', collection) AS keywords, min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy,
+    CAST(floor(epoch(min(ts))) AS BIGINT) AS begin, CAST(floor(epoch(max(ts))) AS BIGINT) AS until, 'http://www.opengis.net/def/crs/OGC/1.3/CRS84' AS crs FROM {features} GROUP BY collection""")
+def q3_describe_in_full(spark, d):
+    """Title in French, description in the default language, keywords and computed extent."""
+    kinds = q.extents(view(spark, d, "features")).withColumnRenamed("collection", "id")
+    text = lambda en, fr=None: F.create_map(F.lit("en"), F.concat(F.lit(en), "id"), *([F.lit("fr"), F.concat(F.lit(fr), "id")] if fr else []))
+    kinds = kinds.withColumns({"title": text("Ev ", "Év "), "description": text("All "), "keywords": F.create_map(F.lit("en"), F.array(F.lit("events"), "id"))})
+    box, when = F.col("extent.bbox"), F.col("extent.interval")
+    return q.describe(kinds, APP, "fr").select("id", "title", "description", F.array_join("keywords", " ").alias("keywords"), *[box[i].alias(n) for i, n in enumerate(("minx", "miny", "maxx", "maxy"))],
+                                               F.unix_seconds(when[0]).alias("begin"), F.unix_seconds(when[1]).alias("until"), F.col("crs")[0].alias("crs"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN concat('fr ', c_name) ELSE c_name END AS title FROM customer")
 def q4_localised(spark, d):
     df = table(spark, d, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 2 = 0 THEN map('en', c_name, 'fr', concat('fr ', c_name)) ELSE map('en', c_name) END AS title")
@@ -301,6 +324,18 @@ def c6_missing(spark, d):
     return c.missing(view(spark, d, "registry"), _classes(spark).where("grp = 'record'"), _pairs(spark, d))
 
 
+_EACH = "(SELECT resource_id AS service_id, type, provider_type FROM {registry}) AS each"
+
+
+@query(f"""SELECT service_id, classes.cls FROM {_EACH} CROSS JOIN {_CLASS_SQL} WHERE grp IN ('record', 'coverage')
+    EXCEPT SELECT service_id, cls FROM {_EACH} JOIN {_CLASS_SQL} ON classes.grp = {_KIND}""")
+def c6_missing_by_resource(spark, d):
+    """Each resource as a service of its own, so that most lack something."""
+    reg = view(spark, d, "registry").withColumns({"service_id": F.col("resource_id"), "provider_types": F.array("provider_type")})
+    found = c.provider_classes(c.provider_rows(reg), _classes(spark), {})
+    return c.missing(reg, _classes(spark).where("grp in ('record', 'coverage')"), found)
+
+
 @query(f"SELECT service_id, cls FROM ({_PAIRS_SQL}) WHERE cls LIKE '%coverage%'")
 def c7_forbidden(spark, d):
     return c.forbidden(_pairs(spark, d), _classes(spark).where("grp = 'coverage'"))
@@ -367,9 +402,21 @@ def g8_closure(spark, d):
     return g.reach(view(spark, d, "edges"))
 
 
-@query()
+#: The chain of a specification's first reference: on to the next while it names a fragment with a reference that is there and not yet open.
+_INLINE = """WITH RECURSIVE s AS (SELECT p_partkey AS p, p_size, p_partkey * 7 % 500 AS q FROM part),
+    r AS (SELECT p AS root, p AS cur, CAST([] AS BIGINT[]) AS seen, 0 AS n FROM s
+        UNION ALL SELECT r.root, s.q, list_append(r.seen, s.q), r.n + 1 FROM r JOIN s ON s.p = r.cur JOIN s AS nxt ON nxt.p = s.q WHERE s.p % 2 = 0 AND s.p % 3 = s.q % 3 AND NOT list_contains(r.seen, s.q)),
+    ends AS (SELECT root, arg_max(cur, n) AS cur FROM r GROUP BY root),
+    found AS (SELECT ends.root, s.p, s.q, s.p % 2 = 1 AND s.p % 3 = s.q % 3 AND t.p IS NOT NULL AS ok, t.p_size AS size FROM ends JOIN s ON s.p = ends.cur LEFT JOIN s AS t ON t.p = s.q)
+    SELECT concat('https://h', CAST(root % 3 AS VARCHAR), '.example.com/d/', CAST(root AS VARCHAR), '.json') AS url,
+        concat('{"a":', CASE WHEN ok THEN CAST(size AS VARCHAR) ELSE concat('{"$ref":"https://h', CAST(found.p % 3 AS VARCHAR), '.example.com/d/', CAST(found.q AS VARCHAR), '.json#/', CASE WHEN found.p % 2 = 0 THEN 'a' ELSE 'c/x' END, '"}') END,
+            ',"b":[{"$ref":"#/c"},{"$ref":"more.json#/q","note":1}],"c":{"x":', CAST(s.p_size AS VARCHAR), '}}') AS resolved,
+        CASE WHEN ok THEN 0 ELSE 1 END AS n_unresolved FROM found JOIN s ON s.p = found.root"""
+
+
+@query(_INLINE.replace("{", "{{").replace("}", "}}"))
 def g8_inline(spark, d):
-    """Every specification with its references replaced; tests compare it with resolving one by one. Every other one refers to a fragment that holds a reference."""
+    """Every specification with its references replaced. Every other one refers to a fragment that holds a reference."""
     docs = view(spark, d, "specs")
     own = docs.select(F.concat(F.lit("https://h"), (F.col("p_partkey") % 3).cast("string"), F.lit(".example.com/d/"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("url"),
                       F.when(F.col("p_partkey") % 2 == 0, F.replace("body", F.lit("#/c/x"), F.lit("#/a"))).otherwise(F.col("body")).alias("body"))
@@ -404,6 +451,12 @@ def l2_host_summary(spark, d):
     return g.host_summary(_links(spark, d).where("ref LIKE 'http%'"), "ref", "page_id")
 
 
+@query("SELECT regexp_extract(url, '^https?://([^/:#]*)', 1) AS host, count(*) AS n_refs, count(DISTINCT url) AS n_targets, count(DISTINCT page_id % 97) AS n_documents FROM pages GROUP BY 1")
+def l2_host_summary_of_pages(spark, d):
+    """The pages' own addresses as targets, dealt to 97 documents that refer to them."""
+    return g.host_summary(table(spark, d, "pages").select("url", (F.col("page_id") % 97).alias("src")), "url", "src")
+
+
 # ---------------------------------------------------------------- access
 
 PUBLIC = ["/openapi", "/static/(img|css)"]
@@ -436,6 +489,13 @@ def a3_audience(spark, d):
     return view(spark, d, "claims").select("sub", a.token_reason(AUD, None, 0, F.col("aud")).alias("reason"))
 
 
+@query(f"SELECT sub, {_REASON.replace(' WHEN exp < 1700012000 THEN ' + repr('expired'), '')} AS reason FROM {{claims}}")
+def a3_audience_text(spark, d):
+    """Claims whose audience is text: a plain string, or a JSON list where there are several."""
+    df = view(spark, d, "claims").withColumn("aud", F.when(F.size("aud") == 1, F.col("aud")[0]).when(F.size("aud") > 1, F.to_json("aud")))
+    return df.select("sub", a.token_reason(AUD, ISS, 0, a.audience(a.audience_list())).alias("reason"))
+
+
 @query(f"SELECT sub, array_to_string({_AUD}, ' ') AS aud FROM {{claims}}")
 def a4_audience_fallback(spark, d):
     return view(spark, d, "claims").select("sub", F.array_join(a.audience(), " ").alias("aud"))
@@ -622,6 +682,54 @@ def r1_stream_decisions(spark, d):
     return streams.run_once(stream, rule, "decisions")
 
 
+def _streamed(spark, df, rule, name):
+    """What a rule gives on a stream of a view's rows."""
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return streams.run_once(streams.read_parquet_stream(df, path), rule, name)
+
+
+@query("""SELECT req_id, CASE WHEN method = 'OPTIONS' OR {pub} OR "user" IS NOT NULL THEN 'pass' WHEN req_id % 9 = 0 THEN 'redirect' ELSE 'unauthenticated' END AS decision,
+    CASE WHEN "user" IS NOT NULL THEN 'ok' WHEN lower("authorization") LIKE 'bearer %' THEN 'invalid_token' ELSE 'unauthenticated' END AS outcome,
+    CASE WHEN path = '/collections' THEN '/collections/' ELSE path END AS path FROM {{requests}}""".replace("{{requests}}", "{requests}").replace("{pub}", _PUB))
+def r1_stream_requests(spark, d):
+    """Decision, bearer outcome and mount path of requests on a stream."""
+    def rule(df):
+        df = df.withColumns({"kind": F.lit("http"), "has_claims": F.col("user").isNotNull(), "redirect": F.col("req_id") % 9 == 0})
+        return df.select("req_id", a.decision(_public())["decision"].alias("decision"), a.bearer_outcome().alias("outcome"), t.mount_root("path", "/collections").alias("path"))
+
+    return _streamed(spark, view(spark, d, "requests"), rule, "request-rules")
+
+
+@query(f"SELECT sub, {_REASON} AS reason, array_to_string({_AUD}, ' ') AS aud, CASE WHEN sub % 3 = 1 THEN NULL WHEN sub % 3 = 0 THEN 'write' ELSE 'read' END AS scope FROM {{claims}}")
+def r1_stream_tokens(spark, d):
+    """Audience, issuer, expiry and scope checks of tokens on a stream."""
+    claims = view(spark, d, "claims").selectExpr("*", "array('read', 'write') AS required", "CASE sub % 3 WHEN 0 THEN array('read') WHEN 1 THEN array('write', 'read', 'x') END AS granted")
+
+    def rule(df):
+        return df.select("sub", a.token_reason(AUD, ISS, 1700012000).alias("reason"), F.array_join(a.audience(), " ").alias("aud"), a.missing_scope().alias("scope"))
+
+    return _streamed(spark, claims, rule, "token-rules")
+
+
+def r1_stream_rewrite(spark, d):
+    """Forwarded links, body length and marker of responses on a stream."""
+    return _streamed(spark, view(spark, d, "responses"), lambda df: t.rewrite_links(df, APP).select("resp_id", "body", "content_length", "forwarded_url"), "rewrites")
+
+
+QUERIES["r1_stream_rewrite"], SQL["r1_stream_rewrite"] = r1_stream_rewrite, SQL["t1_t2_t3_rewrite"]
+
+
+@query("SELECT req_id, 401 AS status FROM {requests} WHERE NOT {pub} AND req_id % 4 NOT IN (0, 1)".replace("{pub}", _PUB))
+def r1_stream_keys(spark, d):
+    """Requests beyond public paths without a known key, on a stream that meets a static table of keys."""
+    def rule(df):
+        known = rows(spark, [("0",), ("1",)], ["key_hash"])
+        return a.rejected_keys(df.withColumn("key_hash", (F.col("req_id") % 4).cast("string")), known, _public()).select("req_id", "status")
+
+    return _streamed(spark, view(spark, d, "requests"), rule, "key-rules")
+
+
 def _stream_fetches(spark, d):
     path = shared_path(spark, "accesses")
     df = view(spark, d, "accesses").select("url_id", "t")

@@ -12,22 +12,23 @@ def csv_features(spark: SparkSession, path: str, schema: T.StructType | str, id_
     return df.withColumnsRenamed({id_field: "id", x_field: "lon", y_field: "lat"})
 
 
-def geojson_features(spark: SparkSession, path: str, properties: str, id_field: str = "id", collection: bool = False) -> DataFrame:
-    """GeoJSON as features with the envelope of their geometry: ``id``, properties, ``geometry``, ``minx, miny, maxx, maxy``.
+def geojson_features(spark: SparkSession, path: str, properties: str, id_field: str = "id", collection: bool = False, title_field: str | None = None, by_line: bool = False) -> DataFrame:
+    """GeoJSON as features with the envelope of their geometry: ``id``, properties, ``geometry``, ``minx, miny, maxx, maxy``, and ``title`` if a field is named.
 
-    ``properties`` is the DDL of the property columns. By default the file has a feature a line, which Spark can split;
-    with ``collection`` it is one FeatureCollection, which is one task's work. Points and nested rings are both read as text
-    of their coordinates, from which the numbers are taken in order.
+    ``properties`` is the DDL of the property columns. By default a file has a feature a line, which Spark can split; with ``collection`` it is
+    one FeatureCollection, which is one task's work, or with ``by_line`` too, a FeatureCollection a line. Geometries of any depth are read as text of their
+    coordinates; of each position, the innermost list, the first two numbers count, so altitudes are left out. A null geometry has a null envelope.
     """
     feature = f"type string, id bigint, properties struct<{properties}>, geometry struct<type:string,coordinates:string>"
     if collection:
-        rows = spark.read.schema(f"type string, features array<struct<{feature.replace(' string', ':string').replace(' bigint', ':bigint').replace('properties struct', 'properties:struct').replace('geometry struct', 'geometry:struct')}>>").json(path, multiLine=True).select(F.inline("features"))
+        rows = spark.read.schema(f"type string, features array<struct<{feature.replace(' string', ':string').replace(' bigint', ':bigint').replace('properties struct', 'properties:struct').replace('geometry struct', 'geometry:struct')}>>").json(path, multiLine=not by_line).select(F.inline("features"))
     else:
         rows = spark.read.schema(feature).json(path)
-    numbers = F.expr(r"transform(regexp_extract_all(geometry.coordinates, '(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)', 1), x -> cast(x as double))")
-    rows = rows.where("type = 'Feature'").withColumn("_n", numbers)
-    xs, ys = F.expr("filter(_n, (x, i) -> i % 2 = 0)"), F.expr("filter(_n, (x, i) -> i % 2 = 1)")
+    positions = F.expr(r"transform(regexp_extract_all(geometry.coordinates, '\\[([^\\[\\]]+)\\]', 1), x -> split(x, ','))")
+    rows = rows.where("type = 'Feature'").withColumn("_n", positions)
+    xs, ys = (F.expr(f"transform(_n, x -> try_cast(trim(get(x, {i})) as double))") for i in (0, 1))
     out = rows.select("id", "properties.*", "geometry", F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+    out = out if title_field is None else out.withColumn("title", F.col(title_field).cast("string"))
     return out if id_field == "id" else out.withColumn("id", F.col(id_field))
 
 

@@ -1,23 +1,39 @@
 """Intermediate tables in the folder that driver and executors share."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of sessions on one machine that name none.
+_LOCAL: dict[str, str] = {}
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder takes its place where the setting is absent."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the setting is absent, as in tests, a session that runs on one machine gets a temporary folder; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillon-")
+    return _LOCAL[context.applicationId]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` and reads it back, so that later rounds do not recompute it and lost executors do not matter."""
+    """Writes ``df`` and reads it back, so that later rounds do not recompute it, and the loss of executors does not matter."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import access as a
@@ -78,6 +79,39 @@ def test_inline_deep_chains_and_cycles(spark):
         assert json.loads(out[u].resolved) == go(body, u, frozenset(), failed) and out[u].unresolved == failed
 
 
+def test_hard_documents(spark):
+    """A long chain, deep JSON, malformed URLs."""
+    n = 30
+    deep = "[" * 3000 + '{"$ref":"http://h/0#/p"}' + "]" * 3000
+    docs = {f"http://h/{i}": json.dumps({"p": {"$ref": f"{i + 1}#/p"} if i < n else i}) for i in range(n + 1)}
+    docs |= {"http://h/bad": '{"x":{"$ref":"http://[bad"},"y":{"$ref":"http://h/30#/p"}}', "http://h/deep": deep, "http://h/abyss": "[" * 2_000_000 + "]" * 2_000_000}
+    out = {r.url: r for r in g.inline(spark.createDataFrame(list(docs.items()), "url string, body string")).collect()}
+    assert out["http://h/0"].resolved == '{"p":30}' and out["http://h/0"].unresolved == []
+    assert out["http://h/bad"].resolved == '{"x":{"$ref":"http://[bad"},"y":30}' and out["http://h/bad"].unresolved == ["http://[bad"]
+    assert out["http://h/deep"].resolved == "[" * 3000 + "30" + "]" * 3000
+    assert out["http://h/abyss"].resolved is None and out["http://h/abyss"].unresolved
+    df = spark.createDataFrame([("http://h/a", "http://[bad"), ("http://[bad", "x"), ("http://h/a", None)], "b string, r string")
+    assert [tuple(r.x) for r in df.select(g.resolve("b", "r").alias("x")).collect()] == [(None, "malformed URL")] * 2 + [("http://h/a", None)]
+
+
+def test_closure_bound_is_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
+    assert g.closure(chain).count() == 210 and g.closure(chain, 6).count() == 210
+    with pytest.raises(RuntimeError):
+        g.closure(chain, 3).count()
+
+
+def test_replay_of_a_busy_key(spark):
+    random.seed(5)
+    rows = [("k", t) for t in sorted(random.sample(range(100_000), 3000))] + [("j", 7), ("j", 7)]
+    last, expected = None, 0
+    for t in [t for k, t in rows if k == "k"]:
+        if last is None or t - last > 60:
+            last, expected = t, expected + 1
+    out = g.replay(spark.createDataFrame(rows, "k string, t long"), "k", "t", 60)
+    assert out.columns == ["k", "t", "fetched"] and out.where("fetched and k = 'k'").count() == expected and out.where("fetched and k = 'j'").count() == 1
+
+
 def test_replay_restarts_on_fetches_only(spark):
     df = spark.createDataFrame([("a", t) for t in (0, 50, 100, 101, 150, 201, 202)] + [("b", 5)], "k string, t long")
     hits = {(r.k, r.t) for r in g.replay(df, "k", "t", 100).where("fetched").collect()}
@@ -109,6 +143,28 @@ def test_feature_collection_file(spark, tmp_path):
     assert (r.id, r.name, r.minx, r.miny, r.maxx, r.maxy) == (1, "L", 0, 0, 2, 3)
 
 
+def test_envelopes_with_altitude(spark, tmp_path):
+    shapes = [("Point", [1, 2, 300]), ("LineString", [[10, -5, 900], [11, -4, 901]]), ("MultiPolygon", [[[[0, 0], [4, 0], [4, 3], [0, 0]]], [[[-7.5, 1e1, 5], [2, 2, 2], [1, 1, 1], [-7.5, 1e1, 5]]]])]
+    lines = [json.dumps({"type": "Feature", "id": i, "properties": {"name": f"n{i}"}, "geometry": {"type": k, "coordinates": x}}) for i, (k, x) in enumerate(shapes)]
+    lines += ['{"type":"Feature","id":3,"properties":{"name":"none"},"geometry":null}', '{"type":"Other","id":4}']
+    (tmp_path / "f.json").write_text("\n".join(lines))
+    out = readers.geojson_features(spark, str(tmp_path), "name string", title_field="name").orderBy("id").collect()
+    assert [(r.minx, r.miny, r.maxx, r.maxy) for r in out] == [(1, 2, 1, 2), (10, -5, 11, -4), (-7.5, 0, 4, 10), (None,) * 4] and [r.title for r in out] == ["n0", "n1", "n2", "none"]
+
+
+def test_queryables_that_are_null(spark):
+    from quillon.operators import catalog
+
+    bodies = ['{"components":{"schemas":{"queryables":null}}}', '{"components":{"schemas":{}}}', '{"queryables":1}', None]
+    out = catalog.correct_queryables(spark.createDataFrame([(b,) for b in bodies], "body string"), '{"type":"object"}').collect()
+    assert [(r.body, r.corrected) for r in out] == [('{"components":{"schemas":{"queryables":{"type":"object"}}}}', True)] + [(b, False) for b in bodies[1:]]
+
+
+def test_audience_as_text(spark):
+    df = spark.createDataFrame([("x",), ('["x","y"]',), ("",), (None,), (" ",)], "aud string")
+    assert [r.x for r in df.select(a.audience_list().alias("x")).collect()] == [["x"], ["x", "y"], None, None, None]
+
+
 def test_json_keeps_nulls(spark):
     df = spark.createDataFrame([(1, None, 2.5, 3.0)], "id long, name string, lon double, lat double")
     assert json.loads(sinks.geojson(df, ["name"]).first().value) == {"type": "Feature", "id": 1, "properties": {"name": None}, "geometry": {"type": "Point", "coordinates": [2.5, 3.0]}}

@@ -28,5 +28,5 @@ def test_rows_equal(spark, duck, sf_dir, name):
     assert sorted(found, key=key) == sorted(expected, key=key)
 
 
-def test_all_but_inlining_have_sql():
-    assert set(QUERIES) - set(SQL) == {"g8_inline"}
+def test_all_have_sql():
+    assert set(QUERIES) == set(SQL)
