@@ -1,49 +1,53 @@
 """Helpers that several operators share: scratch tables, hashing constants, connected components."""
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+import ctypes
+import gc
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import materialise
+
 #: Ids that are broadcast as a join side at most (16 MB of longs); larger sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
 
-#: Folders of sessions on one machine that name none.
-_LOCAL: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: writes ``df`` to the shared folder as Parquet and reads it back.
 
-    Where the setting is absent, as in tests, a session that runs on one machine gets a temporary folder; on a cluster that is an error.
+    The written table survives the loss of any executor.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    context = spark.sparkContext
-    if not re.fullmatch(r"local(\[.*\])?", context.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _LOCAL:
-        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return _LOCAL[context.applicationId]
+    return materialise(df, name)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
+def released(run):
+    """A function over Arrow batches that gives its memory back at the end of a task: workers outlive tasks, and later stages use them too."""
+    def over(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
 
+    return over
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder as Parquet and reads it back.
 
-    The written table survives the loss of any executor.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def slices(batch: pa.RecordBatch, at: int, most: int = 4_000_000):
+    """Parts of a batch whose column ``at`` has about ``most`` bytes, or one longer value."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(size):
+        stop = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + most, side="right")))
+        yield batch.slice(first, stop - first)
+        first = stop
 
 
 def documents(df: DataFrame) -> DataFrame:
@@ -64,6 +68,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return f"_{name}"
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of those names renamed, and the renaming that gives them back."""
+    renamed = {c: fresh(df, f"own_{c}") for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(renamed), {v: k for k, v in renamed.items()}
+
+
 def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` is in ``ids``. The id list is broadcast only below a checked count."""
     ids = ids.select(column).distinct()
@@ -103,4 +113,4 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-__all__ = ["BROADCAST_IDS", "connected_components", "documents", "fresh", "only_ids", "save", "scratch_dir", "scratch_path", "small"]
+__all__ = ["BROADCAST_IDS", "connected_components", "documents", "fresh", "only_ids", "released", "save", "set_aside", "slices", "small"]
