@@ -15,13 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import documents
+from quillon.llm.common import documents, released, set_aside, slices
 from quillon.llm.labelled import sample
 
 #: Hash buckets of words and of shapes; the last bucket of all counts words equal to the one before.
 WORDS, SHAPES = 1 << 15, 1 << 10
 REPEAT = WORDS + SHAPES
-CACHE_CHUNKS, CACHE_CHARS = 600_000, 64
+CACHE_CHUNKS, CACHE_CHARS = 400_000, 64
 _CORE = re.compile(r"\w+")
 
 
@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows: i
                 n.append([x / total for x in c.values()])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["label", "ids", "shares"])
 
-    rows = sample(docs, labels, column, max_rows, where).select("text", "label").mapInArrow(count, "label int, ids array<int>, shares array<float>").toArrow()
+    rows = sample(docs, labels, column, max_rows, where).select("text", "label").mapInArrow(released(count), "label int, ids array<int>, shares array<float>").toArrow()
     grade = rows["label"].to_numpy()
     grades = sorted(set(grade.tolist())) or [0]
     weights = np.zeros(REPEAT + 1)
@@ -127,7 +127,7 @@ def grade(docs: DataFrame, model: OrdinalModel, tail_from: int | None = None, cu
     """``docs`` with ``expected_grade``, ``tail_probability`` (of a grade of at least ``tail_from``; the highest by default)
     and ``keep`` (that probability is at least ``cutoff``).
 
-    All columns pass through, those three names replaced. Null and empty texts have the score 0 and are graded by the
+    All columns pass through, those three names replaced. Texts of any length are counted whole. Null and empty texts have the score 0 and are graded by the
     thresholds alone. Repeated rows get equal results; an empty table gives an empty result. Per row, no shuffle.
     """
     new = ("expected_grade", "tail_probability", "keep")
@@ -141,19 +141,21 @@ def grade(docs: DataFrame, model: OrdinalModel, tail_from: int | None = None, cu
     def run(batches):
         scorer = Scorer(shared.value)
         grades = np.array(scorer.model.grades, float)
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, at)):
             tails = scorer.model.tails(np.array([scorer.score(x.as_py() or "") for x in batch.column(at)]))
             expected = grades[0] + (tails * np.diff(grades)).sum(axis=1)
             which = int(np.searchsorted(grades, first))
             tail = np.ones(batch.num_rows) if which == 0 else tails[:, which - 1] if which < len(grades) else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail), pa.array(tail >= cutoff)], [*batch.schema.names, *new])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(released(run), schema)
 
 
 def select(docs: DataFrame, labels: DataFrame, column: str = "quality", cutoff: float = 0.5) -> DataFrame:
-    """Documents whose text belongs to the highest grade with at least ``cutoff``; columns unchanged."""
-    return grade(docs, fit(docs, labels, column), cutoff=cutoff).where("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents whose text belongs to the highest grade with at least ``cutoff``; columns unchanged, whatever their names."""
+    own, back = set_aside(docs, ("expected_grade", "tail_probability", "keep"))
+    kept = grade(own, fit(docs, labels, column), cutoff=cutoff).where("keep")
+    return kept.select(*[F.col(f"`{c}`") for c in own.columns]).withColumnsRenamed(back)
 
 
 def graded_documents(docs: DataFrame, labels: DataFrame, column: str = "quality", cutoff: float = 0.5) -> DataFrame:
