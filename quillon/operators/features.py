@@ -84,7 +84,8 @@ def predicate(df: DataFrame, text: str, queryables: Sequence[str]) -> DataFrame:
 
 
 def page(df: DataFrame, limit: int | None = None, offset: int = 0, id_field: str = "id") -> DataFrame:
-    """One page by id: 20 rows by default, 50 at most. A top-k, not a sort of everything."""
+    """One page by id: 20 rows by default, 50 at most. A top-k, not a sort of everything; it holds offset and limit rows, so for a deep page
+    filter by the last id of the page before instead."""
     size = DEFAULT_LIMIT if limit is None else limit
     if size < 1 or offset < 0:
         raise ValueError("limit is at least 1, offset at least 0")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import features as f
 
+#: Five observations that the expected results are stated for.
 OBS = [(371, 35, "2001-10-30T14:24:55Z", 89.9, 45.0, -75.0), (377, 35, "2002-10-30T18:31:38Z", 93.9, 45.0, -75.0), (238, 2147, "2007-10-30T08:57:29Z", 103.5, 43.0, -79.0),
        (297, 2147, "2003-10-30T07:37:29Z", 93.5, 43.0, -79.0), (964, 604, "2000-10-30T18:24:39Z", 99.9, 49.0, -122.0)]
 
