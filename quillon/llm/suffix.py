@@ -12,14 +12,12 @@ the range of places is halved, which lengthens the core, until the groups are sm
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillon.llm.common import BROADCAST_IDS, save
+from quillon.llm.common import BROADCAST_IDS, released, save, set_aside
 
 #: Bytes of the k-grams; bytes of text that one numpy step scans and that one index holds, except for a longer value.
 GRAM, STEP_BYTES, INDEX_BYTES = 16, 700_000, 400_000
@@ -281,7 +279,7 @@ def _cut(length: int):
 
 def _indexed(parts: DataFrame, length: int) -> DataFrame:
     run, schema = _index(length)
-    return parts.select("key", "seg", "part").repartition("key").sortWithinPartitions("key", "seg").mapInArrow(run, schema)
+    return parts.select("key", "seg", "part").repartition("key").sortWithinPartitions("key", "seg").mapInArrow(released(run), schema)
 
 
 def _refined(parts: DataFrame, length: int) -> DataFrame | None:
@@ -296,7 +294,7 @@ def _refined(parts: DataFrame, length: int) -> DataFrame | None:
     rows, marks = rows.withColumn("origin", F.concat(F.unhex(F.lpad(F.hex("origin.key"), 16, "0")), F.col("origin.seg"))), None
     while not rows.isEmpty():
         run, schema = _halved(length)
-        rows = save(rows.mapInArrow(run, schema), "halves")
+        rows = save(rows.mapInArrow(released(run), schema), "halves")
         distinct = rows.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"))
         groups = save(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n_segs"), F.max("n").alias("most")).where("n_segs > 1 or most > 1"), "groups")
         rows = save(rows.join(groups, "key").join(distinct.where("n > 1"), ["key", "seg"], "left"), "halves")
@@ -319,8 +317,9 @@ def _pairs(spans, shift):
     return F.transform(spans, lambda w: F.struct((w["lo"] + shift).alias("lo"), (w["hi"] + shift).alias("hi")))
 
 
-def _remove(length: int, at: int, names: list[str]):
-    """Takes the bytes that marked windows cover out of the text at column ``at``; the last column has the marks."""
+def _remove(length: int, at: int, names: list[str], whole: bool):
+    """Takes the bytes that marked windows cover out of the text at column ``at``; the last column has the marks. ``whole``: characters
+    that lose some of their bytes go as a whole."""
     def removed(text: bytes, marks) -> tuple[bytes, int, int]:
         if not marks:
             return text, 0, 0
@@ -332,7 +331,8 @@ def _remove(length: int, at: int, names: list[str]):
                 np.add.at(edge, starts + hi + length, -1)
         gone = np.cumsum(edge[:-1]) > 0
         spans = int(gone[0]) + int((gone[1:] > gone[:-1]).sum())
-        return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
+        kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+        return kept.decode("utf-8", "ignore").encode() if whole else kept, int(gone.sum()), spans
 
     def run(batches):
         for batch in batches:
@@ -353,31 +353,34 @@ def _remove(length: int, at: int, names: list[str]):
 NEW = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
-def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, whole_characters: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (binary: the remaining UTF-8 bytes).
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or another; all
     occurrences go, and strings are judged on the input. Texts are bytes of UTF-8, null is empty, matches never cross texts.
     A text of at least ``length`` bytes that another row repeats goes as a whole; shorter texts stay, whatever repeats.
-    Rows that repeat an id count as rows of their own. Other columns pass through, and those four names are replaced.
+    Rows that repeat an id count as rows of their own. Other columns pass through, whatever their names, and those four names are replaced.
+    An empty table gives an empty result. With ``whole_characters``, ``kept`` has no characters that lost some of their bytes.
 
     Copies are counted by digest (one row a text and task after the partial sum) and scanned once. What is shuffled: a
     row of about 60 bytes for each segment (four in a window's length), texts with segments to compare, and texts that
     are not wholly copies. Keys with more than ``MANY_SEGMENTS`` different segments are refined, so no group is held as a whole.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW])
+    names = [c for c in docs.columns if c not in NEW]
+    own = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)]  # no name of theirs meets one used here
+    docs = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own)])
     rows = _tagged(docs, length)
     # one row of each repeated text, or a few where ids repeat: those add nothing
     once = rows.where(~F.col("_whole") | F.col("doc_id").cast("long").eqNullSafe(F.col("_keep"))).where(F.octet_length("text") >= length)
     run, schema = _scan(length)
-    found = save(once.select("_h", "text").mapInArrow(run, schema), "segments")
+    found = save(once.select("_h", "text").mapInArrow(released(run), schema), "segments")
 
     distinct = found.groupBy("key", "seg").agg(F.sum((F.octet_length("starts") / 4).cast("long")).alias("n"), F.min(F.struct("h", F.substring("starts", 1, 4).alias("starts"), "n_windows", "place")).alias("at"))
     distinct = save(distinct.select("key", "seg", "n", "at.*"), "distinct")
     several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n_segs")).where("n_segs > 1")
     wanted = distinct.join(several, "key").select(F.col("h").alias("_h"), F.struct("key", "seg", "starts", "n_windows", "place", "n_segs").alias("want"))
     run, schema = _cut(length)
-    parts = save(once.select("_h", "text").join(wanted.groupBy("_h").agg(F.collect_list("want").alias("want")), "_h").select("text", "want").mapInArrow(run, schema), "parts")
+    parts = save(once.select("_h", "text").join(wanted.groupBy("_h").agg(F.collect_list("want").alias("want")), "_h").select("text", "want").mapInArrow(released(run), schema), "parts")
 
     marks = distinct.where("n > 1").select("key", "seg", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("windows"))
     marks = marks.union(_indexed(parts.where(F.col("n_segs") <= MANY_SEGMENTS), length))
@@ -387,23 +390,21 @@ def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     marked = save(marked.groupBy("_h").agg(F.collect_list("mark").alias("_marks")), "marked")
 
     size = F.octet_length("text").cast("long")
-    gone = rows.where("_whole").select(*[F.col(f"`{c}`") for c in docs.columns], size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
-    rest = rows.where("not _whole").join(marked, "_h", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_marks")
-    schema = "".join(f"`{c.replace('`', '``')}` {t}, " for c, t in docs.dtypes) + "n_bytes long, n_removed long, n_spans long, kept binary"
-    return rest.mapInArrow(_remove(length, docs.columns.index("text"), docs.columns), schema).unionByName(gone)
+    gone = rows.where("_whole").select(*own, size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+    rest = rows.where("not _whole").join(marked, "_h", "left").select(*own, "_marks")
+    schema = "".join(f"{c} {t}, " for c, t in docs.dtypes) + "n_bytes long, n_removed long, n_spans long, kept binary"
+    return rest.mapInArrow(released(_remove(length, own.index("text"), own, whole_characters)), schema).union(gone).toDF(*names, *NEW)
 
 
 def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and ``n_chars``, where there is one, counted anew.
 
-    Characters that lose some of their bytes go as a whole.
+    Characters that lose some of their bytes go as a whole. Null texts become empty; other texts without repeats stay as they are.
+    Columns may have any names. An empty table gives an empty result.
     """
-    @F.pandas_udf(T.StringType())
-    def _decoded(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: b.decode("utf-8", "ignore"))
-
-    out = cut_repeats(docs, length).withColumn("text", F.when(F.col("n_removed") > 0, _decoded(F.col("kept"))).otherwise(F.col("text")))
+    own, back = set_aside(docs, NEW)
+    out = cut_repeats(own, length, whole_characters=True)
+    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
-
+    return out.select(*[F.col(f"`{c}`") for c in own.columns]).withColumnsRenamed(back)
