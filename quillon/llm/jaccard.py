@@ -19,13 +19,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, fresh, only_ids, save, small
+from quillon.llm.common import connected_components, fresh, only_ids, released, save, slices, small
 
 #: Words whose hashes a worker remembers; keys that are combined, and shingles that are counted, before they leave a task.
-CACHE_WORDS, COMBINE_KEYS, COUNT_HASHES = 1_000_000, 2_000_000, 4_000_000
+CACHE_WORDS, COMBINE_KEYS, COUNT_HASHES = 300_000, 1_000_000, 2_500_000
 #: Documents of a key up to which their pairs are counted.
 MANY = 32
 #: Shingles that are ordered by their frequency at most, and the least count that makes one frequent.
@@ -135,7 +135,7 @@ def frequent_shingles(texts: DataFrame, k: int) -> Frequent:
     order gives the same links.
     """
     run, schema = _counts(k)
-    counts = save(texts.select("text").mapInArrow(run, schema).groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_COUNT), "frequent")
+    counts = save(texts.select("text").mapInArrow(released(run), schema).groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_COUNT), "frequent")
     kinds = {r.kind: r.n for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total, least = 0, 1 + max(kinds, default=0)
     for kind in sorted(kinds, reverse=True):  # as many classes from the top as the bound allows
@@ -402,16 +402,32 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     and equal sets of a task are combined; edges; and the hashes of documents that share a key with another. Texts of any
     length are taken whole. Equality of shingles is that of 64-bit hashes.
     """
+    sketch, members = _routed(docs, k, num, den)
+    sizes, equal = (sketch.where(F.col("kind") == x).select(F.col("a").alias(a), F.col("b").alias(b)) for x, a, b in ((SIZE, "doc_id", "n_shingles"), (EQUAL, "a", "b")))
+    heads = members.where("chunks > 1 and doc_id = block").withColumn("chunk", _upto("chunks"))
+    chunked = members.unionByName(heads).select("block", "chunk", "doc_id", "hashes")
+    near = save(chunked.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(released(_within(num, den)), "a long, b long"), "links")
+    near = near.union(_apart(members, near, num, den)).union(equal)
+    roots = connected_components(near, "a", "b")
+    return sizes.join(roots, sizes.doc_id == roots.node, "left").select("doc_id", F.col("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def _upto(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+def _routed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The sketch, and ``(doc_id, block, chunks, hashes, chunk)`` of documents that may link with another."""
     if not 0 < num <= den:
         raise ValueError("the threshold is not between 0 and 1")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, k))
     run, schema = _sketch(k, num, den, frequent)
-    sketch = save(texts.mapInArrow(run, schema), "sketch")
-    kind = lambda x, a, b: sketch.where(F.col("kind") == x).select(F.col("a").alias(a), F.col("b").alias(b))
-    met = _met(sketch, num, den).union(kind(MET, "a", "b"))
+    sketch = save(texts.mapInArrow(released(run), schema), "sketch")
+    frequent.unpersist()
+    met = _met(sketch, num, den).union(sketch.where(F.col("kind") == MET).select("a", "b"))
     blocks = connected_components(met, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
-    sizes = kind(SIZE, "doc_id", "n_shingles")
+    sizes = sketch.where(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     size = sizes.join(blocks, "doc_id").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("hashes"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("hashes") / CHUNK_HASHES)).cast("long")
     large = save(size.select("block", chunks.alias("chunks")).where("chunks > 1"), "large")
@@ -420,18 +436,71 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
 
     def hashes(batches):
         shingle = Shingler(k)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingle(x.as_py() or "").tobytes() for x in batch.column(3)], pa.binary())], ["doc_id", "block", "chunks", "hashes"])
+        for part in (p for b in batches for p in slices(b, 3)):
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([shingle(x.as_py() or "").tobytes() for x in part.column(3)], pa.binary())], ["doc_id", "block", "chunks", "hashes"])
 
     # block numbers go to the texts where their count allows it, so that texts and hashes are not shuffled for this join
-    sets = texts.join(small(blocks), "doc_id").select("doc_id", "block", "chunks", "text").mapInArrow(hashes, "doc_id long, block long, chunks long, hashes binary").where(F.octet_length("hashes") > 0)
-    members = save(sets.withColumn("chunk", F.pmod(F.xxhash64("hashes"), F.col("chunks"))), "members")  # equal sets meet in a chunk
-    heads = members.where("chunks > 1 and doc_id = block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    chunked = members.unionByName(heads).select("block", "chunk", "doc_id", "hashes")
-    near = save(chunked.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(_within(num, den), "a long, b long"), "links")
-    near = near.union(_apart(members, near, num, den)).union(kind(EQUAL, "a", "b"))
-    roots = connected_components(near, "a", "b")
-    return sizes.join(roots, sizes.doc_id == roots.node, "left").select("doc_id", F.col("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    sets = texts.join(small(blocks), "doc_id").select("doc_id", "block", "chunks", "text").mapInArrow(released(hashes), "doc_id long, block long, chunks long, hashes binary").where(F.octet_length("hashes") > 0)
+    return sketch, save(sets.withColumn("chunk", F.pmod(F.xxhash64("hashes"), F.col("chunks"))), "members")  # equal sets meet in a chunk
+
+
+def representatives(docs: DataFrame, k: int = 5) -> DataFrame:
+    """``(doc_id, representative)``: the smallest id of a document with an equal set. Documents without words, and rows without an id, have no row;
+    rows that repeat an id have one for each different set."""
+    def digests(batches):
+        shingle = Shingler(k)
+        for batch in batches:
+            sets = [shingle(x.as_py() or "") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["doc_id", "digest"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    found = save(texts.mapInArrow(released(digests), "doc_id long, digest binary").where("digest is not null").distinct(), "digests")
+    return found.join(found.groupBy("digest").agg(F.min("doc_id").alias("representative")), "digest").select("doc_id", "representative")
+
+
+def linked_pairs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``(a, b)``, a < b: every link between documents with different sets, each set being represented by its smallest id (``representatives`` says
+    for which others). Ids are unique.
+
+    Nothing is left out and copies are not expanded; yet m texts that are all near copies of each other have m (m - 1) / 2 links, and each
+    is a row. Where such groups are large, ``components`` is what scales. An empty table gives an empty result.
+    """
+    own = representatives(docs, k).where("doc_id = representative").select("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    _, members = _routed(only_ids(rows, save(own, "own"), "doc_id"), k, num, den)
+    # each chunk meets each of its block once, itself included
+    both = members.withColumn("other", _upto("chunks")).withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
+    both = both.select("block", "lo", "hi", "chunk", "doc_id", "hashes").repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "chunk")
+    return both.mapInArrow(released(_every(num, den)), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+class Apart(Union):
+    """Members that are never taken as connected, so that a traversal gives all links."""
+
+    def join(self, i: int, j: int) -> bool:
+        return True
+
+
+def _every(num: int, den: int):
+    """All links within a chunk or between two: ``(block, lo, hi, chunk, id, hashes)`` in, ``(a, b)`` out."""
+    def found(rows):
+        trees, ids = [], []
+        for chunk in dict.fromkeys(r[3] for r in rows):
+            mine = [r for r in rows if r[3] == chunk]
+            sets = [np.frombuffer(r[5], np.uint64) for r in mine]
+            order = _order(sets)
+            trees.append(SignatureTree([sets[i] for i in order]))
+            ids.append([mine[i][4] for i in order])
+        if rows[0][1] != rows[0][2] and len(trees) < 2:
+            return
+        for i, j in links(trees[0], trees[-1], Apart(sum(map(len, ids))), len(ids[0]) * (len(trees) - 1), num, den):
+            yield ids[0][i], ids[-1][j]
+
+    def run(batches):
+        for rows in _groups(batches, 3):
+            yield from _edge_batches(found(rows))
+
+    return run
 
 
 def _apart(members: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
@@ -447,11 +516,10 @@ def _apart(members: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame
     rest = small(save(labels.where("label <> main").groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).cast("long").alias("slices")), "rest"))
     rows = members.join(small(labels.select("doc_id", "label", "main")), "doc_id").join(rest, "block")
     cols = ["block", "chunk", "slice", "probe", "doc_id", "label", "hashes"]
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    there = rows.withColumn("slice", upto("slices")).withColumn("probe", F.lit(False)).select(cols)
-    probes = rows.where("label <> main").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices"))).withColumn("chunk", upto("chunks")).withColumn("probe", F.lit(True)).select(cols)
+    there = rows.withColumn("slice", _upto("slices")).withColumn("probe", F.lit(False)).select(cols)
+    probes = rows.where("label <> main").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices"))).withColumn("chunk", _upto("chunks")).withColumn("probe", F.lit(True)).select(cols)
     both = there.union(probes).repartition("block", "chunk", "slice").sortWithinPartitions("block", "chunk", "slice")
-    return save(both.mapInArrow(_across(num, den), "a long, b long"), "links")
+    return save(both.mapInArrow(released(_across(num, den)), "a long, b long"), "links")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -56,6 +56,26 @@ def test_components(spark, monkeypatch, k, num, chunk):
     assert sorted(tuple(r) for r in found.collect()) == linked(rows, k, num, 100)
 
 
+@pytest.mark.parametrize("chunk", [2000, 8])
+def test_linked_pairs(spark, monkeypatch, chunk):
+    """Every link between different sets, and whom their representatives stand for."""
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", chunk)
+    rows = list(dict(near_copies(21, 150)).items())
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset([tuple(w)] if 0 < len(w) < 3 else [tuple(w[j: j + 3]) for j in range(len(w) - 2)])
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard.representatives(df, 3).collect()} == {(i, first[x]) for i, x in sets.items() if x}
+    own = sorted(i for x, i in first.items() if x)
+    expected = [(a, b) for n, a in enumerate(own) for b in own[n + 1:] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert sorted(tuple(r) for r in jaccard.linked_pairs(df, 3, 80, 100).collect()) == expected and len(expected) > 50
+    assert jaccard.linked_pairs(df.limit(0)).count() == 0
+
+
 def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (3, "a b c d")], "doc_id long, text string")
     assert sorted(map(str, jaccard.components(df, 3, 90, 100).collect())) == sorted(["Row(doc_id=None, n_shingles=2, component_id=None)"] * 2 + ["Row(doc_id=3, n_shingles=2, component_id=3)"])
@@ -66,16 +86,20 @@ def test_empty_and_null_ids(spark):
 def test_keep_one(spark):
     rows = [(i, t) for i, t in near_copies(4, 120)]
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100)
-    expected = {c for _, _, c in linked(rows, 3, 80, 100)}
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
+    groups = {}
+    for (n, _, c), (i, _) in zip(linked([(n, t) for n, (_, t) in enumerate(rows)], 3, 80, 100), rows):
+        groups.setdefault(c, []).append(i)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in groups.values())
 
 
-def test_slots_always_meet():
+def test_prefixes_always_meet():
     rng = np.random.default_rng(5)
+    few = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    order = jaccard.Frequent(few, rng.integers(4, 5000, 400))
     for num in (70, 80, 90, 95):
         for n in (1, 2, 5, 9, 10, 17, 40, 150, 600):
             for _ in range(25):
-                a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                a = np.unique(np.concatenate([rng.integers(0, 1 << 63, n - n // 3), rng.choice(few, n // 3)]).astype(np.uint64))
                 b = set(a.tolist())
                 while True:  # change as much as the threshold allows
                     c = set(b)
@@ -87,16 +111,48 @@ def test_slots_always_meet():
                     if 100 * both < num * (len(a) + len(c) - both):
                         break
                     b = c
-                keys = jaccard.slot_keys(a, num, 100), jaccard.slot_keys(np.array(sorted(b), np.uint64), num, 100)
+                keys = jaccard.prefix_keys(a, order, num, 100), jaccard.prefix_keys(np.array(sorted(b), np.uint64), order, num, 100)
                 assert len(np.intersect1d(*keys))
 
 
+@pytest.mark.parametrize(("k", "num", "chunk"), [(3, 90, 2000), (5, 80, 2000), (5, 80, 9), (3, 70, 9)])
+def test_common_passage(spark, monkeypatch, k, num, chunk):
+    """A passage that all texts share, as a small and as a large part of them, next to near copies."""
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", chunk)
+    random.seed(num + chunk)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} {t}") for i, t in near_copies(11, 150) if t]
+    rows += [(9000 + i, f"{passage} {' '.join(f'u{i}x{j}' for j in range(i % 60))}") for i in range(120)]
+    found = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), k, num, 100)
+    assert sorted(tuple(r) for r in found.collect()) == linked(rows, k, num, 100)
+
+
+def test_frequent_shingles_go_last(spark, monkeypatch):
+    rows = [(f"common words of every text here {i} {i + 1} {i + 2}",) for i in range(50)]
+    frequent = jaccard.frequent_shingles(spark.createDataFrame(rows, "text string").repartition(2), 3)
+    kinds = frequent.classes_of(jaccard.Shingler(3)("common words of every text here 7 8 9"))
+    assert sorted(kinds.tolist()) == [0] * 3 + [5] * 4
+    assert len(jaccard.prefix_keys(jaccard.Shingler(3)("common words of every text here 7 8 9"), frequent, 80, 100)) == 2
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)  # more of one class than fit: none of that class
+    assert len(jaccard.frequent_shingles(spark.createDataFrame(rows, "text string"), 3).hashes) == 0
+
+
+def test_keep_one_keeps_unlike_rows_of_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "x", 1), (1, "quite another text of its own", "x", 2), (1, text, "a", 3), (2, text + " z", "b", 4), (3, None, "c", 5), (3, None, "c", 5), (None, text, "d", 6), (None, text, "d", 6), (4, "", "e", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _node string, _gone int")
+    out = jaccard.keep_one(df, 5, 80, 100)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [(1, text, "a", 3), rows[1], rows[4], rows[6], rows[7], rows[8]]))
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(6)
     base = np.unique(rng.integers(0, 1 << 63, 80).astype(np.uint64))
     sets = [np.unique(np.concatenate([rng.choice(base, 60 + i % 20, replace=False), rng.integers(0, 1 << 63, i % 5).astype(np.uint64)])) for i in range(200)]
     tree, union = jaccard.SignatureTree(sets), jaccard.Union(len(sets))
-    list(jaccard.links(tree, tree, union, 0, 70, 100))
+    seen = {}
+    assert len(list(jaccard.links(tree, tree, union, 0, 70, 100, seen))) > 0 < seen["pruned"]
     plain = jaccard.Union(len(sets))
     for i in range(len(sets)):
         for j in range(i):
@@ -155,6 +211,39 @@ def test_index_statistics():
     assert index.runs.sum() == len(text) and len(index.runs) < len(text)
 
 
+def test_op5_at_its_own_length(spark):
+    """The query on the given table at 400 bytes, against brute force over its distinct texts, in place of all strings."""
+    from quillon.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    counts = Counter()
+    for t in docs.values():
+        counts.update(hash(t[i: i + 400]) for i in range(len(t) - 399))
+    seen = 0
+    for r in QUERIES["op5_run_length_dedup"](spark, d).collect():
+        t = docs[r.doc_id]
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if counts[hash(t[i: i + 400])] > 1:
+                gone[i: i + 400] = b"\1" * 400
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        spans = sum(1 for i in range(len(t)) if gone[i] and not (i and gone[i - 1]))
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        seen += spans > 0
+    assert seen > 100
+
+
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "_h", "_keep", "_whole", "_marks", "_copy", "_n", "c2", "kept", "n_bytes", "a.b"]
+    text = "the passage that both have in common, word for word"
+    df = spark.createDataFrame([(i, t, *range(10)) for i, t in ((1, "x" + text), (2, text + "y"), (3, "alone"), (None, None))], "doc_id long, text string, " + ", ".join(f"`{n.replace('`', '``')}` int" for n in names[2:]))
+    assert df.columns == names
+    out = suffix.dedup(df, 40)
+    assert out.columns == names and sorted(map(str, (tuple(r)[1:] for r in out.collect()))) == sorted(str((t, *range(10))) for t in ("x", "y", "alone", ""))
+    assert suffix.cut_repeats(df, 40).columns == [n for n in names if n not in suffix.NEW] + list(suffix.NEW)
+
+
 def test_dedup_keeps_columns(spark):
     long = "é" * 60 + "the passage that both have in common, word for word"
     df = spark.createDataFrame([(1, "x" + long + "y", 7), (2, "q" + long, 7), (3, "alone", 7), (4, None, 7)], "doc_id long, text string, n_chars int")
