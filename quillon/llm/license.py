@@ -1,37 +1,36 @@
 """Licence scans in DataFrame functions and Spark ML only.
 
-Paragraphs (lines) are classified by a multinomial logistic regression over hashed word n-grams, trained on windows of notice
-templates against paragraphs of the corpus. The class ``none`` and a calibrated least probability stand for what is no
-known licence; a prediction counts when the paragraph's word pairs also agree with a template of the predicted family.
+Lines are classified by a multinomial logistic regression over hashed word n-grams, trained on windows of licence texts and notices
+against prose. Neighbouring lines that may belong to a notice are joined to paragraphs, without comment marks and line ends, and
+classified again as a whole. The probability is calibrated on held-out windows and on licences of no known family; below
+one half the class is ``unknown``. A prediction counts when the paragraph's word pairs agree with a template of its family, and
+with no other family's better.
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import documents, save
+from quillon.llm.license_texts import CC_SHORT, CC_VERSIONS, FRAMES, NAMES, PARAGRAPHS, PART_OF, PROSE, SPDX, UNLISTED, WHOLE
 
-NONE = "none"
-#: Opening sentences of public licences and usual one-line notices, by family. Fixed values.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'],
-    "BSD": ["Released under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "Proprietary": ["All rights reserved", "Copyright holder. All rights reserved. Unauthorized copying of this file is strictly prohibited."],
-}
+NONE, UNKNOWN = "none", "unknown"
+FAMILIES = sorted({*NAMES, *PARAGRAPHS})
 WORD = r"[^\p{L}\p{N}]+"
-#: Feature buckets; paragraphs of the corpus that training sees at most; share of those that calibration lets pass.
-BUCKETS, MAX_PARAGRAPHS, FALSE_SHARE = 1 << 12, 4000, 0.0005
+#: Words of which a notice that only names its licence has one.
+CUE = "(?i)licen[sc]|released|distributed|available|under|terms|spdx|dedicat"
+#: Feature buckets; documents and lines of the corpus that training sees, as a mean (they are chosen by hash).
+BUCKETS, TRAIN_DOCUMENTS, TRAIN_LINES = 1 << 13, 4000, 4000
+#: A line may belong to a notice if its probability of ``none`` is below this.
+SEED = 0.9
 #: Share of a template's word pairs, or of the paragraph's, that have to agree.
-AGREE = 0.5
+AGREE = 0.6
 
 
 def _sql_words(text: str) -> str:
@@ -43,96 +42,177 @@ def _pairs(words: str) -> str:
     return f"array_distinct(if(size({words}) < 2, {words}, transform(sequence(1, size({words}) - 1), i -> concat({words}[i - 1], ' ', {words}[i]))))"
 
 
+def _literal(rows: list[tuple], names: list[str], spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])))
+
+
+def _names() -> list[tuple[str, str]]:
+    """Family and name: names in full, and short ones with their versions."""
+    return [(f, n) for f, names in NAMES.items() for n in names] + [(f, f"{n} {v}") for f, n in CC_SHORT.items() for v in CC_VERSIONS]
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    """``(family, template, words, pairs)`` of the fixed notices."""
-    rows = [F.struct(F.lit(f).alias("family"), F.lit(t).alias("template")) for f, texts in TEMPLATES.items() for t in texts]
-    out = spark.range(1).select(F.inline(F.array(*rows))).withColumn("words", F.expr(_sql_words("template")))
+    """``(family, kind, template, words, pairs)``: kind ``text`` (a paragraph), ``name`` (all its pairs have to be there) or ``whole`` (and
+    nothing else, but for a copyright mark or whole sentences before)."""
+    rows = [(f, "text", t) for f, texts in PARAGRAPHS.items() for t in texts] + [(f, "name", n) for f, n in _names()]
+    rows += [(f, "name", f"SPDX-License-Identifier: {x}") for f, ids in SPDX.items() for x in ids] + [(f, "whole", t) for f, texts in WHOLE.items() for t in texts]
+    out = _literal(rows, ["family", "kind", "template"], spark).withColumn("words", F.expr(_sql_words("template")))
     return out.withColumn("pairs", F.expr(_pairs("words")))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, paragraph, line)`` of every line with letters or digits."""
-    return documents(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
+def lines(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, at, line)`` of every line with letters or digits."""
+    rows = documents(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return rows.where(F.col("line").rlike(r"[\p{L}\p{N}]"))
+
+
+def _chosen(df: DataFrame, by: Column, n: int) -> DataFrame:
+    """About ``n`` rows by hash: a count and a filter, whatever the number of rows."""
+    return df.where(F.pmod(by, F.lit(max(1, df.count() // n))) == 0)
 
 
 def _training(docs: DataFrame) -> DataFrame:
-    """Windows of templates, alone and between other words, and a bounded sample of corpus lines that agree with no template."""
+    """``(family, line, held)``: windows of templates, alone and between other words, prose that names licences, licences of no family, and
+    lines of the corpus that mention none. A quarter, chosen by hash, is held out."""
     spark = docs.sparkSession
-    t = templates(spark)
-    spans = F.expr("flatten(transform(sequence(0, greatest(0, size(words) - 3)), a -> transform(sequence(least(a + 3, size(words)), size(words), 2), b -> slice(words, a + 1, greatest(1, b - a)))))")
-    whole = t.select("family", F.explode(F.array(F.array_join("words", " "), F.concat(F.lit("lorem ipsum "), F.array_join("words", " "), F.lit(" dolor sit")), F.concat(F.array_join("words", " "), F.lit(" 2024 by the authors")))).alias("line")).crossJoin(spark.range(20)).drop("id")
-    part = t.select("family", F.explode(spans).alias("w")).where("size(w) >= 4").select("family", F.array_join("w", " ").alias("line"))
-    # one line of a document, chosen by hash; the documents with the least hashes
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id")).limit(MAX_PARAGRAPHS)
-    lines = paragraphs(documents(docs).join(F.broadcast(chosen), "doc_id", "left_semi")).orderBy(F.xxhash64("line"), "line").limit(MAX_PARAGRAPHS)
-    known = t.agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("known"))  # a few hundred pairs
-    lines = lines.withColumn("w", F.expr(_sql_words("line"))).withColumn("p", F.expr(_pairs("w"))).join(F.broadcast(known))
-    lines = lines.where("size(array_intersect(p, known)) * 2 < size(p)").select(F.lit(NONE).alias("family"), F.array_join(F.slice("w", 1, 400), " ").alias("line"))
-    return whole.unionByName(part).unionByName(lines)
+    phrases = [(f, frame.format(n)) for f, n in _names() for frame in FRAMES] + [(f, t) for f, texts in WHOLE.items() for t in texts] * 10
+    phrases += [(f, f"SPDX-License-Identifier: {x}") for f, ids in SPDX.items() for x in ids]
+    around = lambda t: F.explode(F.array(t, F.concat(t, F.lit(" see the file for details")), F.concat(F.lit("copyright 2024 by the authors "), t), F.concat(F.lit("the text and all of its parts are "), t)))
+    short = _literal(phrases, ["family", "t"], spark).select("family", around(F.col("t")).alias("line"))
+    texts = [(f, t) for f, ts in PARAGRAPHS.items() for t in ts] + [(NONE, t) for t in PROSE] + [(UNKNOWN, t) for t in UNLISTED]
+    # windows of the width of a line, every third word on, and paragraphs as they are
+    cut = "flatten(transform(array(8, 14, 24), n -> transform(sequence(0, greatest(0, size(w) - n), 3), a -> array_join(slice(w, a + 1, n), ' '))))"
+    # a text that holds another family's is that family's in part, and stays whole
+    cuts = [(f, t, not any(o != t and o.rstrip(".") in t for _, o in texts)) for f, t in texts]
+    long = _literal(cuts, ["family", "t", "cut"], spark).withColumn("w", F.expr(_sql_words("t")))
+    long = long.select("family", F.explode(F.expr(f"concat(array(t, t, t, t), if(cut, array_distinct({cut}), array()))")).alias("line"))
+    some = _chosen(documents(docs), F.xxhash64("doc_id", F.lit(1)), TRAIN_DOCUMENTS)
+    corpus = save(lines(some).where(~F.col("line").rlike("(?i)licen[sc]|copyright|warrant|redistribut|permission|rights reserved|spdx|public domain|free software")).select("line"), "license-lines")
+    corpus = _chosen(corpus, F.xxhash64("line", F.lit(2)), TRAIN_LINES).select(F.lit(NONE).alias("family"), "line")
+    rows = short.union(long).union(corpus)
+    # unlisted licences are held out by text, so that none is known from its other windows
+    unlisted = _literal([(t, i % 2 == 0) for i, t in enumerate(UNLISTED)], ["t", "out"], spark)
+    unlisted = unlisted.withColumn("w", F.expr(_sql_words("t"))).select(F.explode(F.expr(f"array_distinct(concat(array(t), {cut}))")).alias("line"), "out").groupBy("line").agg(F.max("out").alias("out"))
+    return rows.join(F.broadcast(unlisted), "line", "left").select("family", "line", F.when(F.col("family") == UNKNOWN, F.col("out")).otherwise(F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held"))
 
 
 class Model:
-    """A fitted pipeline, its classes in order, and the least probability that counts."""
+    """A fitted pipeline, its classes in order, and slope and shift that turn the best class's log odds into those of being right."""
 
-    def __init__(self, pipeline: PipelineModel, classes: list[str], least: float):
-        self.pipeline, self.classes, self.least = pipeline, classes, least
+    def __init__(self, pipeline: PipelineModel, classes: list[str], slope: float = 1.0, shift: float = 0.0):
+        self.pipeline, self.classes, self.slope, self.shift = pipeline, classes, slope, shift
 
-    def classify(self, lines: DataFrame) -> DataFrame:
-        """Adds ``family`` (``none``, ``unknown`` or a name) and ``probability`` of the best class."""
-        p = vector_to_array("probability")
-        out = self.pipeline.transform(lines).withColumn("_p", p).drop("words", "twos", "f1", "f2", "features", "rawPrediction", "probability")
-        names = F.array(*[F.lit(c) for c in self.classes])
-        best = F.element_at(names, F.col("prediction").cast("int") + 1)
-        top = F.array_max("_p")
-        return out.select("*", F.when(best == NONE, NONE).when(top < self.least, "unknown").otherwise(best).alias("family"), top.alias("probability")).drop("_p", "prediction")
+    def best(self, rows: DataFrame) -> DataFrame:
+        """Adds ``best``, ``odds`` (log odds of the best class) and ``p_none``."""
+        out = self.pipeline.transform(rows).withColumn("_p", vector_to_array("probability")).drop("words", "twos", "f1", "f2", "features", "rawPrediction", "probability")
+        names, top = F.array(*[F.lit(c) for c in self.classes]), F.least(F.array_max("_p"), F.lit(1 - 1e-9))
+        return out.select("*", F.element_at(names, F.col("prediction").cast("int") + 1).alias("best"), F.log(top / (1 - top)).alias("odds"), F.element_at("_p", 1).alias("p_none")).drop("_p", "prediction")
 
+    def classify(self, rows: DataFrame) -> DataFrame:
+        """Adds ``family`` (``none``, ``unknown`` or a name) and the calibrated ``probability`` of the best class."""
+        sure = 1 / (1 + F.exp(-(F.lit(self.slope) * F.col("odds") + F.lit(self.shift))))
+        out = self.best(rows).withColumn("probability", sure)
+        return out.withColumn("family", F.when(F.col("best").isin(NONE, UNKNOWN) | (F.col("probability") >= 0.5), F.col("best")).otherwise(UNKNOWN)).drop("best", "odds", "p_none")
 
-def fit(docs: DataFrame) -> Model:
-    """Trains on all template windows and at most ``MAX_PARAGRAPHS`` lines of the corpus.
 
-    Calibration: the least probability is the one that all but ``FALSE_SHARE`` of corpus lines stay below in their best family, and 0.5 at least.
-    """
+def fit(docs: DataFrame) -> Model:
+    """Trains on three quarters of all template windows, of prose that names licences and of about ``TRAIN_LINES`` corpus lines, of at most
+    so many words as they have. The rest, and half of the licences of no family, calibrate (a logistic fit on log odds)."""
     rows = save(_training(docs), "license-training")
-    classes = [NONE, *TEMPLATES]
+    classes = [NONE, UNKNOWN, *FAMILIES]
     number = F.element_at(F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))]), F.col("family"))
-    balanced = rows.withColumn("label", number)
     pipeline = Pipeline(stages=[
         RegexTokenizer(inputCol="line", outputCol="words", pattern=WORD), NGram(n=2, inputCol="words", outputCol="twos"),
-        HashingTF(numFeatures=BUCKETS, inputCol="words", outputCol="f1", binary=True), HashingTF(numFeatures=BUCKETS, inputCol="twos", outputCol="f2", binary=True),
+        HashingTF(numFeatures=BUCKETS // 2, inputCol="words", outputCol="f1", binary=True), HashingTF(numFeatures=BUCKETS, inputCol="twos", outputCol="f2", binary=True),
         VectorAssembler(inputCols=["f1", "f2"], outputCol="features"),
-        LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=40, standardization=False)])
-    model = pipeline.fit(balanced)
-    scored = model.transform(rows.where(F.col("family") == NONE)).select(vector_to_array("probability").alias("p"))
-    high = scored.select(F.array_max(F.slice("p", 2, len(TEMPLATES))).alias("p")).agg(F.percentile("p", 1 - FALSE_SHARE)).first()[0]
-    return Model(model, classes, max(0.5, float(high or 0.0)))
+        LogisticRegression(family="multinomial", regParam=2e-4, maxIter=40, standardization=False)])
+    # a few thousand rows: in so few tasks that gradients need no shuffle
+    model = Model(pipeline.fit(rows.where("not held").coalesce(4).withColumn("label", number)), classes)
+    said = model.best(rows.where("held")).where(~F.col("best").isin(NONE, UNKNOWN)).select("odds", F.when(F.col("best") == F.col("family"), 1.0).otherwise(0.0).alias("label"))
+    said = save(said, "license-calibration")
+    if said.select("label").distinct().count() == 2:
+        found = LogisticRegression(regParam=1e-3).fit(VectorAssembler(inputCols=["odds"], outputCol="features").transform(said))
+        if found.coefficients[0] > 0:
+            model.slope, model.shift = float(found.coefficients[0]), float(found.intercept)
+    return model
+
+
+def held_out(docs: DataFrame, model: Model) -> DataFrame:
+    """``(family, rows, found, right)`` over the held-out training rows: how many have the family, get it, and rightly."""
+    said = save(model.classify(_training(docs).where("held").withColumnRenamed("family", "truth")).select("truth", "family"), "license-held")
+    true = said.groupBy(F.col("truth").alias("family")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("truth") == F.col("family")).alias("right"))
+    found = said.groupBy("family").agg(F.count(F.lit(1)).alias("found"))
+    return true.join(found, "family", "left").select("family", "rows", F.coalesce("found", F.lit(0)).alias("found"), "right")
+
+
+def _confirmed(units: DataFrame, unit: list[str]) -> DataFrame:
+    """``units`` with ``agreement`` of the predicted family's best template, whether it is ``confirmed``, and whether by a name (``named``).
+
+    Word pairs of the paragraphs (and single words, for names of one word) meet those of the templates in a join, whose template side is a fixed
+    list. Units are few: lines and paragraphs that are predicted to be a licence.
+    """
+    t = templates(units.sparkSession).select(F.xxhash64("family", "kind", "template").alias("t"), F.col("family").alias("t_family"), "kind", F.lower("template").alias("t_text"), F.size("pairs").alias("t_pairs"), F.explode("pairs").alias("pair"))
+    own = units.withColumn("_w", F.expr(_sql_words("line"))).withColumn("_p", F.expr(_pairs("_w")))
+    met = own.select(*unit, "family", "line", F.size("_p").alias("n"), F.explode(F.array_union("_p", "_w")).alias("pair")).join(F.broadcast(t), "pair")
+    met = met.groupBy(*unit, "t").agg(F.count(F.lit(1)).alias("both"), *[F.first(c).alias(c) for c in ("family", "line", "n", "t_family", "kind", "t_text", "t_pairs")])
+    all_there = F.col("both") >= F.col("t_pairs")
+    share = (F.when(F.col("kind") == "name", F.when(all_there & (F.col("line").rlike(CUE) | (F.col("n") <= F.col("t_pairs") + 1)), 1.0).otherwise(0.0))
+             .when(F.col("kind") == "whole", F.when(all_there & F.expr("(line rlike '(?i)copyright|[(]c[)]|©' or lower(line) rlike concat('(^|[.!?] +)[^a-z]*', t_text, '[^a-z]*$'))"), 1.0).otherwise(0.0))
+             .otherwise(F.least(F.lit(1.0), F.greatest(F.col("both") / F.col("t_pairs"), F.when(F.col("n") >= 6, F.col("both") / F.col("n")).otherwise(0.0)))))
+    met = met.withColumn("share", share).groupBy(*unit).agg(F.max("share").alias("most"), F.max(F.when(F.col("t_family") == F.col("family"), F.col("share"))).alias("agreement"),
+                                                                F.max(F.when((F.col("t_family") == F.col("family")) & (F.col("kind") != "text"), F.col("share"))).alias("by_name"))
+    met = met.select(*[F.col(c).alias(f"k_{c}") for c in unit], "most", "agreement", "by_name")
+    out = units.join(met, _same(unit, "k_"), "left").select(*units.columns, F.coalesce("agreement", F.lit(0.0)).alias("agreement"), "most", F.coalesce(F.col("by_name") >= 1, F.lit(False)).alias("named"))
+    return out.withColumn("confirmed", (F.col("agreement") >= AGREE) & (F.col("agreement") >= F.col("most") - 0.02) & ~F.col("family").isin(NONE, UNKNOWN)).drop("most")
+
+
+def _same(names: list[str], prefix: str) -> Column:
+    """Columns that equal those with a prefix, nulls included."""
+    return functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{prefix}{n}")) for n in names])
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Licence paragraphs: ``(doc_id, paragraph, line, family, probability, agreement, confirmed)``.
+    """Licence paragraphs: ``(doc_id, text_hash, first, last, line, family, probability, agreement, confirmed)``, ``first`` and ``last`` being line numbers.
 
-    Every line of every whole text is classified. Returned are lines whose class is not ``none``: with a family, or ``unknown``
-    where the probability is below the calibrated one. ``agreement`` is the greater of the shares of word pairs that line
-    and best template have in common; ``confirmed`` says that it reaches ``AGREE``. An unconfirmed prediction is ``unknown``.
+    Every line of every whole text is classified. Lines that may belong to a notice, with at most one other line between two of them, are one
+    paragraph. A confirmed paragraph comes as one row, and lines of it that name another family as further
+    rows; of a paragraph that is not confirmed come its confirmed lines, or one row ``unknown`` if its class is not ``none``.
+    Rows that repeat id and text are scanned as one. Texts are taken whole, whatever their length; an empty table gives no rows.
     """
     model = model or fit(docs)
-    found = model.classify(paragraphs(docs)).where(F.col("family") != NONE)
-    found = found.withColumn("_w", F.expr(_sql_words("line"))).withColumn("_p", F.expr(_pairs("_w")))
-    known = templates(docs.sparkSession).groupBy("family").agg(F.collect_list("pairs").alias("_t"))  # one row a family
-    share = "coalesce(array_max(transform(_t, t -> greatest(size(array_intersect(t, _p)) / size(t), if(size(_p) < 3, 0D, size(array_intersect(t, _p)) / size(_p))))), 0D)"
-    out = found.join(F.broadcast(known), "family", "left").withColumn("agreement", F.expr(share)).withColumn("confirmed", F.col("agreement") >= AGREE)
-    return out.select("doc_id", "paragraph", "line", F.when(F.col("confirmed"), F.col("family")).otherwise("unknown").alias("family"), "probability", "agreement", "confirmed")
+    seeds = model.best(lines(docs)).where(F.col("p_none") < SEED).select("doc_id", "text_hash", "at", "line").dropDuplicates(["doc_id", "text_hash", "at"])
+    text = Window.partitionBy("doc_id", "text_hash").orderBy("at")
+    runs = save(seeds, "license-lines").withColumn("new", F.when(F.col("at") - F.lag("at").over(text) <= 2, 0).otherwise(1)).withColumn("run", F.sum("new").over(text)).drop("new")
+    runs = save(runs, "license-runs")
+    key = ["doc_id", "text_hash", "run"]
+    joined = runs.groupBy(*key).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ").alias("line"))
+    whole = save(_confirmed(save(model.classify(joined), "license-whole"), key), "license-whole")
+    several = runs.join(whole.where("last > first").select(*[F.col(c).alias(f"r_{c}") for c in key], F.col("family").alias("r_family"), F.col("confirmed").alias("r_confirmed")),
+                        _same(key, "r_"))
+    single = model.classify(several.select(*key, "at", "line", "r_family", "r_confirmed")).where(~F.col("family").isin(NONE, UNKNOWN))
+    single = _confirmed(save(single, "license-single"), [*key, "at"]).where("confirmed and (not r_confirmed or named and family <> r_family)")
+    single = save(single.select(*key, F.col("at").alias("first"), F.col("at").alias("last"), "line", "family", "probability", "agreement", "confirmed"), "license-single")
+    rest = whole.join(single.select(*[F.col(c).alias(f"r_{c}") for c in key]).distinct(), _same(key, "r_"), "left_anti")
+    rest = rest.where(~F.col("confirmed") & (F.col("family") != NONE)).withColumn("family", F.lit(UNKNOWN))
+    cols = ["doc_id", "text_hash", "first", "last", "line", "family", "probability", "agreement", "confirmed"]
+    return whole.where("confirmed").select(cols).union(single.select(cols)).union(rest.select(cols))
 
 
 def document_licenses(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``(doc_id, n_lines, n_licenses, n_unknown, families, probability)`` of every row.
 
-    ``families`` are the confirmed families, sorted and joined by commas (empty: none). Null and empty texts have no lines. Rows
-    that repeat an id share what is found under it, and rows without an id have nothing. An empty table gives an empty result.
+    ``families`` are the confirmed families, sorted and joined by commas (empty: none), without those whose text is part of another's that is
+    there too. Null and empty texts have no lines. Rows that repeat an id have what their own text has, and so do rows without an
+    id. An empty table gives an empty result.
     """
-    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long")
-    every = documents(docs).select("doc_id", lines.alias("n_lines"))
+    n = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long")
+    every = documents(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), n.alias("n_lines"))
     found = save(scan(docs, model), "licenses")
-    found = found.groupBy("doc_id").agg(F.count_if("confirmed").alias("n_licenses"), F.count_if(~F.col("confirmed")).alias("n_unknown"),
-                                        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("probability"))
+    found = found.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).agg(
+        F.count_if("confirmed").alias("n_licenses"), F.count_if(~F.col("confirmed")).alias("n_unknown"), F.collect_set(F.when(F.col("confirmed"), F.col("family"))).alias("f"), F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("probability"))
+    part = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted(PART_OF.items())])
+    less = F.array_except("f", F.transform(F.filter(part, lambda x: F.array_contains(F.col("f"), x["b"])), lambda x: x["a"]))
+    found = found.withColumn("families", F.array_join(F.array_sort(less), ","))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return every.join(found, "doc_id", "left").select("doc_id", "n_lines", zero("n_licenses"), zero("n_unknown"), F.coalesce("families", F.lit("")).alias("families"), "probability")
+    out = every.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")), "left")
+    return out.select("doc_id", "n_lines", zero("n_licenses"), zero("n_unknown"), F.coalesce("families", F.lit("")).alias("families"), "probability")
