@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import save
+from quillon.llm.common import save, small
 
 #: Terms are runs of letters and digits, lower-cased.
 SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -23,8 +23,9 @@ SUBSETS_EACH, ONE_IN = 15, (8, 32, 128, 512)
 SUBSETS = SUBSETS_EACH * len(ONE_IN)
 #: The lexicon is broadcast up to so many terms (about 60 bytes each), and joined by shuffle beyond.
 BROADCAST_TERMS = 400_000
-#: Documents with neighbouring ids that are ordered together.
-BUCKET = 1024
+#: Documents with neighbouring ids that are ordered together at most, unless more than that share 1024 ids. Ranges of ids are powers of two: of 1024 ids, or
+#: 16 times as many and so on.
+BUCKET, FINE, STEP, LEVELS = 4096, 10, 4, 14
 #: A document has few band terms if they are fewer than so many, or less than one in so many of its distinct terms.
 FEW, FEW_ONE_IN = 3, 5
 
@@ -94,12 +95,42 @@ def likeness(a: str, b: str, a_every: str, b_every: str, a_hash: str, b_hash: st
                   f"when {a} is null or {b} is null then {share(a_every, b_every)} else {share(a, b)} end")
 
 
-def _next_first(heads: DataFrame) -> DataFrame:
-    """For each bucket the ``head`` of the next lower bucket with rows; for the lowest, of the highest."""
-    every = Window.orderBy(F.col("bucket").desc())  # numbers alone: one for each BUCKET documents
-    first = F.first("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    following = heads.select("bucket", F.coalesce(F.lead("bucket").over(every), first).alias("_at"))
-    return following.join(heads.select(F.col("bucket").alias("_at"), F.col("head").alias("_after")), "_at").select("bucket", "_after")
+def _ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``low``: the lower end of the largest aligned range of ``key`` around it that has at most ``BUCKET`` rows of its ``part``.
+
+    Rows are counted for each 1024 keys, and only these numbers are added up to larger ranges. So dense and sparse keys give ranges of
+    hundreds to thousands of rows alike.
+    """
+    fine = save(rows.groupBy("part", F.shiftright("key", FINE).alias("block")).agg(F.count(F.lit(1)).alias("n")), "blocks")
+    every = fine.select("part", "block", "n", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")).withColumn("up", F.expr(f"shiftright(block, {STEP} * level)"))
+    light = save(every.groupBy("part", "level", "up").agg(F.sum("n").alias("n")).where(F.col("n") <= BUCKET).select("part", "level", "up"), "ranges")
+    level = every.drop("n").join(small(light), ["part", "level", "up"], "left_semi").groupBy("part", "block").agg(F.max("level").alias("level"))
+    level = save(fine.join(small(save(level, "levels")), ["part", "block"], "left").select("part", "block", F.coalesce("level", F.lit(0)).alias("level")), "levels")
+    low = F.expr(f"shiftleft(shiftright(key, {FINE} + {STEP} * level), {FINE} + {STEP} * level)")
+    return rows.withColumn("block", F.shiftright("key", FINE)).join(small(level), ["part", "block"]).withColumn("low", low).drop("block", "level")
+
+
+def _following(ranges: DataFrame) -> DataFrame:
+    """``(part, low, next_part, next_low)``: the range that follows each in descending order; after the last comes the first.
+
+    Ranges are sorted by the cluster and numbered in place. A range's follower has the next number; only the first ranges of each
+    partition, as many as there are partitions, are put into one order.
+    """
+    order = [F.col("part").desc(), F.col("low").desc()]
+    sort = save(ranges.select("part", "low").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "order")
+    ahead = sort.select((F.col("at") - 1).alias("at"), F.col("part").alias("next_part"), F.col("low").alias("next_low"))
+    firsts = sort.where(F.col("at").bitwiseAND((1 << 33) - 1) == 0).select(F.shiftright("at", 33).alias("task"), F.struct("part", "low").alias("first"))
+    by_task = Window.orderBy("task")
+    whole = by_task.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wrap = firsts.select("task", F.coalesce(F.lead("first").over(by_task), F.first("first").over(whole)).alias("wrap"))
+    out = sort.join(small(ahead), "at", "left").withColumn("task", F.shiftright("at", 33)).join(F.broadcast(wrap), "task")  # a row for each partition
+    return out.select("part", "low", F.coalesce("next_part", "wrap.part").alias("next_part"), F.coalesce("next_low", "wrap.low").alias("next_low"))
+
+
+def _after(heads: DataFrame, following: DataFrame, name: str) -> DataFrame:
+    """The ``head`` of the range that follows each, as ``name``."""
+    heads = heads.select(F.col("part").alias("next_part"), F.col("low").alias("next_low"), F.col("head").alias(name))
+    return small(following).join(heads, ["next_part", "next_low"]).select("part", "low", name)
 
 
 def edited_fingerprints(docs: DataFrame, min_idf: float = math.log(50), max_idf: float = math.log(1000)) -> DataFrame:
@@ -108,35 +139,42 @@ def edited_fingerprints(docs: DataFrame, min_idf: float = math.log(50), max_idf:
     The edited text has the last half of the characters, rounded down, replaced by as many first characters of the next
     document in descending order of ``doc_id``; after the last comes the first. Null texts are empty. Rows that repeat an id
     follow each other by text, and rows without an id come last. A single row is its own next. Texts with few
-    band terms are compared by all their terms, and texts without terms have their text's hash for a fingerprint. An empty table gives an empty result.
+    band terms are compared by all their terms, and texts without terms have their text's hash for a fingerprint. Texts are taken whole,
+    whatever their length; other columns are not read. An empty table gives an empty result.
 
-    Texts are shuffled once, by ranges of ids, and everything up to the fingerprints happens there; a neighbour across ranges
-    comes from a table with one row a range.
+    Texts are shuffled once, by ranges of ids (of the texts' first bytes, for rows without one), and everything up to the fingerprints happens
+    there; a neighbour across ranges comes from a table with one row a range. Ids may be dense or sparse; rows that
+    repeat one id, or without id one beginning of seven bytes, are ordered in one task.
     """
-    bucket = F.coalesce(F.expr(f"floor(doc_id / {BUCKET})"), F.lit(-(1 << 60)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", bucket)
+    begin = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"part": F.when(F.col("doc_id").isNull(), 0).otherwise(1), "key": F.coalesce("doc_id", -begin)})
     words = save(lexicon(rows, "text", min_idf, max_idf), "lexicon")
     if words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
-    heads = save(_next_first(rows.groupBy("bucket").agg(F.min_by("text", F.struct(-F.col("doc_id"), "text")).alias("head"))), "heads")
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc(), "text")
-    near = rows.withColumns({"rn": F.row_number().over(order), "_next": F.lead("text").over(order)}).join(heads, "bucket")
+    rows = _ranges(rows)
+    heads = save(rows.groupBy("part", "low").agg(F.min_by("text", F.struct(F.bitwise_not("key"), "text")).alias("head")), "heads")
+    following = save(_following(heads), "following")
+    heads = save(_after(heads, following, "_after"), "heads")
+    bucket = ["part", "low"]
+    order = Window.partitionBy(*bucket).orderBy(F.col("key").desc(), "text")
+    near = rows.withColumns({"rn": F.row_number().over(order), "_next": F.lead("text").over(order)}).join(heads, bucket)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("_next", "_after"), F.lit(1), half))
-    pair = near.select("bucket", "rn", "doc_id", "text", edited.alias("edited"))
+    pair = near.select(*bucket, "rn", "doc_id", "text", edited.alias("edited"))
 
-    versions = pair.select("bucket", "rn", F.explode(F.array(F.struct(F.lit(0).alias("version"), "text"), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text")))).alias("v"))
-    found = fingerprints(versions.select("bucket", "rn", "v.*"), ["bucket", "rn", "version"], "text", words)
+    versions = pair.select(*bucket, "rn", F.explode(F.array(F.struct(F.lit(0).alias("version"), "text"), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text")))).alias("v"))
+    found = fingerprints(versions.select(*bucket, "rn", "v.*"), [*bucket, "rn", "version"], "text", words)
     of = lambda v: F.first(F.when(F.col("version") == v, F.struct("prints", "every")), ignorenulls=True)
-    found = found.groupBy("bucket", "rn").agg(of(0).alias("own"), of(1).alias("edit"))
-    found = found.select("bucket", "rn", *[F.col(f"{v}.{c}").alias(f"{v}_{c}") for v in ("own", "edit") for c in ("prints", "every")])
-    facts = pair.select("bucket", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("own_hash"), F.xxhash64("edited").alias("edit_hash"))
-    done = save(facts.join(found, ["bucket", "rn"], "left"), "prints")
+    found = found.groupBy(*bucket, "rn").agg(of(0).alias("own"), of(1).alias("edit"))
+    found = found.select(*bucket, "rn", *[F.col(f"{v}.{c}").alias(f"{v}_{c}") for v in ("own", "edit") for c in ("prints", "every")])
+    facts = pair.select(*bucket, "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("own_hash"), F.xxhash64("edited").alias("edit_hash"))
+    done = save(facts.join(found, [*bucket, "rn"], "left"), "prints")
 
     whole = F.struct("own_prints", "own_every", "own_hash")
-    heads = _next_first(done.where("rn = 1").select("bucket", whole.alias("head")))
-    after = F.coalesce(F.lead(whole).over(Window.partitionBy("bucket").orderBy("rn")), F.col("_after"))
-    out = done.join(heads, "bucket").withColumn("_n", after).withColumns({f"next_{c}": F.col(f"_n.own_{c}") for c in ("prints", "every", "hash")})
+    heads = _after(done.where("rn = 1").select(*bucket, whole.alias("head")), following, "_after")
+    after = F.coalesce(F.lead(whole).over(Window.partitionBy(*bucket).orderBy("rn")), F.col("_after"))
+    out = done.join(heads, bucket).withColumn("_n", after).withColumns({f"next_{c}": F.col(f"_n.own_{c}") for c in ("prints", "every", "hash")})
     like = lambda v: likeness(*[f"{x}_{c}" for c in ("prints", "every", "hash") for x in ("own", v)])
     return out.select("doc_id", "n_chars", "edited_sha256", printed("own_prints", "own_every", "own_hash").alias("fingerprint"), printed("edit_prints", "edit_every", "edit_hash").alias("edited_fingerprint"),
                       like("edit").alias("near_edited"), like("next").alias("near_next"))

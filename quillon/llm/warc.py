@@ -118,7 +118,9 @@ def parse(raw: bytes) -> dict:
 def write_archives(records: DataFrame) -> DataFrame:
     """Archives of ``(id long, uri string, payload binary, refers_to long)`` as ``(archive, n_records, content)``.
 
-    Each task writes the archives of its own rows; ids may repeat or be null, payloads may be empty or null.
+    Each task writes the archives of its own rows; ids may repeat or be null, payloads may be empty, null or very long (a longer one than
+    ``ARCHIVE_BYTES`` has an archive to itself). Header lines hold one line each: of a URI, runs of white space come back as one blank, and
+    null as empty. Columns beside those four are not read. An empty table gives no archive.
     """
     def run(batches):
         name, held, size, number = uuid.uuid4().hex, [], 0, 0

@@ -4,13 +4,15 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from quillon.llm import bpe, imatch, packing
 from quillon.llm.queries import QUERIES
 
-EDGE = [(1, None), (2, ""), (3, " "), (4, "a"), (5, "Hello  world\n\n it's  12 <|endoftext|> É x y\r\n"), (5, "a"), (None, "b b"), (7, "word " * 9000), (8, "ab" * 3000), (9, "\x00\x01 ß 中文 🎉")]
+EDGE = [(1, None), (2, ""), (3, " "), (4, "a"), (5, "Hello  world\n\n it's  12 <|endoftext|> É x y\r\n"), (5, "a"), (None, "b b"), (7, "word " * 9000), (8, "ab" * 3000), (9, "\x00\x01 ß 中文 🎉"), (10, "to <|startoftext|> be<|endoftext|>.")]
 
 
 @pytest.fixture(scope="module")
@@ -19,18 +21,33 @@ def edge(spark):
 
 
 def test_pieces():
-    assert packing.pieces(4096 * 2 + 5, 4096) == [(0, 4096), (4096, 4096), (8192, 4), (8196, 1)]
-    for n in range(1, 300):
-        got = packing.pieces(n, 16)
-        assert sum(x for _, x in got) == n and all(x & (x - 1) == 0 and x <= 16 for _, x in got)
-        assert [a for a, _ in got] == [sum(x for _, x in got[:i]) for i in range(len(got))]
+    which, length = packing.pieces(np.array([4096 * 2 + 5, 1, 4096]), 4096)
+    assert which.tolist() == [0, 0, 0, 0, 1, 2] and length.tolist() == [4096, 4096, 4, 1, 1, 4096]
+    which, length = packing.pieces(np.arange(1, 300), 16)
+    assert np.bincount(which, weights=length).tolist() == list(range(1, 300)) and set(length.tolist()) == {1, 2, 4, 8, 16}
+
+
+def test_ids_of_hard_chunks():
+    """Special strings, marks behind words, capitals, joined characters and a cache that is cleared, against the library alone."""
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.ChunkEncoder(P.path("word_bpe_49k.json"))
+    random.seed(8)
+    hard = ["<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|>", "word's.", "It'S", "'s", "n't,", "e\u0301a,", "\u0301", "ΑΣ,", "ΑΣ", "İ.", "ǅ", "ﬁ,", "Ærø!", "a\x0bb", "\u2028", "x\u00a0y", "\u1100\u1161", "½,", "a" * 300, '"q"', "...", "3.14", "中文,", "🎉!", "\x00", "\r"]
+    for clear in (10 ** 9, 5):
+        packing.CACHE_CHUNKS, before = clear, packing.CACHE_CHUNKS
+        texts = [" ".join(random.choices(hard, k=random.randint(0, 40))) for _ in range(60)] + ["", " ", "\n\n", *hard]
+        for part in (texts[:30], texts[30:], texts):
+            ids, n = enc.encode(pa.array(part), 2)
+            ends = np.cumsum(n)
+            assert [ids[e - k: e].tolist() for e, k in zip(ends, n)] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in part]
+        packing.CACHE_CHUNKS = before
 
 
 def _packed(df, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     expected = sorted((i is None, i or 0, tok.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in docs)
     rows = {}
     for r in df.collect():
@@ -117,6 +134,27 @@ def test_op6(spark, sf_dir):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (text != after or r.near_next == 1)
 
 
+@pytest.mark.parametrize("spread", [1, 1_000_003, 1 << 40])
+def test_neighbours_of_sparse_and_missing_ids(spark, monkeypatch, spread):
+    """Ids next to each other and far apart, below zero, repeated and missing: the next document is right, and ranges hold several rows."""
+    monkeypatch.setattr(imatch, "BUCKET", 40)
+    random.seed(spread)
+    rows = [((i - 150) * spread, f"text {random.randrange(60)} of {'many words ' * (i % 3)}") for i in range(400)] + [(None, random.choice("abcé") * (i % 9) + f" {i}") for i in range(90)] + [(5 * spread, "zz"), (5 * spread, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(((i is None, -(i or 0), (t or "").encode()) for i, t in rows))
+    expected = []
+    for n, (_, _, t) in enumerate(order):
+        text, after = t.decode(), order[(n + 1) % len(order)][2].decode()
+        half = len(text) // 2
+        expected.append((str(None if order[n][0] else -order[n][1]), len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    out = imatch.edited_fingerprints(docs).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in out) == sorted(expected)
+    keyed = docs.where("doc_id is not null").selectExpr("doc_id as key", "1 as part")
+    sizes = [r["count"] for r in imatch._ranges(keyed).groupBy("part", "low").count().collect()]
+    assert sum(sizes) == 402 and (spread == 1 or max(sizes) <= 40) and len(sizes) <= 402 / 2
+    assert imatch.edited_fingerprints(docs.limit(0)).count() == 0
+
+
 def test_fingerprint_by_hand(spark):
     docs = [(i, f"common w{i % 7} v{i % 5} x{i % 3} rare{i}") for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
