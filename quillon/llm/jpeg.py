@@ -6,7 +6,7 @@ returned. Entropy-coded intervals (between restart markers, or whole scans) of a
 lockstep: one numpy step advances every interval by one symbol.
 
 The writer stores bytes losslessly in the format's own unit, the quantised coefficient: 64 bytes are one block, in
-zigzag order, each byte read as a signed number.
+zigzag order. Each byte has its own coefficient; bytes that are frequent in text have small ones, which take few bits.
 """
 from __future__ import annotations
 
@@ -19,11 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of payload or media that one numpy step works on; a longer value is worked on alone.
-STEP_BYTES = 1_500_000
+STEP_BYTES = 3_000_000
 #: Restart interval of written files, in MCUs.
 RESTART = 4
 NOTE = b"quillon payload "
 ZIGZAG = np.array([8 * i + j for i, j in sorted(((i, j) for i in range(8) for j in range(8)), key=lambda x: (x[0] + x[1], x[0] if sum(x) % 2 else x[1]))])
+#: Bytes by their usual frequency in text, the rest by number; and coefficients from short codes to long ones. Those of 1 and -1 come
+#: last: they begin in the second scans, where they are slow.
+_FREQUENT = b" etaoinshrdlucmfwypvbgk,.\n\xc3\xa9TASI"
+COEFFICIENT = np.zeros(256, np.int16)
+COEFFICIENT[[*_FREQUENT, *(b for b in range(256) if b not in _FREQUENT)]] = [0, *(v for m in range(2, 128) for v in (m, -m)), -128, 1, -1]
+BYTE = np.argsort(COEFFICIENT).astype(np.uint8)
 #: (components, first, last, high, low) of each written scan.
 SCRIPT = (((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((0,), 6, 63, 0, 1), ((1,), 1, 63, 0, 1), ((2,), 1, 63, 0, 1),
           ((0, 1, 2), 0, 0, 1, 0), ((0,), 1, 63, 1, 0), ((1,), 1, 63, 1, 0), ((2,), 1, 63, 1, 0))
@@ -55,9 +61,10 @@ def _lengths(weights: dict[int, float]) -> dict[int, int]:
 
 @functools.cache
 def _tables() -> tuple[tuple[bytes, np.ndarray, np.ndarray], ...]:
-    """DC and AC table: its segment's content, and code and length by symbol. Weights suit signed bytes shifted by one."""
+    """DC and AC table: its segment's content, and code and length by symbol. Weights suit the coefficients of text, halved."""
     out = []
-    for weights in ({s: 2.0 ** -abs(s - 4) for s in range(12)}, {0x00: 0.03, 0xF0: 1e-4} | {r << 4 | s: 2.0 ** (-3.0 * r - 1.5 * abs(s - 6)) for r in range(16) for s in range(1, 11)}):
+    sizes = (0.34, 0.4, 0.17, 0.07, 0.015, 0.004, 0.001)
+    for weights in ({s: 2.0 ** -abs(s - 3) for s in range(9)}, {0x00: 0.05, 0xF0: 2.0 ** -13} | {r << 4 | s: max(2.0 ** -13, w * 0.84 * 0.16 ** r) for r in range(16) for s, w in enumerate(sizes, 1)}):
         depth = _lengths(weights)
         order = sorted(depth, key=lambda s: (depth[s], s))
         code, last, codes, lens = 0, depth[order[0]], np.zeros(256, np.int64), np.zeros(256, np.int64)
@@ -122,7 +129,7 @@ def _pack(value, length, lane, lanes, image_of_lane):
 
 
 def write(payloads: list[bytes]) -> list[bytes]:
-    """Progressive JPEG files, 4:2:0, whose coefficients are the payloads' bytes. Lengths are multiples of 64."""
+    """Progressive JPEG files, 4:2:0, whose coefficients stand for the payloads' bytes. Lengths are multiples of 64."""
     blocks = np.array([len(p) // 64 for p in payloads])
     mcus = np.maximum(1, -(-blocks // 6))
     wide = -(-mcus // 4095)
@@ -131,7 +138,7 @@ def write(payloads: list[bytes]) -> list[bytes]:
     base = np.cumsum(6 * mcus) - 6 * mcus
     coef = np.zeros((int(6 * mcus.sum()), 64), np.int16)
     for p, b, n in zip(payloads, base, blocks):
-        coef[b: b + n] = np.frombuffer(p, np.int8).reshape(-1, 64)
+        coef[b: b + n] = COEFFICIENT[np.frombuffer(p, np.uint8)].reshape(-1, 64)
     (dc_table, dc_code, dc_len), (ac_table, ac_code, ac_len) = _tables()
     size_of = np.array([int(x).bit_length() for x in range(1024)])
     offset, count = (0 * mcus, 4 * mcus, 5 * mcus), (4 * mcus, mcus, mcus)
@@ -314,15 +321,22 @@ def _parse(buf: bytes, begin: int, end: int, marks: np.ndarray, resets: np.ndarr
 
 
 def _units(img: Image, scan: dict) -> tuple[np.ndarray, int]:
-    """Block numbers in a scan's order, and blocks in each MCU."""
-    if len(scan["comps"]) == 1:
-        c = img.comps[scan["comps"][0][0]]
-        return (c["at"] + np.arange(c["hh"])[:, None] * c["bw"] + np.arange(c["w"])).ravel(), 1
-    parts = [(c["at"] + np.arange(c["bw"] * c["bh"])).reshape(img.my, c["v"], img.mx, c["h"]).transpose(0, 2, 1, 3).reshape(-1, c["h"] * c["v"]) for c in (img.comps[i] for i, _, _ in scan["comps"])]
-    both = np.concatenate(parts, axis=1)
+    """Block numbers in a scan's order, and blocks in each MCU. Those of small images, which are often of one size, are remembered."""
+    parts = tuple(tuple(img.comps[i][k] for k in ("at", "bw", "bh", "w", "hh", "h", "v")) for i, _, _ in scan["comps"])
+    return (_small_units if img.blocks <= 600 else _units_of)(parts, img.mx, img.my)
+
+
+def _units_of(parts: tuple, mx: int, my: int) -> tuple[np.ndarray, int]:
+    if len(parts) == 1:
+        at, bw, _, w, hh, _, _ = parts[0]
+        return (at + np.arange(hh)[:, None] * bw + np.arange(w)).ravel(), 1
+    both = np.concatenate([(at + np.arange(bw * bh)).reshape(my, v, mx, h).transpose(0, 2, 1, 3).reshape(-1, h * v) for at, bw, bh, _, _, h, v in parts], axis=1)
     return both.ravel(), both.shape[1]
 
 
+_small_units = functools.lru_cache(2000)(_units_of)
+
+
 class _Bits:
     def __init__(self, data: np.ndarray):
         d = np.append(data, np.zeros(12, np.uint8)).astype(np.uint32)
@@ -479,11 +493,11 @@ def _ac_again(blk, begin, end, start, tab, ss, se, al, lut, bits, coef):
     now = coef[blk]
     old, zero = band & (now != 0), band & (now == 0)
     del now, band
-    zc = np.zeros((len(blk), 65), np.int64)
+    zc = np.zeros((len(blk), 65), np.int16)
     np.cumsum(zero, axis=1, out=zc[:, 1:])
-    oc = np.zeros((len(blk), 65), np.int64)
+    oc = np.zeros((len(blk), 65), np.int16)
     np.cumsum(old, axis=1, out=oc[:, 1:])
-    z_at, o_at = np.cumsum(zc[:, 64]) - zc[:, 64], np.cumsum(oc[:, 64]) - oc[:, 64]
+    z_at, o_at = (np.cumsum(c[:, 64], dtype=np.int64) - c[:, 64] for c in (zc, oc))
     z_list = np.append(np.nonzero(zero)[1], 63)
     o_rows, o_cols = np.nonzero(old)
     p, b, k, left = start.copy(), begin.copy(), ss.copy(), np.zeros(len(start), np.int64)
@@ -499,10 +513,10 @@ def _ac_again(blk, begin, end, start, tab, ss, se, al, lut, bits, coef):
         p += n
         left = np.where(run_end, (1 << r) + x, left)
         rest = left > 0
-        rank = zc[b, k] + r
+        rank = zc[b, k].astype(np.int64) + r
         found = rank < zc[b, 64]
         to = np.where(rest | ~found, se + 1, z_list[np.minimum(z_at[b] + rank, len(z_list) - 1)])
-        n = oc[b, to] - oc[b, k]
+        n = oc[b, to].astype(np.int64) - oc[b, k]
         seg_from.append(o_at[b] + oc[b, k])
         seg_n.append(n)
         seg_p.append(p.copy())
@@ -563,7 +577,7 @@ def payload(img: Image) -> bytes | None:
     """The bytes that ``write`` stored, or None for a file that it did not write."""
     if img.error or not img.note.isdigit() or int(img.note) > 64 * img.blocks:
         return None
-    return img.coef.astype(np.int8).tobytes()[: int(img.note)]
+    return BYTE[img.coef.ravel()[: int(img.note)] + 128].tobytes()
 
 
 # ---------------------------------------------------------------- columns
@@ -586,7 +600,7 @@ def _columns(df: DataFrame, without: set[str]) -> tuple[list, str]:
 
 
 def store(df: DataFrame, content: str = "content", media: str = "media") -> DataFrame:
-    """Adds ``media``: a progressive JPEG file whose coefficients are the bytes of ``content``, which is dropped.
+    """Adds ``media``: a progressive JPEG file whose coefficients stand for the bytes of ``content``, which is dropped.
 
     Zero bytes are appended up to a positive multiple of 64, so that null and empty content give one block of zeros.
     Equal contents give equal files. Other columns and repeated rows pass through; a column named like ``media`` is

@@ -78,17 +78,17 @@ def op9_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.llm.common import documents
+    from quillon.llm.common import documents, save
     from quillon.llm.jpeg import store, tensors
 
     docs = documents(_table(spark, sf_dir, "documents")).select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    media = store(docs.withColumn("n_bytes", F.octet_length("content").cast("long")))
+    media = save(store(docs.withColumn("n_bytes", F.octet_length("content").cast("long"))), "media")
     media = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     size = F.octet_length("payload")
     feature = F.concat_ws(" ", F.concat_ws("x", "width", "height"), F.concat_ws(",", F.transform("means", lambda x: F.format_number(x, 4))))
-    return tensors(media, with_rgb=False).select(
+    return tensors(media).select(
         "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
+        F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"), "width", "height", "rgb")
 
 
 QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op3_signature_tree_join, op4_dictionary_warc, op5_run_length_dedup, op6_imatch, op7_license_paragraphs, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg)}

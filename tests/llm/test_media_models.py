@@ -3,6 +3,7 @@ import base64
 import hashlib
 import os
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -13,10 +14,15 @@ from quillon.llm import jpeg, license, quality, toxicity, warc
 from quillon.llm.queries import QUERIES
 
 
+def stored(coefficients):
+    """Bytes that the writer gives these coefficients."""
+    return jpeg.BYTE[np.array(coefficients) + 128].tobytes()
+
+
 def test_jpeg_round_trip():
     random.seed(2)
     payloads = [os.urandom(64 * random.randint(1, 40)) for _ in range(20)] + [bytes(64), b"a" * 64 * 3000]
-    payloads += [bytes(random.choice([0, 0, 0, 1, 255, 2, 40, 0, 0]) for _ in range(64 * 30)) for _ in range(10)] + [bytes([0] * 63 + [1]) * 3, bytes([1] * 64), bytes([255] + [0] * 62 + [254])]
+    payloads += [stored(random.choices([0, 0, 0, 1, -1, 2, 40, 0, 0], k=64 * 30)) for _ in range(10)] + [stored([0] * 63 + [1]) * 3, stored([1] * 64), stored([-1] + [0] * 62 + [-2])]
     files = jpeg.write(payloads)
     images = jpeg.read(files)
     assert [jpeg.payload(i) for i in images] == payloads and not any(i.error for i in images)
@@ -114,13 +120,13 @@ def _slow_scans(data):
 
 def test_jpeg_against_plain_reader():
     random.seed(9)
-    payloads = [bytes(random.choice([0, 0, 1, 255, 7, 100, 130]) for _ in range(64 * n)) for n in (1, 6, 13, 50)] + [b"plain text, in ASCII. " * 64]
+    payloads = [stored(random.choices([0, 0, 1, -1, 7, 100, -126], k=64 * n)) for n in (1, 6, 13, 50)] + [b"plain text, in ASCII. " * 64]
     for data, image in zip(jpeg.write(payloads), jpeg.read(jpeg.write(payloads))):
         assert (_slow_scans(data) == image.coef).all()
 
 
 def test_rgb_of_flat_and_known_blocks():
-    img = jpeg.read(jpeg.write([bytes([80] + [0] * 63) * 6]))[0]
+    img = jpeg.read(jpeg.write([stored([80] + [0] * 63) * 6]))[0]
     x = jpeg.rgb(img)
     assert x.shape == (16, 16, 3) and len(np.unique(x.reshape(-1, 3), axis=0)) == 1
     y, c = 128 + 10, 10
@@ -147,6 +153,13 @@ def test_op10(spark, sf_dir):
         b = docs[r.doc_id]
         p = b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        data = jpeg.write([p])[0]
+        assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        if r.doc_id % 25 == 0 and len(p) < 5000:  # the tensor, from the plain reader's coefficients
+            image = jpeg.read([data])[0]
+            image.coef = _slow_scans(data)
+            tensor = jpeg.rgb(image)
+            assert bytes(r.rgb) == tensor.tobytes() and (r.height, r.width) == tensor.shape[:2]
 
 
 PAGES = [(1, "u", "same"), (5, "u2", "same"), (3, None, "same"), (2, "a\r\nb", ""), (9, "x", None), (7, "w", "é" * 50000), (8, "w", "WARC/1.1\r\n\r\n"), (None, "n", "same"), (None, "n", "only")]
@@ -194,19 +207,67 @@ def test_op4(spark, sf_dir):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if k == i else "revisit", None if k == i else k)
 
 
-def test_licenses(spark):
-    path = "/root/testdata/sf0.01/documents.parquet"
-    docs = spark.read.parquet(path)
-    model = license.fit(docs)
+@pytest.fixture(scope="module")
+def license_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return docs, license.fit(docs)
+
+
+def test_licenses(spark, license_model):
+    docs, model = license_model
     found = license.scan(docs, model).where("confirmed").collect()
-    marked = docs.select(F.explode(F.split("text", "\n")).alias("l")).where("l RLIKE '(?i)(licen[sc]e|rights reserved)'").count()
-    assert len(found) == marked > 10
-    rows = [(1, "Text.\nReleased under the MIT License."), (1, None), (None, "All rights reserved."), (2, ""), (3, "nothing of the sort here, only prose about licences"), (4, "x " * 50000 + "\nLicensed under the Apache License, Version 2.0.")]
-    out = license.document_licenses(spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, words string"), model).collect()
-    assert len(out) == 6 and sorted((r.doc_id, r.families) for r in out if r.families) == [(1, "MIT"), (1, "MIT"), (4, "Apache-2.0")]
+    marked = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).where("l RLIKE '(?i)(licen[sc]e|rights reserved)'").collect()
+    assert all(any(r.doc_id == m.doc_id and m.l in r.line for r in found) for m in marked) and all(any(r.doc_id == m.doc_id and m.l in r.line for m in marked) for r in found) and len(marked) > 10
+    rows = [(1, "Text.\nReleased under the MIT License."), (1, None), (None, "All rights reserved."), (2, ""), (3, "nothing of the sort here, only prose about licences"), (4, "x " * 50000 + "\nLicensed under the Apache License, Version 2.0."), (4, "other")]
+    rows += rows[:1]
+    out = license.document_licenses(spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id long, text string, words string, run int"), model).collect()
+    assert len(out) == 8 and sorted((r.doc_id or 0, r.families) for r in out if r.families) == [(0, "Proprietary"), (1, "MIT"), (1, "MIT"), (4, "Apache-2.0")]
     assert license.document_licenses(docs.limit(0), model).count() == 0
 
 
+def test_license_texts(spark, license_model):
+    """Wrapped, commented and headless notices, kin of other families, identifiers, and what is no licence."""
+    from quillon.llm.license_texts import PARAGRAPHS, UNLISTED
+
+    wrapped = lambda t, n=70, mark="": "\n".join(mark + x for x in textwrap.wrap(t, n))
+    p = PARAGRAPHS
+    cases = {
+        "Some prose first.\n\n" + "\n\n".join(map(wrapped, p["MIT"])): "MIT", wrapped(p["MIT"][0], 60, " * "): "MIT", wrapped(p["Apache-2.0"][1], 66, "# "): "Apache-2.0", wrapped(p["AGPL"][0], 70, "// "): "AGPL",
+        wrapped(p["LGPL"][0]): "LGPL", wrapped(p["GPL"][0]): "GPL", wrapped(p["ISC"][0]): "ISC", wrapped(p["BSD-3-Clause"][0]): "BSD-3-Clause", wrapped(p["BSD-2-Clause"][0]): "BSD-2-Clause", wrapped(p["MPL-2.0"][0]): "MPL-2.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL", "Released under the GNU Lesser General Public License.": "LGPL", "This work is licensed under the GNU General Public License, version 3.": "GPL",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA", "This text is available under CC BY-SA 3.0.": "CC-BY-SA", "Licensed under CC BY 4.0.": "CC-BY", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "ISC License": "ISC",
+        "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */": "GPL", "All rights reserved.": "Proprietary", "Copyright 2020 Foo Inc. All rights reserved.": "Proprietary",
+        "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.": "Apache-2.0,MIT",
+        "all rights reserved seats": "", UNLISTED[0]: "", "Released under the Banyan Community License, version 3.": "", "He lost his driving license in the park, and the warranty too.": "", "The general public has rights.": "",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    out = {r.doc_id: r.families for r in license.document_licenses(df, license_model[1]).collect()}
+    assert {t: out[i] for i, t in enumerate(cases)} == cases
+
+
+def test_op7(spark, sf_dir, monkeypatch, license_model):
+    """The query's rows against plain Python over the lines that its operator reports."""
+    monkeypatch.setattr(license, "fit", lambda docs: license_model[1])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    rows = {r.doc_id: r for r in QUERIES["op7_license_paragraphs"](spark, sf_dir).collect()}
+    planted = {"MIT": "Released under the MIT License", "GPL": "the GNU General Public License, version 3", "CC-BY-NC": "Licensed under CC BY-NC 4.0", "Apache-2.0": "Licensed under the Apache License, Version 2.0", "Proprietary": "All rights reserved"}
+    assert len(rows) == len(docs)
+    for d in docs:
+        lines = [x for x in (d.text or "").split("\n") if any(c.isalnum() for c in x)]
+        assert rows[d.doc_id].n_lines == len(lines)
+        assert rows[d.doc_id].families == ",".join(sorted({f for f, t in planted.items() for x in lines if t in x}))
+
+
+def test_license_calibration(license_model):
+    """Held-out windows: families are right when they are given, prose gets none, and licences of no family do not get one more often than not."""
+    docs, model = license_model
+    rows = {r.family: r for r in license.held_out(docs, model).collect()}
+    own = [r for f, r in rows.items() if f not in ("none", "unknown")]
+    assert len(own) >= 25 and rows["none"].right > 0.99 * rows["none"]["rows"]
+    assert sum(r.right for r in own) > 0.9 * sum(r.found for r in own) and sum(r.right for r in own) > 0.8 * sum(r["rows"] for r in own)
+    assert model.slope > 0
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     d = "/root/testdata/sf0.1"
@@ -269,6 +330,94 @@ def test_toxicity_gradients():
         assert abs((up - down) / 2e-4 - g[name][i]) < 1e-2 * max(1, abs(g[name][i]))
 
 
+def test_scores_do_not_depend_on_neighbours():
+    random.seed(4)
+    net = toxicity.BiGru(["good", "bad"])
+    texts = [" ".join(random.choices(["good", "bad", "other", "words", "x" * 40, "é"], k=random.randint(0, 400))) for _ in range(300)]
+    one = toxicity.Scorer(net).score(texts)
+    order = random.sample(range(300), 300)
+    for part in (order[:1], order[:50], order):
+        assert (toxicity.Scorer(net).score([texts[i] for i in part]) == one[part]).all()
+
+
+def plain_toxicity(net, text):
+    """Highest window of one text, a word and a window at a time, in double precision."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    words, best, sig = toxicity.words_of(text), -1e9, lambda x: 1 / (1 + np.exp(-x))
+    for a, b in toxicity.windows(len(words)):
+        x = net.inputs(words[a:b])[0].astype(float) if b > a else np.zeros((0, 2 * toxicity.SIZE))
+        states = []
+        for d, order in (("f", range(b - a)), ("b", range(b - a - 1, -1, -1))):
+            h, out, s = np.zeros(toxicity.STATE), {}, toxicity.STATE
+            for t in order:
+                g, u = x[t] @ p[f"W{d}"] + p[f"b{d}"], h @ p[f"U{d}"]
+                z, r = sig(g[:s] + u[:s]), sig(g[s: 2 * s] + u[s: 2 * s])
+                h = z * h + (1 - z) * np.tanh(g[2 * s:] + r * u[2 * s:])
+                out[t] = h
+            states.append(out)
+        if b == a:
+            best = max(best, p["bias"][0])
+            continue
+        both = np.array([np.concatenate([states[0][t], states[1][t]]) for t in range(b - a)])
+        e = np.exp(np.tanh(both @ p["att"]) @ p["pick"])
+        best = max(best, (e / e.sum()) @ both @ p["out"] + p["bias"][0])
+    return 1 / (1 + np.exp(-(net.scale * best + net.shift)))
+
+
+def test_op9(spark, sf_dir, monkeypatch):
+    nets, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a: nets.append(train(*a)) or nets[-1])
+    rows = {r.doc_id: r for r in QUERIES["op9_toxicity_bigru"](spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        r = rows[d.doc_id]
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3)
+        if len(d.text or "") < 3000:
+            assert abs(r.score - plain_toxicity(nets[0], d.text or "")) < 1e-3
+    scores = {}
+    for d in docs:
+        assert scores.setdefault(d.text or "", rows[d.doc_id].score) == rows[d.doc_id].score
+
+
+def test_long_rows_train():
+    """Labels whose rows are all long: the one window that tells is found."""
+    random.seed(6)
+    text = lambda bad: [" ".join(random.choices("abcd", k=24)) for _ in range(119)] + ["a " * 10 + "vile " * (4 * bad) + "b b b b"]
+    label = np.array([i % 2 for i in range(60)], np.float32)
+    net = toxicity.train(label, ["\n".join(random.sample(t, 120)) for t in map(text, (i % 2 for i in range(60)))], 600)
+    score = toxicity.Scorer(net).score(["a b c d " * 300, "a b c d " * 150 + "vile vile vile vile " + "a b c d " * 150])
+    assert score[0] < 0.3 < score[1]
+
+
+def test_op2(spark, sf_dir, monkeypatch):
+    models, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a, **k: models.append(fit(*a, **k)) or models[-1])
+    rows = {r.doc_id: r for r in QUERIES["op2_ordinal_quality"](spark, sf_dir).collect()}
+    docs, model = spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), models[0]
+    assert len(rows) == len(docs)
+    for d in docs:
+        chunks, score = (d.text or "").split(), 0.0
+        for c in chunks:
+            score += sum(model.weights[f] for f in quality.features(c))
+        score += model.weights[quality.REPEAT] * sum(a == b for a, b in zip(chunks, chunks[1:]))
+        score *= quality.SCALE / max(1, len(chunks))
+        tail = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        r = rows[d.doc_id]
+        assert abs(r.tail_probability - tail[-1]) < 1e-9 and abs(r.expected_grade - sum(tail)) < 1e-9 and r.keep == (r.tail_probability >= 0.5)
+
+
+def test_sample_is_even_and_bounded(spark):
+    from quillon.llm.labelled import sample
+
+    docs = spark.createDataFrame([(i, "t", "k") for i in range(300)] + [(None, "t", "k")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)] + [(None, 1), (5, None)], "doc_id int, toxic int")
+    got = sample(docs, labels, "toxic", 50).toPandas()
+    assert len(got) == 50 and got.label.sum() == 25 and got.doc_id.is_unique and got.doc_id.max() < 300
+    assert sample(docs, labels, "toxic", 200).toPandas().label.value_counts().to_dict() == {0: 170, 1: 30}
+    assert sample(docs, labels.limit(0), "toxic", 50).count() == 0
+
+
 def test_windows_cover():
     for n in range(0, 200):
         spans = toxicity.windows(n)
