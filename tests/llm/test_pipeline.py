@@ -3,6 +3,7 @@ import struct
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm.common import save
@@ -50,3 +51,23 @@ def test_packed_ids(steps):
     for r in steps[5].orderBy("doc_id", "start").collect():
         ids.setdefault(r.doc_id, []).extend(struct.unpack(f"<{r.length}I", r.ids))
     assert ids == {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in texts.items()}
+
+
+def test_hard_rows(spark, sf_dir):
+    """Null ids and texts, very long ones, repeated rows, clashing names and an empty table, through every stage."""
+    names = ["doc_id", "text", "score", "keep", "_node", "kept", "n_bytes", "_h", "label", "block", "ids", "length"]
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text), (1, text), (1, "a text of another kind " * 12), (2, text + " more"), (None, text), (None, None), (3, None), (4, ""), (5, " \n"), (6, "long " * 60_000), (7, "é" * 300), (8, "x " + "é" * 300)]
+    df = spark.createDataFrame([(i, t, *range(10)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names[2:]))
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            before, docs = docs, save(stage(spark, docs, sf_dir), "test")
+            assert docs.columns == names and docs.dtypes == before.dtypes
+            if name == "n-gram Jaccard join" and docs.count():
+                assert not docs.where("doc_id = 2").count() and docs.where(F.col("text") == text).where("doc_id is not null").count() <= 1
+        assert corpus_pipeline.STAGES[4][1](spark, docs, sf_dir).select("doc_id", "start").count() >= docs.count()
+
+
+def test_passages_go_whatever_survives(spark, sf_dir):
+    out = corpus_pipeline.cut_repeated_passages(spark, spark.createDataFrame([(7, "é" * 300), (8, "x " + "é" * 300)], "doc_id long, text string"), sf_dir)
+    assert {r.doc_id: r.text for r in out.collect()} == {7: "", 8: "x "}
