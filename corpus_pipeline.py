@@ -1,4 +1,9 @@
-"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``docs``, whatever other names there are. Texts are
+taken whole, whatever their length. Rows without an id are kept or dropped by their text like others, but never as a copy; rows that repeat
+an id are rows of their own. Results do not depend on the order of rows, and empty tables give empty tables.
+"""
 from __future__ import annotations
 
 import public_tokenizers
@@ -16,22 +21,30 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose score reaches 0.3. Null, empty and wordless texts are scored as an empty window, and so stay as long as that
+    is not toxic. Equal texts fare alike."""
     return toxicity.select(docs, _labels(spark, sf_dir))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that belong to the highest grade with at least one half. Null and empty texts are graded by the thresholds alone."""
     return quality.select(docs, _labels(spark, sf_dir))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of texts that link at 0.8 over five-word shingles. Texts without words, rows without an id, and unlike rows of
+    one id stay; of rows that repeat id and text one stays."""
     return jaccard.keep_one(docs, k=5, num=80, den=100)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every passage of ``PASSAGE_BYTES`` that also stands elsewhere, all its occurrences; rows stay, with ``n_chars`` counted anew. Null texts
+    become empty."""
     return suffix.dedup(docs, PASSAGE_BYTES)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each power-of-two piece of each row's ids. Null and empty texts give the end id alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -48,6 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the pieces of the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
