@@ -9,6 +9,7 @@ with no other family's better.
 from __future__ import annotations
 
 import functools
+import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -26,7 +27,7 @@ WORD = r"[^\p{L}\p{N}]+"
 #: Words of which a notice that only names its licence has one.
 CUE = "(?i)licen[sc]|released|distributed|available|under|terms|spdx|dedicat"
 #: Feature buckets; documents and lines of the corpus that training sees, as a mean (they are chosen by hash).
-BUCKETS, TRAIN_DOCUMENTS, TRAIN_LINES = 1 << 13, 4000, 4000
+BUCKETS, TRAIN_DOCUMENTS, TRAIN_LINES = 1 << 12, 4000, 4000
 #: A line may belong to a notice if its probability of ``none`` is below this.
 SEED = 0.9
 #: Share of a template's word pairs, or of the paragraph's, that have to agree.
@@ -42,8 +43,11 @@ def _pairs(words: str) -> str:
     return f"array_distinct(if(size({words}) < 2, {words}, transform(sequence(1, size({words}) - 1), i -> concat({words}[i - 1], ' ', {words}[i]))))"
 
 
-def _literal(rows: list[tuple], names: list[str], spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])))
+def _literal(rows: list[tuple], schema: str, spark: SparkSession) -> DataFrame:
+    """A small fixed table, as one JSON literal: plans stay small."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(x.replace(' ', ':') for x in schema.split(', '))}>>")))
 
 
 def _names() -> list[tuple[str, str]]:
@@ -56,7 +60,7 @@ def templates(spark: SparkSession) -> DataFrame:
     nothing else, but for a copyright mark or whole sentences before)."""
     rows = [(f, "text", t) for f, texts in PARAGRAPHS.items() for t in texts] + [(f, "name", n) for f, n in _names()]
     rows += [(f, "name", f"SPDX-License-Identifier: {x}") for f, ids in SPDX.items() for x in ids] + [(f, "whole", t) for f, texts in WHOLE.items() for t in texts]
-    out = _literal(rows, ["family", "kind", "template"], spark).withColumn("words", F.expr(_sql_words("template")))
+    out = _literal(rows, "family string, kind string, template string", spark).withColumn("words", F.expr(_sql_words("template")))
     return out.withColumn("pairs", F.expr(_pairs("words")))
 
 
@@ -78,20 +82,20 @@ def _training(docs: DataFrame) -> DataFrame:
     phrases = [(f, frame.format(n)) for f, n in _names() for frame in FRAMES] + [(f, t) for f, texts in WHOLE.items() for t in texts] * 10
     phrases += [(f, f"SPDX-License-Identifier: {x}") for f, ids in SPDX.items() for x in ids]
     around = lambda t: F.explode(F.array(t, F.concat(t, F.lit(" see the file for details")), F.concat(F.lit("copyright 2024 by the authors "), t), F.concat(F.lit("the text and all of its parts are "), t)))
-    short = _literal(phrases, ["family", "t"], spark).select("family", around(F.col("t")).alias("line"))
+    short = _literal(phrases, "family string, t string", spark).select("family", around(F.col("t")).alias("line"))
     texts = [(f, t) for f, ts in PARAGRAPHS.items() for t in ts] + [(NONE, t) for t in PROSE] + [(UNKNOWN, t) for t in UNLISTED]
     # windows of the width of a line, every third word on, and paragraphs as they are
     cut = "flatten(transform(array(8, 14, 24), n -> transform(sequence(0, greatest(0, size(w) - n), 3), a -> array_join(slice(w, a + 1, n), ' '))))"
     # a text that holds another family's is that family's in part, and stays whole
     cuts = [(f, t, not any(o != t and o.rstrip(".") in t for _, o in texts)) for f, t in texts]
-    long = _literal(cuts, ["family", "t", "cut"], spark).withColumn("w", F.expr(_sql_words("t")))
+    long = _literal(cuts, "family string, t string, cut boolean", spark).withColumn("w", F.expr(_sql_words("t")))
     long = long.select("family", F.explode(F.expr(f"concat(array(t, t, t, t), if(cut, array_distinct({cut}), array()))")).alias("line"))
     some = _chosen(documents(docs), F.xxhash64("doc_id", F.lit(1)), TRAIN_DOCUMENTS)
     corpus = save(lines(some).where(~F.col("line").rlike("(?i)licen[sc]|copyright|warrant|redistribut|permission|rights reserved|spdx|public domain|free software")).select("line"), "license-lines")
     corpus = _chosen(corpus, F.xxhash64("line", F.lit(2)), TRAIN_LINES).select(F.lit(NONE).alias("family"), "line")
     rows = short.union(long).union(corpus)
     # unlisted licences are held out by text, so that none is known from its other windows
-    unlisted = _literal([(t, i % 2 == 0) for i, t in enumerate(UNLISTED)], ["t", "out"], spark)
+    unlisted = _literal([(t, i % 2 == 0) for i, t in enumerate(UNLISTED)], "t string, out boolean", spark)
     unlisted = unlisted.withColumn("w", F.expr(_sql_words("t"))).select(F.explode(F.expr(f"array_distinct(concat(array(t), {cut}))")).alias("line"), "out").groupBy("line").agg(F.max("out").alias("out"))
     return rows.join(F.broadcast(unlisted), "line", "left").select("family", "line", F.when(F.col("family") == UNKNOWN, F.col("out")).otherwise(F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held"))
 
