@@ -148,7 +148,8 @@ def edited_fingerprints(docs: DataFrame, min_idf: float = math.log(50), max_idf:
     """
     begin = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"part": F.when(F.col("doc_id").isNull(), 0).otherwise(1), "key": F.coalesce("doc_id", -begin)})
+    # part 1 has the ids as keys; without doc_id beside them, both uses of the shuffled texts below are one
+    rows = rows.select(F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("part"), F.coalesce("doc_id", -begin).alias("key"), "text")
     words = save(lexicon(rows, "text", min_idf, max_idf), "lexicon")
     if words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
@@ -161,14 +162,14 @@ def edited_fingerprints(docs: DataFrame, min_idf: float = math.log(50), max_idf:
     near = rows.withColumns({"rn": F.row_number().over(order), "_next": F.lead("text").over(order)}).join(heads, bucket)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("_next", "_after"), F.lit(1), half))
-    pair = near.select(*bucket, "rn", "doc_id", "text", edited.alias("edited"))
+    pair = near.select(*bucket, "rn", "key", "text", edited.alias("edited"))
 
     versions = pair.select(*bucket, "rn", F.explode(F.array(F.struct(F.lit(0).alias("version"), "text"), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text")))).alias("v"))
     found = fingerprints(versions.select(*bucket, "rn", "v.*"), [*bucket, "rn", "version"], "text", words)
     of = lambda v: F.first(F.when(F.col("version") == v, F.struct("prints", "every")), ignorenulls=True)
     found = found.groupBy(*bucket, "rn").agg(of(0).alias("own"), of(1).alias("edit"))
     found = found.select(*bucket, "rn", *[F.col(f"{v}.{c}").alias(f"{v}_{c}") for v in ("own", "edit") for c in ("prints", "every")])
-    facts = pair.select(*bucket, "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("own_hash"), F.xxhash64("edited").alias("edit_hash"))
+    facts = pair.select(*bucket, "rn", F.when(F.col("part") == 1, F.col("key")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("own_hash"), F.xxhash64("edited").alias("edit_hash"))
     done = save(facts.join(found, [*bucket, "rn"], "left"), "prints")
 
     whole = F.struct("own_prints", "own_every", "own_hash")
