@@ -363,7 +363,7 @@ def cut_repeats(docs: DataFrame, length: int = 400, whole_characters: bool = Fal
     An empty table gives an empty result. With ``whole_characters``, ``kept`` has no characters that lost some of their bytes.
 
     Copies are counted by digest (one row a text and task after the partial sum) and scanned once. What is shuffled: a
-    row of about 60 bytes for each segment (four in a window's length), texts with segments to compare, and texts that
+    key for each segment (four in a window's length), a row of about 60 bytes for each whose key occurs again, texts with segments to compare, and texts that
     are not wholly copies. Keys with more than ``MANY_SEGMENTS`` different segments are refined, so no group is held as a whole.
     """
     names = [c for c in docs.columns if c not in NEW]
@@ -374,6 +374,9 @@ def cut_repeats(docs: DataFrame, length: int = 400, whole_characters: bool = Fal
     once = rows.where(~F.col("_whole") | F.col("doc_id").cast("long").eqNullSafe(F.col("_keep"))).where(F.octet_length("text") >= length)
     run, schema = _scan(length)
     found = save(once.select("_h", "text").mapInArrow(released(run), schema), "segments")
+    # most keys occur once: only rows whose key occurs again go on
+    again = save(found.groupBy("key").agg(F.sum(F.octet_length("starts")).alias("bytes")).where("bytes > 4").select("key"), "keys")
+    found = save(found.join(_small(again), "key", "left_semi"), "segments")
 
     distinct = found.groupBy("key", "seg").agg(F.sum((F.octet_length("starts") / 4).cast("long")).alias("n"), F.min(F.struct("h", F.substring("starts", 1, 4).alias("starts"), "n_windows", "place")).alias("at"))
     distinct = save(distinct.select("key", "seg", "n", "at.*"), "distinct")
