@@ -91,7 +91,13 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"), "width", "height", "rgb")
 
 
-QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op3_signature_tree_join, op4_dictionary_warc, op5_run_length_dedup, op6_imatch, op7_license_paragraphs, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg)}
+def op13_shared_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.search import ranked
+
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op2_ordinal_quality, op3_signature_tree_join, op4_dictionary_warc, op5_run_length_dedup, op6_imatch, op7_license_paragraphs, op8_byte_bpe, op9_toxicity_bigru, op10_progressive_jpeg, op13_shared_lexical_search)}
 _DIGIT = "(strpos('0123456789abcdef', substr(h, (5 * i) // 4 + {}, 1)) - 1)"
 _BASE32 = f"""array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((({_DIGIT.format(1)} * 16 + {_DIGIT.format(2)}) >> (3 - (5 * i) % 4)) & 31) AS BIGINT), 1)), '')"""
 
@@ -106,4 +112,13 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(other) FROM rea
     "op4_dictionary_warc": f"""
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
 FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages)""",
+    "op13_shared_lexical_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY doc_id, n, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, totals GROUP BY term),
+parts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS part FROM tf JOIN weights USING (term), totals),
+scores AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM i JOIN parts USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10""",
 }
