@@ -1,14 +1,17 @@
 """References between documents: extraction, resolution, closure and cache rules."""
 from __future__ import annotations
 
+import functools
 import json
 from urllib.parse import urljoin, urlsplit
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators.reachability import components
 from quillon.sources.scratch import materialise
 
 REFS = T.ArrayType(T.StructType([T.StructField("ref", T.StringType()), T.StructField("sole_key", T.BooleanType())]))
@@ -129,7 +132,7 @@ def closure(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
 
     Paths double in length each round, so a chain of n documents takes about log2(n) rounds; a round joins only what the last one added.
     Each is written to the shared folder, and they end when nothing is added. With ``max_rounds``, needing more is an error. The result is as
-    large as the number of pairs that reach each other: use ``reach`` of a few sources, or ``inline``, where that is too much.
+    large as the number of pairs that reach each other; ``reachability`` counts and answers without it.
     """
     new = materialise(pairs.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure")
     found, rounds = new, 0
@@ -143,11 +146,6 @@ def closure(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     return found
 
 
-def reach(pairs: DataFrame) -> DataFrame:
-    """For each source how many documents it reaches, and whether it is on a cycle."""
-    return closure(pairs).groupBy("src").agg(F.count(F.lit(1)).alias("n_reached"), F.bool_or(F.col("src") == F.col("dst")).alias("in_cycle"))
-
-
 def _target(base: str | None, ref: str) -> str | None:
     """URL and fragment that a reference points to, as ``url#fragment``; None for a malformed one."""
     try:
@@ -172,7 +170,7 @@ def _targets(url: str, body: str) -> Column:
     return find(url, body)
 
 
-def _filled(url: str, body: str, parts: str) -> Column:
+def _filled(url: str, body: str, parts: str, max_bytes: int) -> Column:
     """``struct<resolved, unresolved>``: a body with its references replaced by ``parts``, resolved targets; the others are listed."""
     @F.pandas_udf(T.StructType([T.StructField("resolved", T.StringType()), T.StructField("unresolved", T.ArrayType(T.StringType()))]))
     def fill(urls: pd.Series, bodies: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -181,7 +179,7 @@ def _filled(url: str, body: str, parts: str) -> Column:
                 top = [json.loads(text)]
             except NOT_JSON:
                 return None, ["not JSON"]
-            texts, failed = {x["key"]: x for x in (rows if rows is not None else ())}, []
+            texts, failed, size = {x["key"]: x for x in (rows if rows is not None else ())}, [], len(text)
             todo = [(top, 0)]
             while todo:
                 box, at = todo.pop()
@@ -189,7 +187,12 @@ def _filled(url: str, body: str, parts: str) -> Column:
                 ref = x.get("$ref") if isinstance(x, dict) and len(x) == 1 else None
                 if isinstance(ref, str) and not ref.startswith("#"):
                     y = texts.get(_target(u, ref))
+                    if y is not None and y["resolved"] is None:
+                        return None, list(y["unresolved"])
                     if y is not None:
+                        size += len(y["resolved"])
+                        if size > max_bytes:
+                            return None, [f"larger than {max_bytes} characters"]
                         box[at] = json.loads(y["resolved"])
                     failed.extend([ref] if y is None else y["unresolved"])
                 elif isinstance(x, (dict, list)):
@@ -204,66 +207,209 @@ def _filled(url: str, body: str, parts: str) -> Column:
     return fill(url, body, parts)
 
 
-def inline(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Documents ``(url, body)`` with ``resolved``: sole-key references replaced by what they point to, at any depth.
-
-    Local references stay; a reference back to a document and fragment that is being resolved, a missing document, a missing key or a
-    malformed URL stays too, and is listed in ``unresolved``. Text that is no JSON, or nested deeper than Python's parser goes, has no result and says so there. With ``max_depth``, so are references nested deeper.
-
-    Works by rounds, each written to the shared folder. Going down, a row is one fragment in one place of one document, with the fragments open
-    there, and is joined with those it points to, until there are none. Going up, each row is filled with its own resolved targets. A row
-    never holds more than a fragment, or its own part of the result.
-    """
-    own = materialise(docs.select("url", "body").withColumn("id", F.monotonically_increasing_id().cast("string")), "inline")
-    level = materialise(own.withColumn("refs", _targets("url", "body")).withColumn("open", F.array().cast("array<string>")), "inline")
-    wanted = level.select(F.explode("refs.key").alias("key")).distinct().withColumns({"url": F.substring_index("key", "#", 1), "fragment": F.expr("substring(key, instr(key, '#') + 1)")})
-    bodies = own.groupBy("url").agg(F.max("body").alias("_b"))
+def fragments(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the references of documents ``(url, body)`` share: ``(key, url, body, refs)``, each fragment that one points to and that is there, once; and
+    ``(key, target)``, which of them point to which."""
+    refs = docs.select(F.explode(_targets("url", "body")["key"]).alias("key")).distinct()
+    wanted = refs.withColumns({"url": F.substring_index("key", "#", 1), "fragment": F.expr("substring(key, instr(key, '#') + 1)")})
+    bodies = docs.groupBy("url").agg(F.max("body").alias("_b"))
     pieces = wanted.join(bodies, "url").withColumn("body", pointer("_b", "fragment")["value"]).where("body is not null")
-    pieces = materialise(pieces.select("key", "url", "body").withColumn("refs", _targets("url", "body")), "inline-pieces")
-
-    levels = [level]
-    while max_depth is None or len(levels) <= max_depth:
-        below = level.select(F.col("id").alias("parent"), "open", F.explode(F.array_distinct("refs.key")).alias("key")).where("not array_contains(open, key)").join(pieces, "key")
-        level = materialise(below.select(F.sha2(F.concat_ws(" ", "parent", "key"), 256).alias("id"), "parent", "key", "url", "body", "refs", F.array_append("open", F.col("key")).alias("open")), "inline-level")
+    pieces = materialise(pieces.select("key", "url", "body").withColumn("refs", _targets("url", "body")), "fragments")
+    arcs = pieces.select("key", F.explode("refs.key").alias("target")).distinct().join(pieces.select(F.col("key").alias("target")), "target", "left_semi")
+    return pieces, materialise(arcs.select("key", "target"), "arcs")
+
+
+def _ways(inner: DataFrame, max_depth: int | None, max_ways: int) -> tuple[DataFrame, DataFrame]:
+    """Ways along ``inner (component, key, target)`` that meet no fragment twice: ``(component, parent, id, key)``, a way that begins at a fragment having its key as id; and the components
+    ``(component)`` in which more than ``max_ways`` ways have one length."""
+    level = inner.select("component", "key").distinct().select("component", F.lit(None).cast("string").alias("parent"), F.col("key").alias("id"), "key", F.array("key").alias("open"))
+    level = materialise(level, "ways")
+    levels, over = [level], []
+    while max_depth is None or len(levels) < max_depth:
+        below = level.select("component", F.col("id").alias("parent"), "key", "open").join(inner, ["component", "key"]).where("not array_contains(open, target)")
+        level = materialise(below.select("component", "parent", F.sha2(F.concat_ws(" ", "parent", "target"), 256).alias("id"), F.col("target").alias("key"), F.array_append("open", F.col("target")).alias("open")), "ways")
+        if max_depth is None:
+            many = level.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_ways).select("component")
+            if not many.isEmpty():
+                over.append(many)
+                level = level.join(many, "component", "left_anti")
         if level.isEmpty():
             break
         levels.append(level)
-    parts = None
-    for level in reversed(levels):
-        if parts is not None:
-            level = level.join(parts.groupBy(F.col("parent").alias("id")).agg(F.collect_list(F.struct("key", "resolved", "unresolved")).alias("parts")), "id", "left")
+    whole = functools.reduce(DataFrame.union, levels).drop("open")
+    many = functools.reduce(DataFrame.union, over) if over else inner.select("component").limit(0)
+    return whole.join(many, "component", "left_anti"), many
+
+
+def inline(docs: DataFrame, max_depth: int | None = None, max_bytes: int = 16_000_000, max_ways: int = 10_000) -> DataFrame:
+    """Documents ``(url, body)`` with ``resolved``: sole-key references replaced by what they point to, at any depth.
+
+    Local references stay; a missing document, a missing key or a malformed URL stays too, and is listed in ``unresolved``. Text that is no JSON, or
+    nested deeper than Python's parser goes, has no result and says so there, and so has a result of more than ``max_bytes`` characters: what is shared, ``fragments`` gives at any size.
+    Without cycles every fragment is resolved once, however many places refer to it. Where fragments refer to each other, a reference back to one that is being resolved stays, so a
+    fragment's result depends on how it was come to, and there is one row for each way through its component. Components in which more than ``max_ways`` ways have one length are cut instead:
+    of their inner references those stay that do not lead to a greater key. With ``max_depth``, references nested deeper stay as well, and ways are counted over all fragments.
+
+    Works from the bottom up, a round for each level, each written to the shared folder. A row never holds more than a fragment, or its own part of the result.
+    """
+    own = materialise(docs.select("url", "body").withColumn("id", F.concat(F.lit("document "), F.monotonically_increasing_id())), "inline")
+    pieces, arcs = fragments(own)
+    if max_depth is None:
+        cyclic = materialise(components(arcs.select(F.col("key").alias("src"), F.col("target").alias("dst"))).withColumnRenamed("node", "key"), "cyclic")
+    else:
+        cyclic = pieces.select("key", F.lit("").alias("component"))
+    of = cyclic.select(F.col("key").alias("target"), F.col("component").alias("_to"))
+    arcs = materialise(arcs.join(cyclic, "key", "left").join(of, "target", "left").select("key", "target", "component", (F.col("component") == F.col("_to")).alias("inner")), "arcs")
+    # a node for each way within a component, and one for each other fragment; a way's first fragment stands for it by its key
+    members = arcs.where("inner").select("component", "key", "target") if max_depth is None else arcs.select("component", "key", "target").union(pieces.select(F.lit(""), "key", F.lit(None).cast("string")))
+    ways, cut = (materialise(x, name) for x, name in zip(_ways(members, max_depth, max_ways), ("all-ways", "cut")))
+    single = pieces.select("key").join(ways.select("key"), "key", "left_anti")
+    nodes = materialise(ways.select("id", "key").union(single.select(F.col("key").alias("id"), "key")), "inline-nodes")
+    links = [ways.where("parent is not null").select(F.col("parent").alias("id"), "key", F.col("id").alias("node"))]
+    outer = arcs.where("not coalesce(inner, false)").select("key", "target")
+    kept = arcs.where("inner and target > key").join(cut, "component", "left_semi").select("key", "target")
+    if max_depth is None:
+        links.append(nodes.join(outer.union(kept), "key").select("id", F.col("target").alias("key"), F.col("target").alias("node")))
+    if max_depth is None or max_depth > 0:
+        roots = own.select("id", F.explode(F.array_distinct(_targets("url", "body")["key"])).alias("key")).join(pieces.select("key"), "key", "left_semi")
+        links.append(roots.select("id", "key", F.col("key").alias("node")))
+    links = materialise(functools.reduce(DataFrame.union, links), "inline-links")
+
+    # a node's level is the longest way down from it
+    front, levels = nodes.select("id"), []
+    while not front.isEmpty():
+        levels.append(front.withColumn("level", F.lit(len(levels))))
+        front = materialise(links.join(nodes.select("id"), "id", "left_semi").join(front.select(F.col("id").alias("node")), "node", "left_semi").select("id").distinct(), "inline-front")
+    depth = len(levels)
+    levels = functools.reduce(DataFrame.union, levels).groupBy("id").agg(F.max("level").alias("level")).join(nodes, "id") if levels else nodes.withColumn("level", F.lit(0))
+    levels = materialise(levels.select("id", "key", "level"), "inline-levels")
+    links = materialise(links.join(levels.select("id", "level"), "id", "left").select("id", "key", "node", F.coalesce("level", F.lit(-1)).alias("level")), "inline-links")
+    nodes = materialise(levels.join(pieces.select("key", "url", "body"), "key").select("id", "level", "url", "body"), "inline-nodes")
+    given: list[DataFrame] = []
+
+    def resolved(rows: DataFrame, of: int) -> DataFrame:
+        kind = "array<struct<key:string,resolved:string,unresolved:array<string>>>"
+        if given:
+            parts = functools.reduce(DataFrame.union, given).where(F.col("level") == of).groupBy("id").agg(F.collect_list(F.struct("key", "resolved", "unresolved")).alias("parts"))
+            rows = rows.join(parts, "id", "left")
         else:
-            level = level.withColumn("parts", F.lit(None).cast("array<struct<key:string,resolved:string,unresolved:array<string>>>"))
-        names = [c for c in ("parent", "key") if c in level.columns] or ["url", "body"]
-        parts = materialise(level.withColumn("_x", _filled("url", "body", "parts")).select(*names, "_x.resolved", "_x.unresolved"), "inline-filled")
-    return parts
+            rows = rows.withColumn("parts", F.lit(None).cast(kind))
+        return rows.withColumn("_x", _filled("url", "body", "parts", max_bytes))
+
+    for of in range(depth):
+        filled = resolved(nodes.where(F.col("level") == of), of).select(F.col("id").alias("node"), "_x.resolved", "_x.unresolved")
+        given.append(materialise(links.join(filled, "node").select("id", "level", "key", "resolved", "unresolved"), "inline-parts"))
+    return resolved(own, -1).select("url", "body", "_x.resolved", "_x.unresolved")
+
+
+class Run:
+    """What a stretch of one key's accesses, in order, makes of the time of the last fetch before it: ``exits[i]`` is the last fetch in it where ``times[i]`` is the first,
+    for all that can be. Where ``whole``, all its times are there, and a fetch that is still fresh after them stays the last."""
+
+    def __init__(self, times: np.ndarray, exits: np.ndarray, whole: bool):
+        self.times, self.exits, self.whole = times, exits, whole
+
+    @classmethod
+    def of(cls, times: np.ndarray, ttl: float) -> Run:
+        times = np.unique(times)
+        after = np.searchsorted(times, times + ttl, side="right")
+        last = np.where(after < len(times), after, np.arange(len(times)))
+        while not np.array_equal(last, last[last]):
+            last = last[last]
+        n = int(after[0]) + 1  # a fetch before the stretch is no later than its first access
+        return cls(times[:n], times[last[:n]], n >= len(times))
+
+    def __call__(self, last: np.ndarray, ttl: float) -> np.ndarray:
+        at = np.searchsorted(self.times, last + ttl, side="right")
+        return np.where(at < len(self.times), self.exits[np.minimum(at, len(self.times) - 1)], last)
+
+    def then(self, other: Run, ttl: float) -> Run:
+        exits = other(self.exits, ttl)
+        if not self.whole:
+            return Run(self.times, exits, False)
+        more = other.times > self.times[-1]
+        return Run(np.append(self.times, other.times[more]), np.append(exits, other.exits[more]), other.whole)
+
+
+def _entries(rows: DataFrame, key: str, seconds: str, ttl: float) -> DataFrame:
+    """``(_key, _run, _last)``: the last fetch before each run but the first, of keys that have several.
+
+    Runs are summed up by themselves, and the sums chained by doubling: in each round a run takes in as many runs before it as it spans already.
+    """
+    whole_numbers = isinstance(rows.schema[seconds].dataType, T.IntegralType)
+    kind, number = ("<i8", "long") if whole_numbers else ("<f8", "double")
+    of = rows.schema[key].dataType.simpleString()
+    runs = rows.groupBy(F.col(key).alias("_key"), "_run").agg(F.lit(1)).select("_key", "_run")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_run")).cast("long") - 1  # no more rows than partitions, but for keys of one run
+    several = runs.groupBy("_key").agg(F.min("_run").alias("_a"), F.max("_run").alias("_b")).where("_a < _b").select("_key")
+    runs = materialise(runs.join(several.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k")), "left_semi").withColumn("n", nth), "runs")
+    own = rows.select(F.col(key).alias("_key"), "_run", F.col(seconds).cast(number).alias("t")).join(runs.withColumnsRenamed({"_key": "_k", "_run": "_r"}), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_run") == F.col("_r")))
+    names = ["_key", "_run", "n", "value", "times", "exits", "whole"]
+    schema = f"_key {of}, _run int, n long, value {number}, times binary, exits binary, whole boolean"
+
+    def packed(k, run, n, value, f):
+        return (k, run, n, value, f.times.astype(kind).tobytes() if f else None, f.exits.astype(kind).tobytes() if f else None, f.whole if f else None)
+
+    def first(k, frame):
+        f = Run.of(frame["t"].to_numpy(), ttl)
+        n = int(frame["n"].iloc[0])
+        # the first run begins without a fetch, so its first access is one
+        row = packed(frame["_key"].iloc[0], int(frame["_run"].iloc[0]), n, None if n else f.exits[0].item(), f if n else None)
+        return pd.DataFrame([row], columns=names)
+
+    def joined(frames):
+        for frame in frames:
+            out = []
+            for k, run, n, value, times, exits, whole, before, *early in frame.itertuples(index=False, name=None):
+                f = Run(np.frombuffer(times, kind), np.frombuffer(exits, kind), whole)
+                if early[0] is None:
+                    out.append(packed(k, run, n, f(np.array([before], kind), ttl)[0].item(), None))
+                else:
+                    out.append(packed(k, run, n, None, Run(np.frombuffer(early[0], kind), np.frombuffer(early[1], kind), early[2]).then(f, ttl)))
+            yield pd.DataFrame(out, columns=names)
+
+    left = materialise(own.select("_key", "_run", "n", "t").groupBy("_key", "_run").applyInPandas(first, schema), "run-sums")
+    done, step = [left.where("value is not null")], 1
+    left = left.where("value is null")
+    while not left.isEmpty():
+        early = functools.reduce(DataFrame.union, [left, *done]).select(F.col("_key").alias("_k"), (F.col("n") + step).alias("_n"), F.col("value").alias("before"), *(F.col(c).alias(f"early_{c}") for c in names[4:]))
+        both = left.join(early, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("n") == F.col("_n"))).select(*names, "before", *(f"early_{c}" for c in names[4:]))
+        both = materialise(both.mapInPandas(joined, schema), "run-sums")
+        done.append(both.where("value is not null"))
+        left, step = both.where("value is null"), 2 * step
+    ends = functools.reduce(DataFrame.union, done).select(F.col("_key").alias("_k"), (F.col("n") + 1).alias("_n"), F.col("value").alias("_last"))
+    return materialise(runs.join(ends, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("n") == F.col("_n"))).select("_key", "_run", "_last"), "entries")
 
 
 def replay(accesses: DataFrame, key: str, seconds: str, ttl: float = DAY) -> DataFrame:
-    """Accesses with ``fetched``: whether a cache would have fetched then. A fetch starts the clock anew and a hit does not.
+    """Accesses with ``fetched``: whether a cache would have fetched then. A fetch starts the clock anew and a hit does not. Of equal times of a key one
+    fetches. Rows without a time are no accesses and fetch nothing; rows without a key are of one key.
 
-    An access more than a time to live after the one before it fetches in any case, so a key's accesses fall into stretches that do not
-    depend on each other. Those are dealt out, sorted, and read as a stream with one number of state: neither keys nor stretches are held.
+    Accesses are put in order over all tasks, so a key of very many is a run in each of several. The last fetch before every run is found first, from sums of the runs; then each
+    run is read as a stream with one number of state.
     """
     names = accesses.columns
-    order = Window.partitionBy(key).orderBy(seconds)
-    fresh = F.when(F.col(seconds) - F.lag(seconds).over(order) <= ttl, 0).otherwise(1)
-    rows = accesses.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    order = accesses.where(F.col(seconds).isNotNull()).repartitionByRange(key, seconds).sortWithinPartitions(key, seconds)
+    rows = materialise(order.withColumn("_run", F.spark_partition_id()), "accesses")
+    entries = _entries(rows, key, seconds, ttl)
+    rows = rows.join(entries, F.col(key).eqNullSafe(F.col("_key")) & (rows["_run"] == entries["_run"]), "left").select(*(rows[c] for c in [*names, "_run"]), "_last")
     schema = T.StructType([*accesses.schema.fields, T.StructField("fetched", T.BooleanType())])
 
     def run(frames):
-        last_stretch, last = None, 0.0
+        now, last = None, None
         for frame in frames:
             hits = []
-            for k, s, t in zip(frame[key], frame["_stretch"], frame[seconds]):
-                if (k, s) != last_stretch or t - last > ttl:
-                    last_stretch, last = (k, s), t
-                    hits.append(True)
-                else:
-                    hits.append(False)
+            for k, r, t, before in zip(frame[key], frame["_run"], frame[seconds], frame["_last"]):
+                k = None if k != k else k
+                if (k, r) != now:
+                    now, last = (k, r), None if pd.isna(before) else before
+                hits.append(last is None or t - last > ttl)
+                if hits[-1]:
+                    last = t
             yield frame[names].assign(fetched=hits)
 
-    return rows.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", seconds).mapInPandas(run, schema)
+    timed = rows.repartition(key, "_run").sortWithinPartitions(key, "_run", seconds).mapInPandas(run, schema)
+    return timed.union(accesses.where(F.col(seconds).isNull()).withColumn("fetched", F.lit(False)))
 
 
 def host_summary(found: DataFrame, url: str = "url", source: str = "src_url") -> DataFrame:
@@ -272,4 +418,4 @@ def host_summary(found: DataFrame, url: str = "url", source: str = "src_url") ->
     return found.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n_refs"), F.count_distinct(url).alias("n_targets"), F.count_distinct(source).alias("n_documents"))
 
 
-__all__ = ["cache_key", "closure", "edges", "external", "fresh", "host_summary", "inline", "lookups", "newest", "pointer", "reach", "refs", "replay", "resolve", "split_ref", "walk"]
+__all__ = ["cache_key", "closure", "edges", "external", "fragments", "fresh", "host_summary", "inline", "lookups", "newest", "pointer", "refs", "replay", "resolve", "split_ref", "walk"]

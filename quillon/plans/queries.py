@@ -13,6 +13,7 @@ from quillon.operators import catalog as q
 from quillon.operators import docgraph as g
 from quillon.operators import features as f
 from quillon.operators import processes as p
+from quillon.operators import reachability
 from quillon.plans.views import APP, duck, view
 from quillon.sources import readers, sinks
 from quillon.sources.scratch import shared_path
@@ -399,7 +400,32 @@ def g7_lookups(spark, d):
 @query("""WITH RECURSIVE r AS (SELECT DISTINCT src, dst FROM {edges} UNION SELECT r.src, e.dst FROM r JOIN (SELECT src, dst FROM {edges}) e ON r.dst = e.src)
     SELECT src, count(*) AS n_reached, bool_or(src = dst) AS in_cycle FROM r GROUP BY src""")
 def g8_closure(spark, d):
-    return g.reach(view(spark, d, "edges"))
+    return reachability.reach(view(spark, d, "edges"))
+
+
+#: A graph without cycles: every part points to the half of its number, every fifth to the third of it.
+_HIERARCHY = "SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM {part} WHERE p_partkey > 1 UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 3) AS BIGINT) FROM {part} WHERE p_partkey % 5 = 0 AND p_partkey > 2"
+_REACHED = "WITH RECURSIVE e AS ({}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
+
+
+def _hierarchy(spark, d):
+    return spark.sql(_HIERARCHY.format(part=f"parquet.`{d}/part.parquet`"))
+
+
+@query(_REACHED.format(_HIERARCHY.format(part="part")) + " SELECT src, count(*) AS n_reached, FALSE AS in_cycle FROM r GROUP BY src")
+def g8_reach_of_hierarchy(spark, d):
+    return reachability.reach(_hierarchy(spark, d))
+
+
+@query(_REACHED.format("SELECT src, dst FROM {edges}") + " SELECT a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")
+def g8_components(spark, d):
+    return reachability.components(view(spark, d, "edges"))
+
+
+@query(_REACHED.format(_HIERARCHY.format(part="part")) + " SELECT p_partkey AS src, p_size AS dst, EXISTS (SELECT 1 FROM r WHERE r.src = p_partkey AND r.dst = p_size) AS reached FROM part")
+def g8_reachable(spark, d):
+    wanted = table(spark, d, "part").select(F.col("p_partkey").alias("src"), F.col("p_size").cast("long").alias("dst"))
+    return reachability.Labels(_hierarchy(spark, d)).reaches(wanted).withColumn("dst", F.col("dst").cast("int"))
 
 
 #: The chain of a specification's first reference: on to the next while it names a fragment with a reference that is there and not yet open.

@@ -79,6 +79,45 @@ def test_inline_deep_chains_and_cycles(spark):
         assert json.loads(out[u].resolved) == go(body, u, frozenset(), failed) and out[u].unresolved == failed
 
 
+def test_inline_of_a_ladder_resolves_fragments_once(spark):
+    """Thirty diamonds: the text doubles with each, and is given up to a size."""
+    docs = {f"http://h/{i}": {"p": [{"$ref": f"{i + 1}#/l"}, {"$ref": f"{i + 1}#/r"}], "l": [{"$ref": "#/p"}, {"$ref": f"{i}#/p"}], "r": {"$ref": f"{i}#/p"}} for i in range(30)}
+    docs["http://h/30"] = {"l": 1, "r": 2}
+    df = spark.createDataFrame([(u, json.dumps(b)) for u, b in docs.items()], "url string, body string")
+    pieces, arcs = g.fragments(df)
+    assert pieces.count() == 30 + 60 and arcs.count() == 29 * 4 + 2
+    out = {r.url: r for r in g.inline(df, max_bytes=100_000).collect()}
+    assert json.loads(out["http://h/29"].resolved) == {"p": [1, 2], "l": [{"$ref": "#/p"}, [1, 2]], "r": [1, 2]}
+    whole, none = ([u for u in out if (out[u].resolved is None) == x] for x in (False, True))
+    assert len(whole) > 8 and len(none) > 15 and "http://h/0" in none
+    assert all(out[u].unresolved == ["larger than 100000 characters"] for u in none) and all(out[u].unresolved == [] for u in whole)
+
+
+def test_inline_of_documents_that_all_refer_to_each_other(spark):
+    n = 12
+    docs = {f"http://h/{i:02}": [{"$ref": f"{j:02}"} for j in range(n) if j != i] for i in range(n)} | {"http://h/x": {"$ref": "03"}, "http://h/y": [{"$ref": "11"}, {"$ref": "x"}]}
+    out = {r.url: r for r in g.inline(spark.createDataFrame([(u, json.dumps(b)) for u, b in docs.items()], "url string, body string"), max_ways=500).collect()}
+
+    def go(i):  # references stay that do not lead to a greater document
+        return [go(j) if j > i else {"$ref": f"{j:02}"} for j in range(n) if j != i]
+
+    assert json.loads(out["http://h/x"].resolved) == go(3) and json.loads(out["http://h/y"].resolved) == [go(11), go(3)]
+    assert json.loads(out["http://h/03"].resolved) == [go(j) for j in range(n) if j != 3]
+    assert out["http://h/11"].unresolved == [r for j in range(n - 1) for r in _stay(go(j))]
+
+
+def _stay(x):
+    return [x["$ref"]] if isinstance(x, dict) else [r for y in x for r in _stay(y)]
+
+
+def test_inline_to_a_depth(spark):
+    docs = {f"http://h/{i}": {"p": {"$ref": f"{i + 1}#/p"}, "q": {"$ref": "0"}} for i in range(5)}
+    df = spark.createDataFrame([(u, json.dumps(b)) for u, b in docs.items()], "url string, body string")
+    for depth, p, q in ((0, {"$ref": "1#/p"}, {"$ref": "0"}), (1, {"$ref": "2#/p"}, docs["http://h/0"]), (3, {"$ref": "4#/p"}, {"p": {"$ref": "3#/p"}, "q": {"$ref": "0"}})):
+        out = {r.url: json.loads(r.resolved) for r in g.inline(df, depth).collect()}
+        assert out["http://h/0"] == {"p": p, "q": q}
+
+
 def test_hard_documents(spark):
     """A long chain, deep JSON, malformed URLs."""
     n = 30
@@ -101,15 +140,38 @@ def test_closure_bound_is_an_error(spark):
         g.closure(chain, 3).count()
 
 
-def test_replay_of_a_busy_key(spark):
+def plain_replay(rows, ttl):
+    last, out = {}, []
+    for k, t in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0], r[1]) if r[0] is not None else (True, "", r[1])):
+        if k not in last or t - last[k] > ttl:
+            last[k] = t
+            out.append((k, t))
+    return sorted(out, key=str)
+
+
+@pytest.fixture
+def many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize(("ttl", "span", "kind"), [(60, 100_000, "long"), (5000, 100_000, "long"), (7.5, 900, "double")])
+def test_replay_of_busy_keys(spark, many_tasks, ttl, span, kind):
+    """A key over all tasks, by sums of runs that are longer and shorter than the time to live; equal times, nulls."""
     random.seed(5)
-    rows = [("k", t) for t in sorted(random.sample(range(100_000), 3000))] + [("j", 7), ("j", 7)]
-    last, expected = None, 0
-    for t in [t for k, t in rows if k == "k"]:
-        if last is None or t - last > 60:
-            last, expected = t, expected + 1
-    out = g.replay(spark.createDataFrame(rows, "k string, t long"), "k", "t", 60)
-    assert out.columns == ["k", "t", "fetched"] and out.where("fetched and k = 'k'").count() == expected and out.where("fetched and k = 'j'").count() == 1
+    own = (lambda x: x) if kind == "long" else (lambda x: x / 4)
+    rows = [("k", own(random.randrange(span))) for _ in range(6000)] + [("j", own(7)), ("j", own(7)), ("l", own(1)), (None, own(3)), (None, own(4)), ("k", None)]
+    out = g.replay(spark.createDataFrame(rows, f"k string, t {kind}").repartition(3), "k", "t", ttl)
+    assert out.columns == ["k", "t", "fetched"] and out.count() == len(rows)
+    assert sorted(((r.k, r.t) for r in out.where("fetched").collect()), key=str) == plain_replay(rows, ttl)
+
+
+def test_replay_of_one_key_takes_several_tasks(spark, many_tasks):
+    rows = spark.range(200_000).select(F.lit("k").alias("k"), F.col("id").alias("t"))
+    out = g.replay(rows, "k", "t", 1000).withColumn("task", F.spark_partition_id())
+    found = out.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count_if("fetched").alias("fetched")).collect()
+    assert sum(r.fetched for r in found) == -(-200_000 // 1001) and sum(r.n > 0 for r in found) > 1 and max(r.n for r in found) < 150_000
 
 
 def test_replay_restarts_on_fetches_only(spark):
