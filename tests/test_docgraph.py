@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,6 +193,24 @@ def test_stream_fetches_like_replay_for_any_batches(spark, tmp_path):
         assert sorted((r.k, r.t) for r in out.collect()) == expected
 
 
+def test_stream_state_ends(spark, tmp_path):
+    """Three batches: keys are held until their time to live and the delay are over, and rows behind the watermark are late."""
+    given = [[(f"k{i}", i) for i in range(50)] + [("a", 100)],
+             [("a", 150), ("a", 99), ("b", 1000), ("k7", 95)],
+             [("a", 300), ("b", 1010), ("c", 2000), ("k3", 989)],  # the watermark of the batch before is at 90
+             [("z", 980), ("a", 985), ("z", 1500), ("c", 2050)]]  # at 990
+    df = spark.createDataFrame(given[0], "k string, t long")
+    for rows in given:
+        spark.createDataFrame(rows, "k string, t long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)  # files are taken by their times
+    batches = []
+    out = streams.run_once(streams.read_parquet_stream(df, str(tmp_path / "in"), 1), lambda s: streams.first_per_ttl(s, "k", "t", 100, "10 seconds"), "ending", batches)
+    assert sorted((r.k, r.t) for r in out.collect()) == sorted([*given[0], ("a", 300), ("b", 1000), ("c", 2000), ("k3", 989), ("z", 1500)])
+    held = [b["keys"] for b in batches]
+    assert held[0] == 51 and max(held) == 52 and held[2] < 10 and held[-1] == 1
+    assert [b["late"] for b in batches[:4]] == [0, 0, 0, 2] and sum(b["rows"] for b in batches) == sum(map(len, given))
+
+
 def test_fresh_and_newest(spark):
     df = spark.createDataFrame([("u", 1.0, "old"), ("u", 5.0, "new"), ("v", None, "x")], "url string, timestamp double, document string")
     assert [(r.url, r.document) for r in g.newest(df.where("url = 'u'")).collect()] == [("u", "new")]
