@@ -1,11 +1,15 @@
 """Access decisions over request logs, token claims and deployments: rules as column expressions and joins."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What a rule may ask for, and the rules of one shape that are broadcast at most.
+RULE, BROADCAST_RULES = ("method", "p0", "p1", "company", "depth"), 1_000_000
+
 
 def is_public(path: str, patterns: Sequence[str], context: str = "") -> Column:
     """Whether a pattern, behind the context path, matches at the start of the path (not the whole of it)."""
@@ -62,19 +66,27 @@ def path_parts(path: str = "path") -> Column:
 
 def policy(requests: DataFrame, rules: DataFrame, default: bool = False) -> DataFrame:
     """Requests with ``allowed`` and ``status``. A rule has ``method``, ``p0``, ``p1`` and ``company``, null where it does not matter, and ``depth``, the
-    exact number of path parts, or null. Any rule that matches allows; a denial is 401. ``rules`` has one row a rule.
+    exact number of path parts, or null. Any rule that matches allows; a denial is 401. ``rules`` has one row a rule. A request without a path has no parts, and meets only rules that ask for none or for an empty first one.
 
-    The rules of one first part are one list, which requests meet by that part; so requests are read once, and kept once
-    however many rules match. Requests may be a stream.
+    Rules are indexed by which fields they ask for: 32 shapes at most. Within a shape, a rule is an exact key, so a request makes one lookup for each shape that occurs, however many rules
+    there are; shapes of up to ``BROADCAST_RULES`` rules are broadcast, and then requests are read once and not shuffled. Requests may be a stream.
     """
     own = requests.columns
-    parts = requests.withColumn("_parts", path_parts())
-    parts = parts.withColumns({"_p0": F.coalesce(F.get("_parts", F.lit(0)), F.lit("")), "_p1": F.get("_parts", F.lit(1)), "_n": F.size("_parts")})
-    lists = rules.groupBy(F.col("p0").alias("_p0")).agg(F.collect_list(F.struct("method", "p1", "company", "depth")).alias("_rules"))
-    same = lambda value, x: x.isNull() | F.col(value).eqNullSafe(x)
-    hit = F.exists("_rules", lambda r: same("method", r["method"]) & same("_p1", r["p1"]) & same("company", r["company"]) & same("_n", r["depth"]))
-    allowed = F.coalesce(hit, F.lit(False)) | F.lit(default)
-    return parts.join(lists, "_p0", "left").select(*own, allowed.alias("allowed"), F.when(allowed, 200).otherwise(401).alias("status"))
+    of = {f"_is_{c}": F.col(c) for c in ("method", "company")} | {"_parts": path_parts()}
+    asked = requests.withColumns(of).withColumns({"_is_p0": F.coalesce(F.get("_parts", F.lit(0)), F.lit("")), "_is_p1": F.get("_parts", F.lit(1)), "_is_depth": F.size("_parts")})
+    shapes = rules.groupBy(*(F.col(c).isNotNull().alias(c) for c in RULE)).agg(F.count(F.lit(1)).alias("n")).collect()
+    allowed = F.lit(default)
+    for k, shape in enumerate(shapes):
+        fields = [c for c in RULE if shape[c]]
+        if not fields:
+            allowed = F.lit(True)
+            continue
+        such = functools.reduce(Column.__and__, (F.col(c).isNotNull() if c in fields else F.col(c).isNull() for c in RULE))
+        keys = rules.where(such).select(*(F.col(c).alias(f"_rule{k}_{c}") for c in fields)).distinct().withColumn(f"_hit{k}", F.lit(True))
+        meets = functools.reduce(Column.__and__, (F.col(f"_is_{c}") == F.col(f"_rule{k}_{c}") for c in fields))
+        asked = asked.join(F.broadcast(keys) if shape.n <= BROADCAST_RULES else keys, meets, "left")
+        allowed = allowed | F.coalesce(F.col(f"_hit{k}"), F.lit(False))
+    return asked.select(*own, allowed.alias("allowed"), F.when(allowed, 200).otherwise(401).alias("status"))
 
 
 def visible(features: DataFrame, grants: DataFrame) -> DataFrame:

@@ -565,6 +565,20 @@ def a9_policy(spark, d):
     return a.policy(view(spark, d, "requests"), _rules(spark)).select("req_id", "allowed")
 
 
+#: A rule for each part, any field of which may be open; and requests for collections named like them.
+_PART_RULES = """SELECT CASE WHEN p_partkey % 3 > 0 THEN 'GET' END AS method, CASE WHEN p_partkey % 4 > 0 THEN 'collections' END AS p0, CASE WHEN p_partkey % 97 > 0 THEN concat('c', CAST(p_partkey AS STRING)) END AS p1,
+    CASE p_partkey % 5 WHEN 0 THEN 'acme' WHEN 1 THEN 'osgeo' WHEN 2 THEN concat('x', CAST(p_size AS STRING)) END AS company, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 97 = 0 THEN 4 END AS depth FROM {part}"""
+_PART_REQUESTS = "SELECT req_id, method, company, concat(CASE WHEN req_id % 11 = 0 THEN '/jobs/c' ELSE '/collections/c' END, CAST(req_id % 5000 AS STRING), CASE WHEN req_id % 2 = 0 THEN '/items' ELSE '' END) AS path FROM {requests}"
+
+
+@query(f"""WITH r AS ({_PART_RULES.format(part='part')}), q AS ({_PART_REQUESTS}) SELECT req_id, EXISTS (SELECT 1 FROM r WHERE (r.method IS NULL OR r.method = q.method) AND (p0 IS NULL OR p0 = split_part(path, '/', 2)) AND (p1 IS NULL OR p1 = split_part(path, '/', 3))
+    AND (r.company IS NULL OR r.company = q.company) AND (depth IS NULL OR depth = len(string_split(path, '/')) - 1)) AS allowed FROM q""")
+def a9_open_rules(spark, d):
+    view(spark, d, "requests").createOrReplaceTempView("quillon_requests")
+    asked = spark.sql(_PART_REQUESTS.format(requests="quillon_requests"))
+    return a.policy(asked, spark.sql(_PART_RULES.format(part=f"parquet.`{d}/part.parquet`"))).select("req_id", "allowed")
+
+
 @query("SELECT id, collection FROM {features} WHERE collection IN (SELECT event_type FROM events WHERE user_id % 5 = 0 AND event_type <> 'click')")
 def a10_visible(spark, d):
     grants = table(spark, d, "events").where("user_id % 5 = 0 AND event_type <> 'click'").select(F.col("event_type").alias("collection")).distinct()

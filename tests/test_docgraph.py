@@ -263,3 +263,19 @@ def test_policy_rules_may_overlap(spark):
     rules = spark.createDataFrame([("GET", "c", None, None, 1), (None, "c", None, "o", None), ("GET", "", None, None, 0)], "method string, p0 string, p1 string, company string, depth int")
     req = spark.createDataFrame([(1, "GET", "/c", "o"), (2, "GET", "/c/x", None), (3, "PUT", "/c/x", "o"), (4, "GET", "/", None), (5, "GET", "/z", "o")], "id int, method string, path string, company string")
     assert {r.id: (r.allowed, r.status) for r in a.policy(req, rules).collect()} == {1: (True, 200), 2: (False, 401), 3: (True, 200), 4: (True, 200), 5: (False, 401)}
+
+
+def test_policy_of_many_open_rules(spark):
+    """Rules with and without a first part, none of which is gathered with others: one pass without a shuffle."""
+    rules = spark.range(100_000).selectExpr("if(id % 2 = 0, 'GET', null) AS method", "if(id % 3 = 0, null, 'collections') AS p0", "concat('c', id) AS p1", "if(id % 5 = 0, 'acme', null) AS company", "if(id % 7 = 0, 2, null) AS depth")
+    asked = [("GET", "/collections/c1", None), ("POST", "/collections/c2", None), ("GET", "/jobs/c3", None), ("GET", "/jobs/c4", None), ("GET", "/collections/c5", "acme"), ("GET", "/collections/c5", None),
+             ("GET", "/x/c21", None), ("GET", "/x/c21/y", None), (None, "/collections/c99999", None), ("GET", "/", None), ("GET", None, None), (None, None, None), ("GET", "/collections/c100000", "acme")]
+    out = a.policy(spark.createDataFrame(asked, "method string, path string, company string"), rules)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(_is" not in plan
+    assert [r.allowed for r in out.collect()] == [True, False, True, False, True, False, True, False, True, False, False, False, False]
+    one = spark.createDataFrame([(None, None, None, None, 0)], "method string, p0 string, p1 string, company string, depth int")
+    assert [r.allowed for r in a.policy(spark.createDataFrame(asked, "method string, path string, company string"), one).collect()].count(True) == 1
+    every = one.withColumn("depth", F.lit(None).cast("int"))
+    assert all(r.allowed and r.status == 200 for r in a.policy(spark.createDataFrame(asked, "method string, path string, company string"), every).collect())
+    assert not any(r.allowed for r in a.policy(spark.createDataFrame(asked, "method string, path string, company string"), one.limit(0)).collect())
