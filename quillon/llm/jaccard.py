@@ -3,10 +3,10 @@
 A document's set holds the hashes of its distinct word shingles. Three stages, all without loss:
 
 1. Shingles that occur again and again are counted over the whole corpus. All shingles are put into one order, the rarest first.
-2. Routing. Sets of similarity t share one of the first ``n - ceil(t n) + 1`` shingles of that order: the keys by which they meet.
-   Where few documents have a key, all their pairs are counted over the keys, and those with too few keys in common for the
-   threshold are dropped. What is left, and what meets at a key of many documents, is joined into blocks: each pair
-   that may link lies in one block, and a passage that several documents have in common does not bring these together.
+2. Routing. Of two sets of similarity t, one of the first ``n - ceil(t n) + 1`` shingles of the larger in that order, its keys, is among the first
+   ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller, those by which it is found. Where few documents have a key, all their pairs are counted over the keys, and those with too few keys in
+   common for the threshold are dropped. Where many have it, documents meet only those of allowed sizes that are found by it. So texts of a template, which have their own words as first
+   keys, do not meet unless those are so few that they may link. What is left is joined into blocks: each pair that may link lies in one.
 3. Signature trees find the links. A block's different sets become a tree whose nodes hold the OR of their members' token bitmaps and a
    range of sizes. Two trees (or a tree and itself) are traversed together: a pair of nodes whose greatest possible overlap
    cannot reach the threshold is dropped, as is one whose members are already connected. Surviving pairs are compared exactly.
@@ -90,6 +90,16 @@ class Frequent:
         return out
 
 
+def found_by(n, num: int, den: int):
+    """Of how many of its first keys a set of size n shares at least one with each larger set, or one of its size, that links with it."""
+    return n - -(-2 * num * n // (num + den)) + 1
+
+
+def size_class(n, num: int, den: int):
+    """Sets that may link have sizes of one class or of neighbours."""
+    return np.floor(np.log(n) / np.log(den / num) + 1e-9).astype(np.int64) if num < den else np.asarray(n, np.int64)
+
+
 def prefix_keys(s: np.ndarray, frequent: Frequent, num: int, den: int) -> np.ndarray:
     """The first shingles of a set in the common order (class, hash): any two sets of similarity num/den have one in common.
 
@@ -152,31 +162,40 @@ KEY, HOT, MET, EQUAL, SIZE = range(5)
 
 
 def _sketch(k: int, num: int, den: int, frequent):
-    """Rows ``(kind, a, b, n)``: KEY (key, id, set size); HOT (key, id, set size) for a key that more than ``MANY`` documents of a task have,
-    and MET (id, id) for those; EQUAL (id, id) for equal sets within a task, of which only the first gets keys; SIZE (id, set size)."""
+    """Rows ``(kind, a, b, n, other, found)``. KEY (key, id, set size, keys of this id that many have) and HOT (key, id, set size), the latter for a key that more than ``MANY`` documents of a
+    task have, ``found`` if the key is one by which the id is found; of those of one key and size class that has such a row, only the first has one, and MET (id, id) joins the others to it. EQUAL
+    (id, id) for equal sets within a task, of which only the first gets keys; SIZE (id, set size)."""
+    names = ["kind", "a", "b", "n", "other", "found"]
+
     def run(batches):
         shingle, order = Shingler(k), frequent.value
         keys, owners, sizes, total = [], [], [], 0
         seen: dict[bytes, int] = {}
 
-        def batch_of(kind, a, b, n=None):
-            n = np.zeros(len(a), np.int32) if n is None else n
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], ["kind", "a", "b", "n"])
+        def batch_of(kind, a, b, n=None, other=None, found=None):
+            none = np.zeros(len(a), np.int32)
+            n, other, found = (none if n is None else n), (none if other is None else other), (none > 0 if found is None else found)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(other, pa.int32()), pa.array(found, pa.bool_())], names)
 
         def combined():
-            count = list(map(len, keys))
-            key, owner, n = np.concatenate(keys), np.repeat(np.array(owners), count), np.repeat(np.array(sizes, np.int32), count)
-            at = np.lexsort((owner, key))
-            key, owner, n = key[at], owner[at], n[at]
-            first = np.append(True, key[1:] != key[:-1])
-            group = np.cumsum(first) - 1
-            many = np.bincount(group)[group] > MANY
-            yield batch_of(KEY, key[~many].view(np.int64), owner[~many], n[~many])
-            yield batch_of(HOT, key[many & first].view(np.int64), owner[many & first], n[many & first])
-            head = owner[np.flatnonzero(first)[group]]
-            rest = many & (head != owner)
-            pairs = np.unique(np.stack([head[rest], owner[rest]], axis=1), axis=0)
-            yield batch_of(MET, pairs[:, 0], pairs[:, 1])
+            count = np.fromiter(map(len, keys), np.int64, len(keys))
+            key, owner, place = np.concatenate(keys), np.repeat(np.arange(len(keys)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            size, ids = np.array(sizes, np.int32), np.array(owners)
+            found = place < found_by(size.astype(np.int64), num, den)[owner]
+            at = np.lexsort((owner, ~found, size_class(size, num, den)[owner], key))
+            key, owner, found = key[at], owner[at], found[at]
+            of_key = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+            many = np.bincount(of_key)[of_key] > MANY
+            hot = np.bincount(owner[many], minlength=len(ids)).astype(np.int32)
+            yield batch_of(KEY, key[~many].view(np.int64), ids[owner[~many]], size[owner[~many]], hot[owner[~many]], found[~many])
+            key, owner, found = key[many], owner[many], found[many]
+            kind = size_class(size, num, den)[owner]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))[:len(key)])
+            head = np.repeat(first, np.diff(np.append(first, len(key))))
+            lone = ~found[head] | (head == np.arange(len(key)))  # no row of the class is found by the key, or this is the first
+            yield batch_of(HOT, key[lone].view(np.int64), ids[owner[lone]], size[owner[lone]], None, found[lone])
+            pairs = np.unique(np.stack([owner[head[~lone]], owner[~lone]], axis=1), axis=0)
+            yield batch_of(MET, ids[pairs[:, 0]], ids[pairs[:, 1]])
 
         for batch in batches:
             ids, every, same = batch.column(0).to_pylist(), [], []
@@ -201,25 +220,30 @@ def _sketch(k: int, num: int, den: int, frequent):
         if keys:
             yield from combined()
 
-    return run, "kind byte, a long, b long, n int"
+    return run, "kind byte, a long, b long, n int, other int, found boolean"
 
 
 def _met(sketch: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)`` that bring together all that may link: the first document of each frequent key with the others of that key, and the
-    pairs of rare keys that have enough keys in common.
+    """Pairs ``(a, b)`` that bring together all that may link: at a frequent key, the first document of those found by it in a size class with the
+    others of this class and the next; and pairs of rare keys that may have enough keys in common.
 
     Of two sets with c common keys, the one whose keys end first in the common order has ``ceil(t n) - 1`` shingles behind them. So the overlap is at
-    most c and the larger of these two numbers, and it has to be ``t / (1 + t)`` of the sum of the sizes.
+    most c and the larger of these two numbers, and it has to be ``t / (1 + t)`` of the sum of the sizes. Keys that many have are not compared, and all count as common.
     """
-    by_key = Window.partitionBy("a")
-    keys = sketch.where(F.col("kind").isin(KEY, HOT)).select("a", "b", "n", (F.col("kind") == HOT).alias("hot"))
-    keys = keys.withColumns({"many": (F.count(F.lit(1)).over(by_key) > MANY) | F.max("hot").over(by_key), "one": F.count(F.lit(1)).over(by_key) == 1, "least": F.min("b").over(by_key)})
-    frequent = keys.where("many and least < b").select(F.col("least").alias("a"), "b")
-    lists = keys.where("not many and not one").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("l"))
+    keys = sketch.where(F.col("kind").isin(KEY, HOT)).select("kind", "a", "b", "n", "other", "found")
+    many = small(save(keys.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.max("kind").alias("k")).where((F.col("c") > MANY) | (F.col("k") == HOT)).select("a"), "many"))
+    hot = save(keys.join(many, "a", "left_semi"), "hot")
+    base = F.floor(F.log("n") / float(np.log(den / num)) + 1e-9) if num < den else F.col("n").cast("long")
+    heads = hot.where("found").groupBy("a", base.alias("class")).agg(F.min("b").alias("head"))
+    meets = hot.select("a", "b", F.explode(F.array(base, base - 1)).alias("class")).join(small(save(heads, "heads")), ["a", "class"])
+    frequent = meets.where("head <> b").select(F.col("head").alias("a"), "b")
+    lost = hot.where(F.col("kind") == KEY).groupBy(F.col("b").alias("_b")).agg(F.count(F.lit(1)).cast("int").alias("more"))
+    rare = keys.where(F.col("kind") == KEY).join(many, "a", "left_anti").join(small(save(lost, "lost")), F.col("b") == F.col("_b"), "left")
+    lists = rare.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "n", (F.col("other") + F.coalesce("more", F.lit(0))).alias("h")))).alias("l")).where("size(l) > 1")
     pairs = lists.select(F.expr("inline(flatten(transform(sequence(1, size(l) - 1), i -> transform(slice(l, i + 1, size(l)), y -> struct(l[i - 1] as x, y as y)))))"))
     pairs = pairs.where(f"x.b < y.b and least(x.n, y.n) * {den}L >= greatest(x.n, y.n) * {num}L").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
     up = lambda x, d: f"floor((({x}) * {num}L + {d - 1}) / {d})"
-    enough = f"c >= {up('x.n + y.n', num + den)} - greatest({up('x.n', den)}, {up('y.n', den)}) + 1"
+    enough = f"c + least(x.h, y.h) >= {up('x.n + y.n', num + den)} - greatest({up('x.n', den)}, {up('y.n', den)}) + 1"
     return frequent.union(pairs.where(enough).select("x.b", "y.b"))
 
 

@@ -113,6 +113,9 @@ def test_prefixes_always_meet():
                     b = c
                 keys = jaccard.prefix_keys(a, order, num, 100), jaccard.prefix_keys(np.array(sorted(b), np.uint64), order, num, 100)
                 assert len(np.intersect1d(*keys))
+                large, small = sorted(((len(a), tuple(keys[0])), (len(b), tuple(keys[1]))), reverse=True)
+                assert set(large[1]) & set(small[1][:jaccard.found_by(small[0], num, 100)])
+                assert jaccard.size_class(large[0], num, 100) - jaccard.size_class(small[0], num, 100) in (0, 1)
 
 
 @pytest.mark.parametrize(("k", "num", "chunk"), [(3, 90, 2000), (5, 80, 2000), (5, 80, 9), (3, 70, 9)])
@@ -127,6 +130,21 @@ def test_common_passage(spark, monkeypatch, k, num, chunk):
     assert sorted(tuple(r) for r in found.collect()) == linked(rows, k, num, 100)
 
 
+@pytest.mark.parametrize("many", [32, 4])
+def test_template_pages(spark, monkeypatch, many):
+    """Texts of a template do not meet unless they may link, however many they are; those that do are found."""
+    monkeypatch.setattr(jaccard, "MANY", many)
+    template = [f"t{i}" for i in range(180)]
+    page = lambda i, n, cut=180: (i, " ".join([*template[:cut], *(f"own{i}x{j}" for j in range(n))]))
+    apart = [page(i, 28) for i in range(400)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, members = jaccard._routed(df(apart), 5, 80, 100)
+    assert members.count() == 0
+    near = apart[:60] + [page(1000 + i, i % 30, 180 - i % 7) for i in range(90)] + [page(2000 + i, 3, 90 + i) for i in range(90)]
+    found = jaccard.components(df(near), 5, 80, 100)
+    assert sorted(tuple(r) for r in found.collect()) == linked(near, 5, 80, 100)
+
+
 def test_frequent_shingles_go_last(spark, monkeypatch):
     rows = [(f"common words of every text here {i} {i + 1} {i + 2}",) for i in range(50)]
     frequent = jaccard.frequent_shingles(spark.createDataFrame(rows, "text string").repartition(2), 3)
