@@ -26,6 +26,11 @@ FAMILIES = sorted({*NAMES, *PARAGRAPHS})
 WORD = r"[^\p{L}\p{N}]+"
 #: Words of which a notice that only names its licence has one.
 CUE = "(?i)licen[sc]|released|distributed|available|under|terms|spdx|dedicat"
+#: A notice that says that a licence does not hold; up to so many words it cannot be a licence's own text.
+NEGATED, NOTICE_WORDS = r"(?i)\b(?:not|no longer|never|nor|isn't|aren't|wasn't)\b[^.;!?]*\b(?:licen[sc]ed|licen[sc]ing|covered|released|distributed|available|offered)\b", 20
+#: Licence expressions: what stands before one, what parts its names, and the longest line that is read as one.
+LEAD = r"(?i)^.*(?:spdx-license-identifier:|licen[sc]ed\s+under|licen[sc]ed|licen[sc]es?\s*:|\bunder)(?:\s+(?:the\s+)?terms\s+of)?(?:\s+(?:either|both))?(?:\s+the)?(?!\w)"
+PARTS, EXPRESSION = r"(?i)\s+(?:or|and|with)\s+(?:the\s+)?|\s*[/,|]\s*|[()]", 200
 #: Feature buckets; documents and lines of the corpus that training sees, as a mean (they are chosen by hash).
 BUCKETS, TRAIN_DOCUMENTS, TRAIN_LINES = 1 << 12, 4000, 4000
 #: A line may belong to a notice if its probability of ``none`` is below this.
@@ -163,13 +168,35 @@ def _confirmed(units: DataFrame, unit: list[str]) -> DataFrame:
     share = (F.when(F.col("kind") == "name", F.when(all_there & (F.col("line").rlike(CUE) | (F.col("n") <= F.col("t_pairs") + 1)), 1.0).otherwise(0.0))
              .when(F.col("kind") == "whole", F.when(all_there & F.expr("(line rlike '(?i)copyright|[(]c[)]|©' or lower(line) rlike concat('(^|[.!?] +)[^a-z]*', t_text, '[^a-z]*$'))"), 1.0).otherwise(0.0))
              .otherwise(F.least(F.lit(1.0), F.greatest(F.col("both") / F.col("t_pairs"), F.when(F.col("n") >= 6, F.col("both") / F.col("n")).otherwise(0.0)))))
-    met = met.withColumn("share", share).groupBy(*unit).agg(F.max("share").alias("most"), F.max(F.when(F.col("t_family") == F.col("family"), F.col("share"))).alias("agreement"),
+    negated = F.col("line").rlike(NEGATED) & ((F.col("kind") == "name") | (F.col("n") < NOTICE_WORDS))
+    met = met.withColumn("share", F.when(negated, 0.0).otherwise(share)).groupBy(*unit).agg(F.max("share").alias("most"), F.max(F.when(F.col("t_family") == F.col("family"), F.col("share"))).alias("agreement"),
                                                                 F.max(F.when((F.col("t_family") == F.col("family")) & (F.col("kind") != "text"), F.col("share"))).alias("by_name"))
     met = met.select(*[F.col(c).alias(f"k_{c}") for c in unit], "most", "agreement", "by_name")
     out = units.join(met, _same(unit, "k_"), "left").select(*units.columns, F.coalesce("agreement", F.lit(0.0)).alias("agreement"), "most", F.coalesce(F.col("by_name") >= 1, F.lit(False)).alias("named"))
     return out.withColumn("confirmed", (F.col("agreement") >= AGREE) & (F.col("agreement") >= F.col("most") - 0.02) & ~F.col("family").isin(NONE, UNKNOWN)).drop("most")
 
 
+def _expressions(rows: DataFrame, unit: list[str], model: Model) -> DataFrame:
+    """``rows`` once for each family of a licence expression (names parted by ``or``, ``and``, ``with``, commas or slashes), with ``family``, ``probability`` and ``agreement``. A line is one if
+    all its names are those of licences and the model says the same of each; what follows ``with`` is an exception and need not be known."""
+    words = lambda c: F.concat_ws(" ", F.expr(_sql_words(c)))
+    spark = rows.sparkSession
+    known = [(f, n) for f, n in _names()] + [(f, x) for f, ids in SPDX.items() for x in ids]
+    known = _literal(known, "t_family string, name string", spark)
+    known = known.select("t_family", F.explode(F.array(words("name"), F.concat(words("name"), F.lit(" license")))).alias("t_words")).groupBy("t_words").agg(F.min("t_family").alias("t_family"))
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", LEAD, ""), r"(?i),\s*version", " version"), r"(?i)\s+with\s+[\w.-]*exception[\w.-]*", "")
+    parts = F.filter(F.transform(F.split(text, PARTS), lambda x: F.trim(F.regexp_replace(x, r"^[\s:.;*#-]+|[\s:.;*#-]+$", ""))), lambda x: x != "")
+    some = rows.where((F.length("line") <= EXPRESSION) & F.col("line").rlike(PARTS) & ~F.col("line").rlike(NEGATED)).withColumn("_parts", parts).where("size(_parts) between 2 and 8")
+    each = some.select(*unit, F.size("_parts").alias("_n"), F.explode("_parts").alias("_part")).withColumn("t_words", words("_part"))
+    each = save(each.join(F.broadcast(known), "t_words"), "license-parts")
+    frame = F.when(F.col("_part").contains(" "), F.concat(F.lit("licensed under the "), F.col("_part"))).otherwise(F.concat(F.lit("SPDX-License-Identifier: "), F.col("_part")))
+    said = model.classify(each.withColumn("line", frame)).where("family = t_family")
+    whole = said.groupBy(*unit, "_n").agg(F.count(F.lit(1)).alias("_found"), F.collect_set(F.struct("family", "probability")).alias("_f")).where("_found = _n")
+    whole = whole.select(*[F.col(c).alias(f"e_{c}") for c in unit], F.explode("_f").alias("_f")).select("*", "_f.family", "_f.probability").drop("_f")
+    whole = whole.groupBy(*[f"e_{c}" for c in unit], "family").agg(F.max("probability").alias("probability"))
+    return rows.join(whole, _same(unit, "e_")).select(*rows.columns, "family", "probability", F.lit(1.0).alias("agreement"))
+
+
 def _same(names: list[str], prefix: str) -> Column:
     """Columns that equal those with a prefix, nulls included."""
     return functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{prefix}{n}")) for n in names])
@@ -178,6 +205,8 @@ def _same(names: list[str], prefix: str) -> Column:
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Licence paragraphs: ``(doc_id, text_hash, first, last, line, family, probability, agreement, confirmed)``, ``first`` and ``last`` being line numbers.
 
+    A notice that denies a licence ("not licensed under ...") confirms none. An expression of several names comes as a row for each of their families.
+
     Every line of every whole text is classified. Lines that may belong to a notice, with at most one other line between two of them, are one
     paragraph. A confirmed paragraph comes as one row, and lines of it that name another family as further
     rows; of a paragraph that is not confirmed come its confirmed lines, or one row ``unknown`` if its class is not ``none``.
@@ -196,6 +225,11 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     single = model.classify(several.select(*key, "at", "line", "r_family", "r_confirmed")).where(~F.col("family").isin(NONE, UNKNOWN))
     single = _confirmed(save(single, "license-single"), [*key, "at"]).where("confirmed and (not r_confirmed or named and family <> r_family)")
     single = save(single.select(*key, F.col("at").alias("first"), F.col("at").alias("last"), "line", "family", "probability", "agreement", "confirmed"), "license-single")
+    stated = _expressions(runs.select(*key, "at", "line"), [*key, "at"], model).select(*key, F.col("at").alias("first"), F.col("at").alias("last"), "line", "family", "probability", "agreement", F.lit(True).alias("confirmed"))
+    said = whole.where("confirmed").select(*[F.col(c).alias(f"r_{c}") for c in [*key, "family"]])
+    stated = save(stated.join(said, _same([*key, "family"], "r_"), "left_anti"), "license-stated")
+    once = stated.select(*[F.col(c).alias(f"r_{c}") for c in [*key, "first"]]).distinct()
+    single = single.join(once, _same([*key, "first"], "r_"), "left_anti").union(stated)
     rest = whole.join(single.select(*[F.col(c).alias(f"r_{c}") for c in key]).distinct(), _same(key, "r_"), "left_anti")
     rest = rest.where(~F.col("confirmed") & (F.col("family") != NONE)).withColumn("family", F.lit(UNKNOWN))
     cols = ["doc_id", "text_hash", "first", "last", "line", "family", "probability", "agreement", "confirmed"]

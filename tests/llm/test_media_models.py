@@ -245,6 +245,25 @@ def test_license_texts(spark, license_model):
     assert {t: out[i] for i, t in enumerate(cases)} == cases
 
 
+#: Notices marked by hand: what a reader says each line grants.
+MARKED = {
+    "This software is not licensed under the MIT License.": "", "The code is no longer available under the Apache License, Version 2.0.": "", "It was never released under the GNU General Public License.": "",
+    "MIT OR Apache-2.0": "Apache-2.0,MIT", "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT", "Dual licensed under MIT or Apache-2.0": "Apache-2.0,MIT",
+    "Licensed under the MIT License or the Apache License, Version 2.0.": "Apache-2.0,MIT", "SPDX-License-Identifier: (MIT AND BSD-3-Clause)": "BSD-3-Clause,MIT", "license: MIT/Apache-2.0": "Apache-2.0,MIT",
+    "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception": "Apache-2.0", "SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "He got his license to drive and MIT accepted him.": "", "Tickets and drinks, under the old bridge or at the gate": "", "We met at MIT or at the station.": "",
+}
+
+
+def test_license_notices_marked_by_hand(spark, license_model):
+    df = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    out = {r.doc_id: r for r in license.document_licenses(df, license_model[1]).collect()}
+    found = {t: out[i].families for i, t in enumerate(MARKED)}
+    assert found == MARKED
+    both = out[list(MARKED).index("Dual licensed under MIT or Apache-2.0")]
+    assert both.n_licenses == 2 and both.n_unknown == 0
+
+
 def test_op7(spark, sf_dir, monkeypatch, license_model):
     """The query's rows against plain Python over the lines that its operator reports."""
     monkeypatch.setattr(license, "fit", lambda docs: license_model[1])
