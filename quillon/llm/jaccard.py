@@ -546,6 +546,10 @@ def _apart(members: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame
     return save(both.mapInArrow(released(_across(num, den)), "a long, b long"), "links")
 
 
+def _node(ident: Column, text: Column) -> Column:
+    return F.xxhash64(ident, text)
+
+
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of each group of texts that link: the one with the smallest id, and of those the one whose id and text have the least hash.
 
@@ -553,8 +557,17 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     all stay; of rows that repeat both id and text, the one with the least other columns stays. The result does
     not depend on the order of rows. An empty table gives an empty result. Columns may have any names.
     """
-    node, ident, winner = (fresh(docs, x) for x in ("node", "ident", "winner"))
-    rows = docs.withColumn(ident, F.col("doc_id").cast("long")).withColumn(node, F.xxhash64(ident, "text"))
+    node, ident, winner, check = (fresh(docs, x) for x in ("node", "ident", "winner", "check"))
+    rows = docs.withColumn(ident, F.col("doc_id").cast("long")).withColumns({node: _node(F.col(ident), F.col("text")), check: F.xxhash64(F.lit(1), "text", ident)})
+    # a row's name is a hash of 64 bits; where different rows have the same, as a second hash tells, it is that one
+    again = rows.where(F.col(ident).isNotNull()).groupBy(node).agg(F.count(F.lit(1)).alias("n"), F.min(check).alias("lo"), F.max(check).alias("hi")).where("n > 1")
+    again = save(again.select(node, (F.col("lo") != F.col("hi")).alias("clash")), "again")
+    clash = again.where("clash")
+    if clash.isEmpty():
+        again = again.select(node)
+    else:
+        rows = rows.join(small(clash), node, "left").withColumn(node, F.when(F.col("clash"), F.col(check)).otherwise(F.col(node))).drop("clash")
+        again = save(rows.where(F.col(ident).isNotNull()).groupBy(node).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(node), "again")
     named = rows.where(F.col(ident).isNotNull())
     found = save(components(named.select(F.col(node).alias("doc_id"), "text"), k, num, den).distinct(), "components")
     several = save(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id"), "several")
@@ -564,7 +577,6 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     best = save(best.select("component_id", F.col("best").getField(ident).alias(winner), F.col("best").getField(node).alias(winner + "_node")), "best")
     apart = (F.col(ident) != F.col(winner)) | (F.col(node) != F.col(winner + "_node"))
     gone = save(group.join(small(best), "component_id").where(apart).select(node, ident).distinct(), "gone")
-    again = save(named.groupBy(node).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(node), "again")
     kept = rows.join(small(gone), [node, ident], "left_anti")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if again.isEmpty():

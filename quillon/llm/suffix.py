@@ -394,7 +394,10 @@ def cut_repeats(docs: DataFrame, length: int = 400, whole_characters: bool = Fal
 
     size = F.octet_length("text").cast("long")
     gone = rows.where("_whole").select(*own, size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
-    rest = rows.where("not _whole").join(marked, "_h", "left").select(*own, "_marks")
+    # texts that are too short to lose anything stay where they are, however often one of them occurs
+    long = F.octet_length("text") >= length
+    rest = rows.where("not _whole").where(long).join(marked, "_h", "left").select(*own, "_marks")
+    rest = rest.union(rows.where("not _whole").where(F.coalesce(~long, F.lit(True))).select(*own, F.lit(None).cast(marked.schema["_marks"].dataType)))
     schema = "".join(f"{c} {t}, " for c, t in docs.dtypes) + "n_bytes long, n_removed long, n_spans long, kept binary"
     return rest.mapInArrow(released(_remove(length, own.index("text"), own, whole_characters)), schema).union(gone).toDF(*names, *NEW)
 

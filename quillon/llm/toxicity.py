@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import documents, released, set_aside, slices
@@ -26,8 +26,8 @@ CACHE_WORDS = 200_000
 STEP_BYTES = 1_000_000
 #: Windows of one numpy step, and words whose inputs are made in one. Both are filled up, so that results do not depend on neighbours.
 STEP, WORDS_STEP = 2048, 4096
-#: Windows of a labelled text that training holds, evenly chosen where there are more; and those of a text that one pass scores.
-MAX_WINDOWS, PASS_WINDOWS = 2000, 100
+#: Windows of a text that one pass of training scores.
+PASS_WINDOWS = 100
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -147,35 +147,32 @@ class BiGru:
         return g, d_gates
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int = 3000, steps: int = 1000, where=None) -> BiGru:
-    """Trains on at most ``max_rows`` labelled rows, half of each label where there are enough, of any length.
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int = 3000, steps: int = 1000, where=None, max_bytes: int = 24_000_000) -> BiGru:
+    """Trains on at most ``max_rows`` labelled rows and ``max_bytes`` of text, half of each label where there are enough, of any length: rows come in the order of a hash of their ids, and the first
+    that would go beyond the bound ends the sample. A text is held whole.
 
     A document's label belongs to its highest window: each pass scores windows, then learns from the highest of
     each document and one at random (the first pass: at random only). A pass scores all windows of a text, or where it has more than
-    ``PASS_WINDOWS`` so many at random and the highest so far; of a text with more than ``MAX_WINDOWS``, training holds so many, evenly spread. There
+    ``PASS_WINDOWS`` so many at random and the highest so far. There
     are about ``steps`` steps, more passes where there are few rows, from 8 to 60. Afterwards score and label of whole documents, by
-    all windows held, are calibrated by a logistic fit. Without rows of both labels, every score is the share of label 1.
+    all windows, are calibrated by a logistic fit. Without rows of both labels, every score is the share of label 1.
     """
     def cut(batches):
         for batch in batches:
-            rows = []
-            for text, lab in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if w := words_of(text):
-                    spans = windows(len(w))
-                    if len(spans) > MAX_WINDOWS:
-                        spans = [spans[i * len(spans) // MAX_WINDOWS] for i in range(MAX_WINDOWS)]
-                        rows.append((lab, "\n".join(" ".join(w[a:b]) for a, b in spans)))
-                    else:
-                        rows.append((lab, " ".join(w)))
+            rows = [(lab, " ".join(w)) for text, lab in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (w := words_of(text))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], ["label", "words"])
 
-    got = sample(docs, labels, column, max_rows, where).select("text", "label").mapInArrow(released(cut), "label int, words string").toArrow()
+    # windows over no more than max_rows rows
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.octet_length("text"), "text"))
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("rank", "label").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = sample(docs, labels, column, max_rows, where).select("text", "label", rank.alias("rank")).withColumn("upto", upto).where(F.col("upto") <= max_bytes)
+    got = chosen.select("text", "label").mapInArrow(released(cut), "label int, words string").toArrow()
     rows = sorted(zip(got["label"].to_pylist(), got["words"].to_pylist()))
     return train(np.array([r[0] for r in rows], np.float32), [r[1] for r in rows], steps)
 
 
 def train(label: np.ndarray, texts: list[str], steps: int = 1000) -> BiGru:
-    """The network for labelled texts, on one thread. A text is its words with blanks between them; if it has lines, these are its windows."""
+    """The network for labelled texts, words with blanks between them, on one thread."""
     seen: dict[str, int] = {}
     for t in texts:
         for w in set(t.split()):
@@ -190,13 +187,13 @@ def train(label: np.ndarray, texts: list[str], steps: int = 1000) -> BiGru:
     number = {w: i for i, w in enumerate(vocab)}
     grids, sizes = [], []
     for t in texts:
-        lines = [np.array([number[w] for w in x.split()], np.int32) for x in t.split("\n")]
-        spans = [(x, a, b) for x in lines for a, b in (windows(len(x)) if len(lines) == 1 else [(0, len(x))])]
+        x = np.array([number[w] for w in t.split()], np.int32)
+        spans = windows(len(x))
         g = np.zeros((len(spans), WINDOW), np.int32)
-        for k, (x, a, b) in enumerate(spans):
+        for k, (a, b) in enumerate(spans):
             g[k, : b - a] = x[a:b]
         grids.append(g)
-        sizes.append([b - a for _, a, b in spans])
+        sizes.append([b - a for a, b in spans])
     count = np.array([len(g) for g in grids])
     first = np.cumsum(count) - count
     total, grid = int(count.sum()), np.concatenate(grids)

@@ -164,6 +164,14 @@ def test_keep_one_keeps_unlike_rows_of_an_id(spark):
     assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [(1, text, "a", 3), rows[1], rows[4], rows[6], rows[7], rows[8]]))
 
 
+def test_keep_one_where_names_collide(spark, monkeypatch):
+    """Rows whose first hashes are equal are told apart by the second."""
+    monkeypatch.setattr(jaccard, "_node", lambda ident, text: ident % 3)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(12)] + [(20, " ".join(f"w1x{j}" for j in range(12))), (5, " ".join(f"w5x{j}" for j in range(12))), (30, None)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(12), 30]
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(6)
     base = np.unique(rng.integers(0, 1 << 63, 80).astype(np.uint64))
