@@ -1,15 +1,18 @@
 """Feature queries: filters, projection, paging, lookup and changes."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from quillon.sources.scratch import materialise
+
 DEFAULT_LIMIT, MAX_LIMIT = 20, 50
 
 
@@ -29,6 +32,58 @@ def bbox_filter(df: DataFrame, bbox: Sequence[float], envelope: tuple[str, str,
     return df.where(across & (y1 >= miny) & (y0 <= maxy))
 
 
+def cell(depth: int, lon: str = "lon", lat: str = "lat") -> Column:
+    """Number of a point's cell along a Z-order curve over the globe: ``2**depth`` cells to a side. Null where a coordinate is."""
+    side = 1 << depth
+    place = lambda name, low, width: F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor((F.col(name) - low) * (side / width)))).cast("long")
+    bits = [F.shiftleft(F.shiftright(place(name, low, width), b).bitwiseAND(1), 2 * b + up) for b in range(depth) for up, (name, low, width) in enumerate(((lon, -180, 360), (lat, -90, 180)))]
+    whole = functools.reduce(Column.bitwiseOR, bits) if bits else F.lit(0).cast("long")
+    return F.when(F.col(lon).isNotNull() & F.col(lat).isNotNull(), whole)
+
+
+def cell_ranges(bbox: Sequence[float], depth: int) -> list[tuple[int, int]]:
+    """First and last numbers of the runs of cells that a box touches, in order. A run is a part of the curve, so few describe any box."""
+    minx, miny, maxx, maxy = map(float, bbox)
+    boxes = [(minx, maxx)] if minx <= maxx else [(minx, 180.0), (-180.0, maxx)]
+    found: list[tuple[int, int]] = []
+    todo = [(0, 0, -180.0, -90.0)]
+    while todo:
+        level, number, west, south = todo.pop()
+        width, height = 360 / (1 << level), 180 / (1 << level)
+        # edges count, and points beyond the globe are in its outermost cells
+        east, north = (x if x < most else float("inf") for x, most in ((west + width, 180), (south + height, 90)))
+        west_, south_ = (x if x > least else float("-inf") for x, least in ((west, -180), (south, -90)))
+        meet = [(a, b) for a, b in boxes if a <= east and b >= west_ and miny <= north and maxy >= south_]
+        if not meet:
+            continue
+        inside = any(a <= west_ and b >= east for a, b in meet) and miny <= south_ and maxy >= north
+        if level == depth or inside:
+            shift = 2 * (depth - level)
+            first, last = number << shift, ((number + 1) << shift) - 1
+            if found and found[-1][1] == first - 1:
+                found[-1] = (found[-1][0], last)
+            else:
+                found.append((first, last))
+            continue
+        half = [(level + 1, 4 * number + k, west + width / 2 * (k & 1), south + height / 2 * (k >> 1)) for k in range(4)]
+        todo.extend(reversed(half))
+    return found
+
+
+def write_clustered(df: DataFrame, path: str, depth: int = 3) -> None:
+    """Point features as Parquet in the order of the curve, in a folder for each of its ``4**depth`` cells. A cell with very many is several files, cut along the curve."""
+    keyed = df.withColumns({"cell": cell(depth), "_key": cell(16)})
+    order = ("cell", "_key")
+    keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_key").write.partitionBy("cell").parquet(path)
+
+
+def bbox_of_clustered(df: DataFrame, bbox: Sequence[float], depth: int = 3) -> DataFrame:
+    """``bbox_filter`` over what ``write_clustered`` wrote: only files of cells that the box touches are read."""
+    exact = bbox_filter(df, bbox)
+    touched = [F.col("cell").between(a, b) for a, b in cell_ranges(bbox, depth)]
+    return exact.where(functools.reduce(Column.__or__, touched)).drop("cell") if touched else exact.limit(0).drop("cell")
+
+
 def _instant(text: str) -> datetime:
     try:
         out = datetime.fromisoformat(text.strip().replace("Z", "+00:00"))
@@ -84,12 +139,42 @@ def predicate(df: DataFrame, text: str, queryables: Sequence[str]) -> DataFrame:
 
 
 def page(df: DataFrame, limit: int | None = None, offset: int = 0, id_field: str = "id") -> DataFrame:
-    """One page by id: 20 rows by default, 50 at most. A top-k, not a sort of everything; it holds offset and limit rows, so for a deep page
-    filter by the last id of the page before instead."""
+    """One page by id: 20 rows by default, 50 at most. A top-k, not a sort of everything; it holds offset and limit rows, so for deep pages there is ``PageIndex``."""
+    return df.orderBy(id_field).offset(offset).limit(_size(limit, offset))
+
+
+def _size(limit: int | None, offset: int) -> int:
     size = DEFAULT_LIMIT if limit is None else limit
     if size < 1 or offset < 0:
         raise ValueError("limit is at least 1, offset at least 0")
-    return df.orderBy(id_field).offset(offset).limit(min(size, MAX_LIMIT))
+    return min(size, MAX_LIMIT)
+
+
+class PageIndex:
+    """Pages of ``df`` at any depth. ``ranges (low, high, before, n)`` are ranges of ids in order, with the rows before each; equal ids are in one range, and rows without an id come first.
+
+    Ids alone are dealt out once, and counted. A page then reads the few ranges that it touches: its filter on the id reaches the scan, and a task holds no more rows than
+    a range has and the page.
+    """
+
+    def __init__(self, df: DataFrame, id_field: str = "id", ranges: int | None = None):
+        self.df, self.id_field = df, id_field
+        ids = df.select(F.col(id_field).alias("id"))
+        dealt = ids.repartitionByRange(ranges, "id") if ranges else ids.repartitionByRange("id")
+        counts = dealt.groupBy(F.spark_partition_id().alias("at")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count("id")).alias("nulls"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+        self.ranges = materialise(materialise(counts, "counts").withColumn("before", before), "ranges")
+
+    def page(self, limit: int | None = None, offset: int = 0) -> DataFrame:
+        """The page of ``page``, with any offset."""
+        size = _size(limit, offset)
+        of = self.ranges.where((F.col("before") < offset + size) & (F.col("before") + F.col("n") > offset))
+        first = of.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("before").alias("before"), F.sum("nulls").alias("nulls")).first()
+        if first.before is None:
+            return self.df.limit(0)
+        ident = F.col(self.id_field)
+        within = ident.between(first.low, first.high) if first.high is not None else F.lit(False)
+        return self.df.where(within | ident.isNull() if first.nulls else within).orderBy(self.id_field).offset(offset - first.before).limit(size)
 
 
 def number_matched(df: DataFrame) -> DataFrame:

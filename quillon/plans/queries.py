@@ -54,6 +54,14 @@ def f1_bbox(spark, d):
     return f.bbox_filter(view(spark, d, "features"), BOX).select("id", "collection", "value", "lon", "lat")
 
 
+@query(f"SELECT id, collection, value, lon, lat FROM {{features}} WHERE {IN_BOX}")
+def f1_bbox_of_clustered(spark, d):
+    """The same box over features that were written along a curve: only files of touched cells are read."""
+    path = shared_path(spark, "clustered")
+    f.write_clustered(view(spark, d, "features"), path)
+    return f.bbox_of_clustered(spark.read.parquet(path), BOX).select("id", "collection", "value", "lon", "lat")
+
+
 @query("SELECT id, lon FROM {features} WHERE (lon >= 150 OR lon <= -150) AND lat BETWEEN -30 AND 30")
 def f1_bbox_antimeridian(spark, d):
     return f.bbox_filter(view(spark, d, "features"), (150, -30, -150, 30)).select("id", "lon")
@@ -100,6 +108,12 @@ def f7_page(spark, d):
     return f.page(f.bbox_filter(view(spark, d, "features"), BOX), limit=1000, offset=20).select("id", "collection")
 
 
+@query("SELECT id, collection FROM {features} ORDER BY id LIMIT 50 OFFSET (SELECT count(*) * 9 // 10 FROM events)")
+def f7_deep_page(spark, d):
+    df = view(spark, d, "features")
+    return f.PageIndex(df, ranges=16).page(50, df.count() * 9 // 10).select("id", "collection")
+
+
 @query(f"SELECT count(*) AS number_matched FROM {{features}} WHERE {IN_BOX} AND {IN_WEEK}")
 def f8_number_matched(spark, d):
     return f.number_matched(f.ItemsQuery(bbox=BOX, datetime=WEEK).matching(view(spark, d, "features")))
@@ -144,6 +158,16 @@ def s2_geojson_source(spark, d):
     return readers.geojson_features(spark, path, "value double").select("id", "value", "minx", "miny", "maxx", "maxy")
 
 
+@query("SELECT id, value, lon AS minx, lat AS miny, lon AS maxx, lat AS maxy FROM {features}")
+def s2_split_collection(spark, d):
+    """All features as one FeatureCollection on one line, read in splits."""
+    path = shared_path(spark, "collection")
+    lines = sinks.geojson(view(spark, d, "features"), ["value"]).coalesce(1)
+    parts = lines.select(F.concat(F.when(F.monotonically_increasing_id() == 0, '{"type":"FeatureCollection","features":[').otherwise(","), "value").alias("value"))
+    parts.union(spark.range(1).select(F.lit("]}"))).coalesce(1).write.text(path, lineSep=" ")
+    return readers.geojson_features(spark, path, "value double", split=True).select("id", "value", "minx", "miny", "maxx", "maxy")
+
+
 @query("SELECT id, value, concat('feature ', CAST(id AS VARCHAR)) AS title, lon AS minx, lat AS miny, lon + 1 AS maxx, lat + 2 AS maxy FROM {features}")
 def s2_feature_collections(spark, d):
     """FeatureCollections, one a line, of line strings with altitude; title from a named field."""

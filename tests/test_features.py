@@ -1,7 +1,11 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import features as f
+from quillon.sources import readers
 
 #: Five observations that the expected results are stated for.
 OBS = [(371, 35, "2001-10-30T14:24:55Z", 89.9, 45.0, -75.0), (377, 35, "2002-10-30T18:31:38Z", 93.9, 45.0, -75.0), (238, 2147, "2007-10-30T08:57:29Z", 103.5, 43.0, -79.0),
@@ -59,3 +63,61 @@ def test_replace_and_delete(obs):
     out = f.replace(obs, changed)
     assert ids(out) == [1, 238, 297, 371, 377, 964] and out.where("id = 371").first().value == 1.0
     assert ids(f.delete(out, changed)) == [238, 297, 377, 964]
+
+
+def _scanned(df):
+    """Files that the scan of an executed plan read."""
+    df._jdf.collectToPython()
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.collectLeaves().apply(0).metrics().apply("numFiles").value()
+
+
+def test_boxes_over_a_clustered_table(spark, tmp_path):
+    random.seed(4)
+    rows = [(i, random.uniform(-180, 180), random.uniform(-90, 90)) for i in range(3000)] + [(5000, 180.0, 90.0), (5001, -180.0, -90.0), (5002, 0.0, 0.0), (5003, 45.0, 22.5), (5004, None, 1.0), (5005, 200.0, -95.0)]
+    df = spark.createDataFrame(rows, "id long, lon double, lat double")
+    path = str(tmp_path / "clustered")
+    f.write_clustered(df, path)
+    table = spark.read.parquet(path)
+    every = _scanned(table)
+    assert every >= 60
+    for box in ((-90, -45, 90, 45), (10, 10, 12, 12), (45, 22.5, 45, 22.5), (170, -10, -170, 10), (-180, -90, 180, 90), (175, -100, 210, -80), (0, 0, 0, 0)):
+        found = f.bbox_of_clustered(table, box)
+        assert found.columns == df.columns and sorted(r.id for r in found.collect()) == sorted(r.id for r in f.bbox_filter(df, box).collect())
+    assert _scanned(f.bbox_of_clustered(table, (10, 10, 12, 12))) <= 2 and _scanned(f.bbox_of_clustered(table, (-90, -45, 0, 0))) < 0.3 * every
+    assert f.cell_ranges((-180, -90, 180, 90), 5) == [(0, 1023)]
+
+
+def test_pages_of_any_depth(spark):
+    rows = [(i * 7 % 2003,) for i in range(2003)] + [(5,)] * 300 + [(None,)] * 30
+    df = spark.createDataFrame(rows, "id long").repartition(3)
+    ordered = sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
+    index = f.PageIndex(df, ranges=12)
+    ranges = index.ranges.orderBy("before").collect()
+    assert 4 < len(ranges) and sum(r.n for r in ranges) == len(rows)
+    for limit, offset in ((None, 0), (50, 20), (5, 28), (50, 320), (50, 2000), (50, 2310), (10, 5000)):
+        assert [r.id for r in index.page(limit, offset).collect()] == ordered[offset: offset + (limit or 20)]
+    deep = index.page(50, 2000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(id" in deep and "Offset 2000" not in deep
+    assert f.PageIndex(df.limit(0)).page(5, 0).collect() == []
+
+
+def test_one_collection_is_read_in_splits(spark, tmp_path):
+    random.seed(6)
+    text = ['a}b', '{"', "\\", '"features":[{', "}}", "plain", "é{", "line\nend", "\\\""]
+    features = [{"type": "Feature", "id": i, "properties": {"name": random.choice(text) + str(i), "features": [{"x": {"y": i}}]} if i % 3 else {"name": random.choice(text)},
+                 "geometry": {"type": "Point", "coordinates": [i / 10, -i / 10, 5]} if i % 5 else None} for i in range(1500)]
+    head = {"type": "FeatureCollection", "name": 'with "quotes" and {braces}', "crs": {"type": "name", "properties": {"name": "urn"}}}
+    spaced = json.dumps(head | {"features": features, "links": [{"rel": "self"}]}, indent=1)
+    flat = json.dumps({"type": "FeatureCollection", "features": features[:40]}, separators=(",", ":"))
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "one.json").write_text(spaced)
+    (tmp_path / "big" / "two.json").write_text(flat)
+    read = lambda **how: sorted(map(str, readers.geojson_features(spark, str(tmp_path / "big"), "name string", **how).drop("geometry").collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        assert spark.read.text(str(tmp_path / "big" / "one.json"), lineSep="}").rdd.getNumPartitions() > 5
+        found = read(split=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found) == 1540 and found == read(collection=True)
