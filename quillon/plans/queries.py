@@ -18,6 +18,7 @@ from quillon.plans.views import APP, duck, view
 from quillon.sources import readers, sinks
 from quillon.sources.scratch import shared_path
 from quillon.streaming import streams
+from quillon.streaming.live import Live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -374,6 +375,30 @@ def c8_changes(spark, d):
     return c.changes(snap("resource_id % 10 <> 0"), snap("resource_id % 7 <> 0"))
 
 
+def _live(spark, d):
+    """All resources come, then those of every third number go, in two batches."""
+    path = shared_path(spark, "resource-changes")
+    every = view(spark, d, "registry").select("service_id", "resource_id", "type", F.array("provider_type").alias("provider_types"))
+    every.withColumn("op", F.lit("insert")).coalesce(1).write.mode("append").parquet(path)
+    every.where("resource_id % 3 = 0 OR service_id = 7").withColumn("op", F.lit("delete")).coalesce(1).write.mode("append").parquet(path)
+    live = Live(every, _classes(spark), _base(spark), {"feature": "feature", "record": "record"})
+    live.run(streams.read_parquet_stream(every.withColumn("op", F.lit("")), path, 1))
+    return live
+
+
+_LEFT = "(SELECT * FROM {registry} WHERE resource_id % 3 <> 0 AND service_id <> 7) AS registry"
+
+
+@query(f"SELECT service_id, array_to_string(list_sort(list(cls)), ' ') AS conforms_to FROM ({_PAIRS_SQL.replace('{registry}', _LEFT)}) GROUP BY service_id")
+def c5_live_roll_up(spark, d):
+    return _live(spark, d).roll_up().select("service_id", F.array_join("conforms_to", " ").alias("conforms_to"))
+
+
+@query(f"WITH a AS ({_PAIRS_SQL}), b AS ({_PAIRS_SQL.replace('{registry}', _LEFT)}) SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
+def c8_live_changes(spark, d):
+    return _live(spark, d).changes(0, 1)
+
+
 # ---------------------------------------------------------------- document graph
 
 @query("SELECT p_partkey, CAST(2 AS BIGINT) AS n_external, TRUE AS has_external FROM part")
