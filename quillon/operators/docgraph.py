@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from quillon.operators.reachability import components
 from quillon.sources.scratch import materialise
 
-REFS = T.ArrayType(T.StructType([T.StructField("ref", T.StringType()), T.StructField("sole_key", T.BooleanType())]))
 DAY = 86400
 #: What the parser raises for text that is not JSON, or is nested deeper than it goes.
 NOT_JSON = (TypeError, ValueError, RecursionError)
@@ -34,19 +33,19 @@ def walk(value) -> list[tuple[str, bool]]:
     return found
 
 
-def refs(body: str) -> Column:
-    """References of a JSON document as ``array<struct<ref, sole_key>>``; null for text that is not JSON."""
-    @F.pandas_udf(REFS)
-    def read(bodies: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                return [{"ref": r, "sole_key": s} for r, s in walk(json.loads(text))]
-            except NOT_JSON:
-                return None
+#: A ``$ref`` with a text, and the braces next to it. Within a JSON string every quote has a backslash before it, so nothing in strings looks like this.
+_REF = r'(?:\{\s*)?(?<!\\)"\$ref"\s*:\s*"(?:[^"\\]++|\\.)*+"(?:\s*\})?'
 
-        return bodies.map(one)
 
-    return read(body)
+def refs(body: str) -> Column:
+    """References of a JSON document as ``array<struct<ref, sole_key>>``, in the order of the text; null for text that is not JSON, or that is larger or nested deeper than
+    ``try_parse_json`` takes. Found in the text itself, by Spark's functions alone."""
+    found = F.regexp_extract_all(F.col(body), F.lit(_REF), F.lit(0))
+    values = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r'^(?:\{\s*)?"\$ref"\s*:\s*', ""), r"\s*\}$", ""))
+    texts = F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>")
+    sole = F.transform(found, lambda x: F.startswith(x, F.lit("{")) & F.endswith(x, F.lit("}")))
+    pairs = F.zip_with(texts, sole, lambda t, s: F.struct(t.alias("ref"), s.alias("sole_key")))
+    return F.when(F.try_parse_json(F.col(body)).isNotNull(), pairs)
 
 
 def external(found: str = "refs") -> Column:

@@ -18,6 +18,27 @@ def test_references(spark):
     assert [r.refs for r in rows[1:]] == [None, None, []]
 
 
+def test_references_of_hard_texts(spark):
+    """As a walk over the parsed document gives them; no Python worker."""
+    texts = ["$ref", '"$ref":"x"', '{"$ref":"y"}', 'a"$ref', "\\", "é\n", "}", "#/l", "http://h/a#/b"]
+    random.seed(3)
+
+    def some(depth):
+        kind = random.random()
+        if depth == 0 or kind < 0.3:
+            return random.choice([*texts, 5, None, True, 1.5, {}, []])
+        if kind < 0.6:
+            return {"$ref": random.choice([*texts, 7])} | ({random.choice(["k", 'a"$ref', "$ref "]): random.choice(texts)} if random.random() < 0.4 else {})
+        return [some(depth - 1) for _ in range(3)] if kind < 0.8 else {random.choice(["a", "b", "\\", 'q"']) + str(i): some(depth - 1) for i in range(3)}
+
+    docs = [some(4) for _ in range(300)]
+    bodies = [json.dumps(d, indent=random.choice([None, 1]), ensure_ascii=i % 2 == 0) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i long, body string").withColumn("refs", g.refs("body"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    found = {r.i: [(x.ref, x.sole_key) for x in r.refs] for r in df.collect()}
+    assert all(sorted(found[i]) == sorted(g.walk(d)) for i, d in enumerate(docs)) and sum(map(len, found.values())) > 200
+
+
 def test_pointer_and_resolution(spark):
     df = spark.createDataFrame([('{"a":{"b":[1]}}', w) for w in ("", "/", "/a/b", "/a//b", "/a/b/0", "/x")] + [("x", "/a")], "body string, w string")
     out = [(r.x.value, r.x.error) for r in df.select(g.pointer("body", "w").alias("x")).collect()]
