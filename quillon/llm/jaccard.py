@@ -19,13 +19,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import connected_components, fresh, only_ids, released, save, slices, small
 
 #: Words whose hashes a worker remembers; keys that are combined, and shingles that are counted, before they leave a task.
-CACHE_WORDS, COMBINE_KEYS, COUNT_HASHES = 300_000, 1_000_000, 2_500_000
+CACHE_WORDS, COMBINE_KEYS, COUNT_HASHES = 200_000, 700_000, 2_000_000
+#: Rows of a batch that goes from a task's Python to Spark.
+SKETCH_ROWS = 50_000
 #: Documents of a key up to which their pairs are counted.
 MANY = 32
 #: Shingles that are ordered by their frequency at most, and the least count that makes one frequent.
@@ -172,10 +174,12 @@ def _sketch(k: int, num: int, den: int, frequent):
         keys, owners, sizes, total = [], [], [], 0
         seen: dict[bytes, int] = {}
 
-        def batch_of(kind, a, b, n=None, other=None, found=None):
+        def batches_of(kind, a, b, n=None, other=None, found=None):
             none = np.zeros(len(a), np.int32)
             n, other, found = (none if n is None else n), (none if other is None else other), (none > 0 if found is None else found)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(other, pa.int32()), pa.array(found, pa.bool_())], names)
+            for i in range(0, max(1, len(a)), SKETCH_ROWS):  # in small batches, which need little memory on both sides
+                x = slice(i, i + SKETCH_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[x]), kind, np.int8)), pa.array(a[x], pa.int64()), pa.array(b[x], pa.int64()), pa.array(n[x], pa.int32()), pa.array(other[x], pa.int32()), pa.array(found[x], pa.bool_())], names)
 
         def combined():
             count = np.fromiter(map(len, keys), np.int64, len(keys))
@@ -187,15 +191,15 @@ def _sketch(k: int, num: int, den: int, frequent):
             of_key = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
             many = np.bincount(of_key)[of_key] > MANY
             hot = np.bincount(owner[many], minlength=len(ids)).astype(np.int32)
-            yield batch_of(KEY, key[~many].view(np.int64), ids[owner[~many]], size[owner[~many]], hot[owner[~many]], found[~many])
+            yield from batches_of(KEY, key[~many].view(np.int64), ids[owner[~many]], size[owner[~many]], hot[owner[~many]], found[~many])
             key, owner, found = key[many], owner[many], found[many]
             kind = size_class(size, num, den)[owner]
             first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))[:len(key)])
             head = np.repeat(first, np.diff(np.append(first, len(key))))
             lone = ~found[head] | (head == np.arange(len(key)))  # no row of the class is found by the key, or this is the first
-            yield batch_of(HOT, key[lone].view(np.int64), ids[owner[lone]], size[owner[lone]], None, found[lone])
+            yield from batches_of(HOT, key[lone].view(np.int64), ids[owner[lone]], size[owner[lone]], None, found[lone])
             pairs = np.unique(np.stack([owner[head[~lone]], owner[~lone]], axis=1), axis=0)
-            yield batch_of(MET, ids[pairs[:, 0]], ids[pairs[:, 1]])
+            yield from batches_of(MET, ids[pairs[:, 0]], ids[pairs[:, 1]])
 
         for batch in batches:
             ids, every, same = batch.column(0).to_pylist(), [], []
@@ -215,8 +219,8 @@ def _sketch(k: int, num: int, den: int, frequent):
                 if total > COMBINE_KEYS:
                     yield from combined()
                     keys, owners, sizes, total, seen = [], [], [], 0, {}
-            yield batch_of(SIZE, ids, every)
-            yield batch_of(EQUAL, [x for x, _ in same], [x for _, x in same])
+            yield from batches_of(SIZE, ids, every)
+            yield from batches_of(EQUAL, [x for x, _ in same], [x for _, x in same])
         if keys:
             yield from combined()
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import documents, released, slices
 
 #: Distinct chunks, and ids of them, that a worker remembers from one step to the next; bytes of text that one step takes, but for a longer text.
-CACHE_CHUNKS, CACHE_IDS, STEP_BYTES = 300_000, 3_000_000, 3_000_000
+CACHE_CHUNKS, CACHE_IDS, STEP_BYTES = 150_000, 1_500_000, 2_000_000
 #: Chunks that are encoded together; a letter and a mark, which the tokenizer always parts.
 JOIN, MARKS = 200, r'([a-zA-Z])([.,;:!?)"])'
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
