@@ -300,3 +300,19 @@ def test_policy_of_many_open_rules(spark):
     every = one.withColumn("depth", F.lit(None).cast("int"))
     assert all(r.allowed and r.status == 200 for r in a.policy(spark.createDataFrame(asked, "method string, path string, company string"), every).collect())
     assert not any(r.allowed for r in a.policy(spark.createDataFrame(asked, "method string, path string, company string"), one.limit(0)).collect())
+
+
+def test_inline_takes_documents_once(spark, monkeypatch):
+    """Many documents that refer to a chain of fragments: what the rounds write depends on the fragments alone."""
+    rows, write = {}, g.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(g, "materialise", counted)
+    docs = {f"http://h/f{i}": {"p": {"$ref": f"f{i + 1}#/p"}} for i in range(3)} | {"http://h/f3": {"p": 5}} | {f"http://h/d{i}": {"a": {"$ref": "f1#/p"}, "b": [{"$ref": "f2#/p"}]} for i in range(200)}
+    out = {r.url: json.loads(r.resolved) for r in g.inline(spark.createDataFrame([(u, json.dumps(b)) for u, b in docs.items()], "url string, body string")).collect()}
+    assert len(out) == 204 and all(out[f"http://h/d{i}"] == {"a": 5, "b": [5]} for i in range(200)) and out["http://h/f0"] == {"p": 5}
+    assert rows.pop("inline") == 204 and max(rows.values()) < 10
