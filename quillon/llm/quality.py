@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import documents, released, set_aside, slices
+from quillon.llm.common import documents, given_back, released, set_aside, slices
 from quillon.llm.labelled import sample
 
 #: Hash buckets of words and of shapes; the last bucket of all counts words equal to the one before.
@@ -57,6 +58,7 @@ def _counted(text: str) -> tuple[dict[int, int], int]:
     return counts, len(chunks)
 
 
+@given_back
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows: int = 6000, where=None, steps: int = 200, rate: float = 0.3, decay: float = 1e-4) -> OrdinalModel:
     """Fits on at most ``max_rows`` labelled rows (the documented bound); their features are counted by Spark, and only those
     counts reach the driver. Without labelled rows, or with one grade only, every document gets that grade."""
@@ -75,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows: i
     weights = np.zeros(REPEAT + 1)
     if len(grades) < 2:
         return OrdinalModel(weights, np.zeros(0), grades)
-    doc = np.repeat(np.arange(len(grade)), [len(x) for x in rows["ids"].to_pylist()])
+    doc = np.repeat(np.arange(len(grade)), pc.list_value_length(rows["ids"].combine_chunks()).to_numpy())
     ids = rows["ids"].combine_chunks().flatten().to_numpy()
     share = rows["shares"].combine_chunks().flatten().to_numpy().astype(float) * SCALE
     above = grade[:, None] > np.array(grades[:-1])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import documents, released, set_aside, slices
+from quillon.llm.common import documents, give_back, given_back, released, set_aside, slices
 from quillon.llm.labelled import sample
 
 #: Words of a window and from one window to the next; sizes of word vectors and of each direction's state.
@@ -147,6 +147,7 @@ class BiGru:
         return g, d_gates
 
 
+@given_back
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int = 3000, steps: int = 1000, where=None, max_bytes: int = 24_000_000) -> BiGru:
     """Trains on at most ``max_rows`` labelled rows and ``max_bytes`` of text, half of each label where there are enough, of any length: rows come in the order of a hash of their ids, and the first
     that would go beyond the bound ends the sample. A text is held whole.
@@ -168,6 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int
     chosen = sample(docs, labels, column, max_rows, where).select("text", "label", rank.alias("rank")).withColumn("upto", upto).where(F.col("upto") <= max_bytes)
     got = chosen.select("text", "label").mapInArrow(released(cut), "label int, words string").toArrow()
     rows = sorted(zip(got["label"].to_pylist(), got["words"].to_pylist()))
+    del got
+    give_back()
     return train(np.array([r[0] for r in rows], np.float32), [r[1] for r in rows], steps)
 
 
@@ -197,6 +200,7 @@ def train(label: np.ndarray, texts: list[str], steps: int = 1000) -> BiGru:
     count = np.array([len(g) for g in grids])
     first = np.cumsum(count) - count
     total, grid = int(count.sum()), np.concatenate(grids)
+    del grids
     mask = (np.arange(WINDOW) < np.concatenate(sizes)[:, None]).astype(np.float32)
     rng = np.random.default_rng(3)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}

@@ -276,3 +276,25 @@ def test_dedup_keeps_columns(spark):
     out = {r.doc_id: r for r in suffix.dedup(df, 40).collect()}
     assert [out[i].text for i in (1, 2, 3)] == ["xy", "q", "alone"] and out[1].n_chars == 2
     assert suffix.dedup(df.limit(0), 40).count() == 0
+
+
+def test_rounds_of_components_join_once(spark):
+    """A round's two joins are not planned and broadcast anew for each use of their result."""
+    from quillon.llm.common import _closer
+
+    links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8)], "u long, v long")
+    out = _closer(links, F.broadcast)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3 and plan.count("Union") == 0  # the first stands on both sides of the second, as one shuffle
+    assert {tuple(r) for r in out.collect()} == {(5, 3), (4, 2), (3, 2), (9, 8)}
+
+
+def test_fits_give_memory_back(spark, sf_dir, monkeypatch):
+    """The driver holds nothing of a sample once a model is fitted."""
+    from quillon.llm import common, quality, toxicity
+
+    docs, labels, calls = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    toxicity.fit(docs, labels, steps=1, max_rows=20)
+    quality.fit(docs, labels, steps=1, max_rows=20)
+    assert len(calls) == 2
