@@ -21,6 +21,7 @@ SEPARATOR = r"[^\p{L}\p{N}]+"
 #: Subsets of each size, and the sizes as shares of the lexicon. A mask of 64 bits holds 62 subsets at most.
 SUBSETS_EACH, ONE_IN = 15, (8, 32, 128, 512)
 SUBSETS = SUBSETS_EACH * len(ONE_IN)
+HALF = SUBSETS // 2
 #: The lexicon is broadcast up to so many terms (about 60 bytes each), and joined by shuffle beyond.
 BROADCAST_TERMS = 400_000
 #: Documents with neighbouring ids that are ordered together at most, unless more than that share 1024 ids. Ranges of ids are powers of two: of 1024 ids, or
@@ -32,16 +33,21 @@ FEW, FEW_ONE_IN = 3, 5
 
 def terms(text: str) -> str:
     """SQL of a text's distinct terms."""
-    return rf"filter(array_distinct(split(lower({text}), '{SEPARATOR.replace(chr(92), chr(92) * 2)}')), t -> t <> '')"
+    return rf"array_remove(array_distinct(split(lower({text}), '{SEPARATOR.replace(chr(92), chr(92) * 2)}')), '')"
 
 
-def subsets(term: str) -> str:
-    """SQL of a term's mask: bit i is set if subset i holds the term. Each 64-bit hash is cut into as many subsets as it has bits for."""
+def place(subset: int) -> int:
+    """Bit of a subset in the masks that ``fingerprints`` works with. Subsets half their count apart are 32 bits apart, so that one 64-bit number has both their numbers."""
+    return subset if subset < HALF else subset - HALF + 32
+
+
+def subsets(term: str, bit=int) -> str:
+    """SQL of a term's mask: bit ``bit(i)`` is set if subset i holds the term. Each 64-bit hash is cut into as many subsets as it has bits for."""
     bits, n, at = [], 0, 64
     for i in range(SUBSETS):
         width = ONE_IN[i // SUBSETS_EACH].bit_length() - 1
         n, at = (n, at) if at + width <= 64 else (n + 1, 0)
-        bits.append(f"if((shiftrightunsigned(xxhash64({term}, {n}), {at}) & {(1 << width) - 1}) = 0, {1 << i}L, 0L)")
+        bits.append(f"if((shiftrightunsigned(xxhash64({term}, {n}), {at}) & {(1 << width) - 1}) = 0, {1 << bit(i)}L, 0L)")
         at += width
     return " | ".join(bits)
 
@@ -63,16 +69,24 @@ def fingerprints(df: DataFrame, key: list[str], text: str, words: DataFrame) ->
     set first, then that of each subset, null where a subset has none of them. The set is that of the band terms for
     ``prints``, which is null for rows with few of them, and that of all distinct terms for ``every``. Keys are unique.
 
-    A number is the exclusive or of its terms' hashes, so terms are neither gathered nor sorted. If ``df`` is partitioned by
+    ``words`` has a column ``term``. A number is the exclusive or of its terms' hashes, so terms are neither gathered nor sorted. If ``df`` is partitioned by
     some of the keys, nothing but the lexicon moves.
     """
-    found = df.select(*key, F.explode(F.expr(terms(f"`{text}`"))).alias("term")).join(words.select("term", F.col("mask").alias("band")), "term", "left")
-    found = found.select(*key, F.xxhash64("term").alias("h"), F.expr(subsets("term")).alias("mask"), "band")
-    number = lambda i, mask: F.expr(f"bit_xor(if(({mask} & {1 << i}L) <> 0, h, null))")
+    found = df.select(*key, F.explode(F.expr(terms(f"`{text}`"))).alias("term")).join(words.select("term", F.lit(-1).cast("long").alias("band")), "term", "left")
+    found = found.select(*key, F.expr("xxhash64(term) & 4294967295").alias("h"), F.expr(subsets("term", place)).alias("mask"), F.coalesce("band", F.lit(0).cast("long")).alias("band"))
+    # each half of h2 has the term's hash, and of a pair of subsets those halves stay whose subset holds the term: no branches, no nulls, half as many sums
+    found = found.withColumn("h2", F.expr("h | shiftleft(h, 32)")).select("*", F.expr("h2 & band").alias("b2"))
+    pair = lambda i: f"(shiftrightunsigned(mask, {i}) & 4294967297L)"
+    number = lambda h, i: F.expr(f"bit_xor({h} & (shiftleft({pair(i)}, 32) - {pair(i)}))")
     sets = found.groupBy(*key).agg(
-        F.count("band").alias("n_band"), F.count("h").alias("n_terms"), F.expr("bit_xor(if(band is null, null, h))").alias("b"), F.expr("bit_xor(h)").alias("e"),
-        *[number(i, "band").alias(f"b{i}") for i in range(SUBSETS)], *[number(i, "mask").alias(f"e{i}") for i in range(SUBSETS)])
-    whole = lambda c: f"array({', '.join(f'cast(({x} & 4294967295) - 2147483648 as int)' for x in [c, *[f'{c}{i}' for i in range(SUBSETS)]])})"
+        F.sum(-F.col("band")).alias("n_band"), F.count(F.lit(1)).alias("n_terms"), F.expr("bit_xor(b2)").alias("b"), F.expr("bit_xor(h2)").alias("e"), F.expr("bit_or(mask & band)").alias("b_held"), F.expr("bit_or(mask)").alias("e_held"),
+        *[number(h, i).alias(f"{c}{i}") for c, h in (("b", "b2"), ("e", "h2")) for i in range(HALF)])
+
+    def whole(c: str) -> str:
+        low = lambda x: f"cast(({x} & 4294967295L) - 2147483648L as int)"
+        halves = [f"{c}{i}" if i < HALF else f"shiftrightunsigned({c}{i - HALF}, 32)" for i in range(SUBSETS)]
+        return f"array({', '.join([low(c), *[f'if(({c}_held & {1 << place(i)}L) = 0, null, {low(x)})' for i, x in enumerate(halves)]])})"
+
     return sets.select(*key, F.expr(f"if(n_band < {FEW} or n_band * {FEW_ONE_IN} < n_terms, null, {whole('b')})").alias("prints"), F.expr(whole("e")).alias("every"))
 
 
@@ -150,7 +164,7 @@ def edited_fingerprints(docs: DataFrame, min_idf: float = math.log(50), max_idf:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # part 1 has the ids as keys; without doc_id beside them, both uses of the shuffled texts below are one
     rows = rows.select(F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("part"), F.coalesce("doc_id", -begin).alias("key"), "text")
-    words = save(lexicon(rows, "text", min_idf, max_idf), "lexicon")
+    words = save(lexicon(rows, "text", min_idf, max_idf).select("term"), "lexicon")
     if words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
     rows = _ranges(rows)

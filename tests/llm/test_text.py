@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import bpe, imatch, packing
 from quillon.llm.queries import QUERIES
@@ -202,3 +203,25 @@ def test_near_copies_agree_in_groups_of_any_size(spark, n, group):
     outside = [rows[i].near_next for i in range(group + 1, n)]
     assert sum(inside) / len(inside) > 0.4 and min(inside) > 0.1
     assert sum(outside) / len(outside) < 0.1
+
+
+def test_fingerprints_sum_in_pairs(spark):
+    """A sum for two subsets at once gives what a sum for each gives, and there are half as many."""
+    df = spark.createDataFrame([(i, f"Common w{i % 7} v{i % 5} x{i % 3} rare{i} " + " ".join(f"t{i * j}" for j in range(40))) for i in range(60)] + [(99, " ., "), (98, "alone")], "doc_id long, text string")
+    words = imatch.lexicon(df, min_idf=0.5, max_idf=3.0).localCheckpoint()
+    out = imatch.fingerprints(df, ["doc_id"], "text", words)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("bit_xor(") <= imatch.SUBSETS + 2
+    rows = df.select("doc_id", F.explode(F.expr(imatch.terms("text"))).alias("term")).join(words.select("term", F.lit(True).alias("band")), "term", "left")
+    rows = rows.select("doc_id", "band", F.xxhash64("term").alias("h"), F.expr(imatch.subsets("term")).alias("mask")).collect()
+    for r in out.collect():
+        mine = [x for x in rows if x.doc_id == r.doc_id]
+        for found, of in ((r.prints, [x for x in mine if x.band]), (r.every, mine)):
+            expected = []
+            for held in [of, *([x for x in of if x["mask"] >> i & 1] for i in range(imatch.SUBSETS))]:
+                number = 0
+                for x in held:
+                    number ^= x.h & 0xFFFFFFFF
+                expected.append(number - 2**31 if held else None)
+            few = of is not mine and (len(of) < imatch.FEW or len(of) * imatch.FEW_ONE_IN < len(mine))
+            assert found == (None if few else expected)
+    assert {r.doc_id for r in out.collect()} == {*range(60), 98}
