@@ -2,13 +2,16 @@
 
 Tier one: a minimal perfect hash over the vocabulary resolves a pre-token that is a vocabulary entry as a whole.
 Tier two: the bytes of any other pre-token form a linked list, and a heap of neighbouring pairs by rank and position
-merges them. Each worker remembers the ids of chunks between blanks, so a chunk's pre-tokens are looked up once.
+merges them. Each worker remembers the ids of chunks between blanks, so a chunk's pre-tokens are looked up once; a word that
+also stands beside marks is merged once for all of its chunks.
 """
 from __future__ import annotations
 
 import base64
 import heapq
 import re
+from array import array
+from collections import defaultdict
 
 import pyarrow as pa
 import regex
@@ -16,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct chunks whose ids a worker remembers, and the longest that is remembered.
+#: Distinct chunks whose ids a worker remembers, in two halves: those met since the last half was full, and the half before.
+#: The longest that is remembered.
 CACHE_CHUNKS, CACHE_CHARS = 600_000, 64
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 
@@ -78,39 +82,70 @@ class Codec:
         self.rank = dict(zip(self.words, self.ids))
         self.by_id = dict(zip(self.ids, self.words))
         self.hash = PerfectHash(self.words)
+        #: For each entry, what gives the entry that it forms with the next, or -1; for each byte, what it forms with each byte.
+        after: dict[int, dict[int, int]] = {}
+        for w, r in self.rank.items():
+            for i in range(1, len(w)):
+                if w[:i] in self.rank and w[i:] in self.rank:
+                    after.setdefault(self.rank[w[:i]], {})[self.rank[w[i:]]] = r
+        self.forms = defaultdict(lambda none={}.get: none, {a: x.get for a, x in after.items()})
+        self.two = [[self.rank.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
+        self.byte = [self.rank.get(bytes([i]), -1) for i in range(256)]
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pre_token(self, piece: bytes) -> bytes:
         """Packed ids of one pre-token."""
         at = self.hash.find(piece)
         if self.words[at] == piece:
             return self.packed[at]
-        return b"".join(self.rank[x].to_bytes(4, "little") for x in self.merge(piece))
+        return array("I", self.merge(piece)).tobytes()
 
-    def merge(self, piece: bytes) -> list[bytes]:
+    def merge(self, piece: bytes) -> list[int]:
         """Merges the pair of lowest rank, the leftmost of equal ones, until no neighbours form an entry."""
-        n, rank = len(piece), self.rank
-        part: list[bytes | None] = [piece[i: i + 1] for i in range(n)]
+        n, forms, two, push, pop = len(piece), self.forms, self.two, heapq.heappush, heapq.heappop
+        part = list(map(self.byte.__getitem__, piece))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, part[i] + part[i + 1]) for i in range(n - 1) if (r := rank.get(part[i] + part[i + 1])) is not None]
+        # what each part forms with the next; a heap's entry that says otherwise is out of date
+        pair = [two[a][b] for a, b in zip(piece, piece[1:])]
+        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
+        pair.append(-1)
         heapq.heapify(heap)
         while heap:
-            _, i, both = heapq.heappop(heap)
-            if part[i] is None or (j := after[i]) >= n or part[i] + part[j] != both:
+            x = pop(heap)
+            r = x // n
+            i = x - r * n
+            if pair[i] != r:
                 continue
-            part[i], part[j], after[i] = both, None, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := rank.get(x := both + part[after[i]])) is not None:
-                    heapq.heappush(heap, (r, i, x))
-            if (k := before[i]) >= 0 and (r := rank.get(x := part[k] + both)) is not None:
-                heapq.heappush(heap, (r, k, x))
-        return [x for x in part if x is not None]
+            j = after[i]
+            part[i], part[j], pair[j] = r, -1, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                pair[i] = x = forms[r](part[k], -1)
+                if x >= 0:
+                    push(heap, x * n + i)
+            else:
+                pair[i] = -1
+            k = before[i]
+            if k >= 0:
+                pair[k] = x = forms[part[k]](r, -1)
+                if x >= 0:
+                    push(heap, x * n + k)
+        return [x for x in part if x >= 0]
 
     def plain(self, text: str) -> bytes:
-        return b"".join([self.pre_token(x.encode()) for x in self.split(text)])
+        return b"".join([self.word(x[1:]) if x[0] == " " and x[1:].isalpha() else self.pre_token(x.encode()) for x in self.split(text)])
+
+    def word(self, letters: str) -> bytes:
+        """Packed ids of a blank and letters, which are one pre-token and the same as the chunk of those letters."""
+        if (ids := self.known.get(letters)) is None:
+            if (ids := self.older.get(letters)) is None:
+                ids = self.pre_token(b" " + letters.encode())
+            if len(letters) <= CACHE_CHARS:
+                self.known[letters] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Packed ids. A single blank or line break between other characters always begins a pre-token, so the text
@@ -120,17 +155,20 @@ class Codec:
         first, *chunks = text.replace("\n", " \n").split(" ")
         found = list(map(self.known.get, chunks))
         if None in found:
-            if len(self.known) > CACHE_CHUNKS:
-                self.known.clear()
             new: dict[str, bytes] = {}
             for i, x in enumerate(found):
                 if x is None:
                     c = chunks[i]
                     if (ids := new.get(c)) is None:
-                        ids = new[c] = self.plain(c if c[0] == "\n" else " " + c)
+                        if (ids := self.older.get(c)) is None:
+                            ids = self.word(c) if c.isascii() and c.isalpha() else self.plain(c if c[0] == "\n" else " " + c)
+                        new[c] = ids
                     found[i] = ids
             self.known.update((c, x) for c, x in new.items() if len(c) <= CACHE_CHARS)
-        return self.plain(first) + b"".join(found)
+        out = self.plain(first) + b"".join(found)
+        if len(self.known) > CACHE_CHUNKS // 2:
+            self.older, self.known = self.known, {}
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.by_id.__getitem__, memoryview(ids).cast("I").tolist() if ids else ()))

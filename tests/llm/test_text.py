@@ -105,6 +105,25 @@ def test_bpe_random(tik, codec):
         assert codec.decode(ids) == s.encode()
 
 
+def test_bpe_word_beside_marks_is_merged_once(tik, monkeypatch):
+    own, seen = bpe.Codec(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN), []
+    merge = own.merge
+    monkeypatch.setattr(own, "merge", lambda piece: seen.append(piece) or merge(piece))
+    text = "A thtionblend, thtionblend. thtionblend (thtionblend) thtionblend&&& thtionblend"
+    assert list(memoryview(own.encode(text)).cast("I")) == tik.encode_ordinary(text)
+    assert seen.count(b" thtionblend") == 1
+
+
+def test_bpe_forgets_half(tik, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 40)
+    own = bpe.Codec(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
+    random.seed(2)
+    for _ in range(300):
+        text = " ".join(random.choice("thtion ble naux queé X9 end, (a)".split()) * random.randint(1, 4) for _ in range(9))
+        assert list(memoryview(own.encode(text)).cast("I")) == tik.encode_ordinary(text)
+        assert len(own.known) <= 20 and len(own.older) <= 40
+
+
 def test_bpe_columns(edge, tik):
     out = bpe.decode(bpe.encode(edge, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert set(out.columns) == {"doc_id", "text", "length", "ids", "decoded"}
