@@ -6,7 +6,6 @@ share a bucket, and each piece is one sequence, so no sequence crosses documents
 """
 from __future__ import annotations
 
-import json
 import os
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import documents, released, slices
+from quillon.llm.common import documents, give_back, released, slices
 
 #: Distinct chunks, and ids of them, that a worker remembers from one step to the next; bytes of text that one step takes, but for a longer text.
 CACHE_CHUNKS, CACHE_IDS, STEP_BYTES = 150_000, 1_500_000, 2_000_000
@@ -30,15 +29,16 @@ class ChunkEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        # the same merges without normalizer and patterns, for words that need neither
-        plain = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
-        suffix = plain["model"]["end_of_word_suffix"]
-        self.words = Tokenizer.from_str(json.dumps(plain))
+        # the same merges without normalizer and patterns, for words that need neither; the model is held once
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        suffix = self.tokenizer.model.end_of_word_suffix
         #: Which ids end a word, and the character that stands for each byte in the vocabulary.
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends_word[[i for t, i in plain["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.ends_word[[i for t, i in self.words.get_vocab().items() if t.endswith(suffix)]] = True
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.of_byte = dict(zip([*printed, *(x for x in range(256) if x not in printed and x != 32)], [*printed, *range(256, 288), *range(289, 324)]))
         self.clear()
@@ -117,6 +117,7 @@ def encoder(path: str) -> ChunkEncoder:
     """One encoder for each worker process and vocabulary."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+        give_back()  # what reading the vocabulary took
     return _ENCODERS[path]
 
 

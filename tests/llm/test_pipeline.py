@@ -1,7 +1,10 @@
 """The pipeline's stages, each on what its predecessor kept, against brute force."""
 import struct
+import subprocess
+import sys
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +56,28 @@ def test_packed_ids(steps):
     assert ids == {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in texts.items()}
 
 
+def test_stages_bound_arrow_batches(spark, sf_dir):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 9000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 400).alias("text"))
+    old = spark.conf.get(key)
+    try:
+        for held, most in (("64m", 2001), ("67108864b", 2001), ("1m", 525), ("200kb", 105)):
+            spark.conf.set(key, held)
+            corpus_pipeline.pack_sequences(spark, rows, sf_dir)
+            assert 50 < max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) <= most
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_encoder_holds_its_model_once():
+    """Reading the vocabulary a second time took 30 MB of each worker."""
+    code = "import resource, sys; from quillon.llm import packing; now = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; a = now(); packing.encoder(sys.argv[1]); print((now() - a) / 1024)"
+    assert float(subprocess.run([sys.executable, "-c", code, P.path("word_bpe_49k.json")], capture_output=True, text=True, check=True).stdout) < 54
+
+
 def test_hard_rows(spark, sf_dir):
     """Null ids and texts, very long ones, repeated rows, clashing names and an empty table, through every stage."""
     names = ["doc_id", "text", "score", "keep", "_node", "kept", "n_bytes", "_h", "label", "block", "ids", "length"]
