@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct word shingles. Three stages, all without loss:
 
 1. Shingles that occur again and again are counted over the whole corpus. All shingles are put into one order, the rarest first.
-2. Routing. Of two sets of similarity t, one of the first ``n - ceil(t n) + 1`` shingles of the larger in that order, its keys, is among the first
+2. Routing. Of equal sets one is routed. Of two sets of similarity t, one of the first ``n - ceil(t n) + 1`` shingles of the larger in that order, its keys, is among the first
    ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller, those by which it is found. Where few documents have a key, all their pairs are counted over the keys, and those with too few keys in
    common for the threshold are dropped. Where many have it, documents meet only those of allowed sizes that are found by it. So texts of a template, which have their own words as first
    keys, do not meet unless those are so few that they may link. What is left is joined into blocks: each pair that may link lies in one.
@@ -22,14 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, fresh, only_ids, released, save, slices, small
+from quillon.llm.common import BROADCAST_IDS, connected_components, fresh, only_ids, released, save, slices, small
 
 #: Words whose hashes a worker remembers; keys that are combined, and shingles that are counted, before they leave a task.
 CACHE_WORDS, COMBINE_KEYS, COUNT_HASHES = 200_000, 700_000, 2_000_000
 #: Rows of a batch that goes from a task's Python to Spark.
 SKETCH_ROWS = 50_000
-#: Documents of a key up to which their pairs are counted.
-MANY = 32
+#: Documents of a key in one task from which on those of a size class are joined there; documents of a key in all up to which their pairs are counted. Above that, keys bring together
+#: what they have in common by chance, which at millions of documents connects most long ones.
+MANY, COUNTED = 32, 128
 #: Shingles that are ordered by their frequency at most, and the least count that makes one frequent.
 FREQUENT, LEAST_COUNT = 1_000_000, 2
 #: A chunk's documents and hashes of shingles at most (a single larger set is a chunk's own size).
@@ -166,20 +167,21 @@ KEY, HOT, MET, EQUAL, SIZE = range(5)
 def _sketch(k: int, num: int, den: int, frequent):
     """Rows ``(kind, a, b, n, other, found)``. KEY (key, id, set size, keys of this id that many have) and HOT (key, id, set size), the latter for a key that more than ``MANY`` documents of a
     task have, ``found`` if the key is one by which the id is found; of those of one key and size class that has such a row, only the first has one, and MET (id, id) joins the others to it. EQUAL
-    (id, id) for equal sets within a task, of which only the first gets keys; SIZE (id, set size)."""
-    names = ["kind", "a", "b", "n", "other", "found"]
+    (id, id) for equal sets within a task, of which only the first gets keys; SIZE (id, set size), with a digest (``d``, ``e``) if the set gets keys."""
+    names = ["kind", "a", "b", "n", "other", "found", "d", "e"]
 
     def run(batches):
         shingle, order = Shingler(k), frequent.value
         keys, owners, sizes, total = [], [], [], 0
         seen: dict[bytes, int] = {}
 
-        def batches_of(kind, a, b, n=None, other=None, found=None):
+        def batches_of(kind, a, b, n=None, other=None, found=None, digest=None):
             none = np.zeros(len(a), np.int32)
+            digest = digest or [pa.nulls(len(a), pa.int64())] * 2
             n, other, found = (none if n is None else n), (none if other is None else other), (none > 0 if found is None else found)
             for i in range(0, max(1, len(a)), SKETCH_ROWS):  # in small batches, which need little memory on both sides
                 x = slice(i, i + SKETCH_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[x]), kind, np.int8)), pa.array(a[x], pa.int64()), pa.array(b[x], pa.int64()), pa.array(n[x], pa.int32()), pa.array(other[x], pa.int32()), pa.array(found[x], pa.bool_())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[x]), kind, np.int8)), pa.array(a[x], pa.int64()), pa.array(b[x], pa.int64()), pa.array(n[x], pa.int32()), pa.array(other[x], pa.int32()), pa.array(found[x], pa.bool_()), *(c[x] for c in digest)], names)
 
         def combined():
             count = np.fromiter(map(len, keys), np.int64, len(keys))
@@ -202,16 +204,18 @@ def _sketch(k: int, num: int, den: int, frequent):
             yield from batches_of(MET, ids[pairs[:, 0]], ids[pairs[:, 1]])
 
         for batch in batches:
-            ids, every, same = batch.column(0).to_pylist(), [], []
+            ids, every, same, digests = batch.column(0).to_pylist(), [], [], []
             for doc, text in zip(ids, batch.column(1)):
                 s = shingle(text.as_py() or "")
                 every.append(len(s))
+                digests.append(None)
                 if doc is None or not len(s):
                     continue
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 if (other := seen.setdefault(digest, doc)) != doc:
                     same.append((other, doc))
                     continue
+                digests[-1] = digest
                 keys.append(prefix_keys(s, order, num, den))
                 owners.append(doc)
                 sizes.append(len(s))
@@ -219,23 +223,37 @@ def _sketch(k: int, num: int, den: int, frequent):
                 if total > COMBINE_KEYS:
                     yield from combined()
                     keys, owners, sizes, total, seen = [], [], [], 0, {}
-            yield from batches_of(SIZE, ids, every)
+            yield from batches_of(SIZE, ids, every, digest=[pa.array([x and int.from_bytes(x[y], "little", signed=True) for x in digests], pa.int64()) for y in (slice(8), slice(8, 16))])
             yield from batches_of(EQUAL, [x for x, _ in same], [x for _, x in same])
         if keys:
             yield from combined()
 
-    return run, "kind byte, a long, b long, n int, other int, found boolean"
+    return run, "kind byte, a long, b long, n int, other int, found boolean, d long, e long"
 
 
-def _met(sketch: DataFrame, num: int, den: int) -> DataFrame:
+def _equal(sketch: DataFrame) -> DataFrame:
+    """``(a, b)``: of equal sets of several tasks, the smallest id with each other one. Ids with several sets are left out, since their rows of keys do not tell of which set they are."""
+    sets = sketch.where((F.col("kind") == SIZE) & F.col("d").isNotNull()).groupBy("a").agg(F.first("d").alias("d"), F.first("e").alias("e"), F.count(F.lit(1)).alias("n"))
+    sets = save(sets.where("n = 1").select("a", "d", "e"), "sets")
+    several = sets.groupBy("d", "e").agg(F.min("a").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "e", "least")
+    return save(sets.join(small(save(several, "several")), ["d", "e"]).where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b")), "equal")
+
+
+def _met(sketch: DataFrame, equal: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)`` that bring together all that may link: at a frequent key, the first document of those found by it in a size class with the
     others of this class and the next; and pairs of rare keys that may have enough keys in common.
 
     Of two sets with c common keys, the one whose keys end first in the common order has ``ceil(t n) - 1`` shingles behind them. So the overlap is at
     most c and the larger of these two numbers, and it has to be ``t / (1 + t)`` of the sum of the sizes. Keys that many have are not compared, and all count as common.
+
+    Of ``equal`` sets, the first has these keys alone. HOT rows stay, as they stand for other sets of their task.
     """
     keys = sketch.where(F.col("kind").isin(KEY, HOT)).select("kind", "a", "b", "n", "other", "found")
-    many = small(save(keys.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.max("kind").alias("k")).where((F.col("c") > MANY) | (F.col("k") == HOT)).select("a"), "many"))
+    copies = equal.select(F.col("b").alias("copy"))
+    side = small(copies, BROADCAST_IDS)
+    keys = keys.join(side, (F.col("b") == F.col("copy")) & (F.col("kind") == KEY), "left_anti")
+    keys = save(keys, "keys") if side is copies else keys  # shuffled once
+    many = small(save(keys.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.max("kind").alias("k")).where((F.col("c") > COUNTED) | (F.col("k") == HOT)).select("a"), "many"))
     hot = save(keys.join(many, "a", "left_semi"), "hot")
     base = F.floor(F.log("n") / float(np.log(den / num)) + 1e-9) if num < den else F.col("n").cast("long")
     heads = hot.where("found").groupBy("a", base.alias("class")).agg(F.min("b").alias("head"))
@@ -244,8 +262,9 @@ def _met(sketch: DataFrame, num: int, den: int) -> DataFrame:
     lost = hot.where(F.col("kind") == KEY).groupBy(F.col("b").alias("_b")).agg(F.count(F.lit(1)).cast("int").alias("more"))
     rare = keys.where(F.col("kind") == KEY).join(many, "a", "left_anti").join(small(save(lost, "lost")), F.col("b") == F.col("_b"), "left")
     lists = rare.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "n", (F.col("other") + F.coalesce("more", F.lit(0))).alias("h")))).alias("l")).where("size(l) > 1")
-    pairs = lists.select(F.expr("inline(flatten(transform(sequence(1, size(l) - 1), i -> transform(slice(l, i + 1, size(l)), y -> struct(l[i - 1] as x, y as y)))))"))
-    pairs = pairs.where(f"x.b < y.b and least(x.n, y.n) * {den}L >= greatest(x.n, y.n) * {num}L").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    may = f"l[i - 1].b < y.b and least(l[i - 1].n, y.n) * {den}L >= greatest(l[i - 1].n, y.n) * {num}L"
+    pairs = lists.select(F.expr(f"inline(flatten(transform(sequence(1, size(l) - 1), i -> transform(filter(slice(l, i + 1, size(l)), y -> {may}), y -> struct(l[i - 1] as x, y as y)))))"))
+    pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
     up = lambda x, d: f"floor((({x}) * {num}L + {d - 1}) / {d})"
     enough = f"c + least(x.h, y.h) >= {up('x.n + y.n', num + den)} - greatest({up('x.n', den)}, {up('y.n', den)}) + 1"
     return frequent.union(pairs.where(enough).select("x.b", "y.b"))
@@ -368,6 +387,17 @@ def _edge_batches(pairs):
     yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
+def _hashing(k: int):
+    """Batches whose last column, the text, becomes the hashes of its set; texts without words are left out."""
+    def run(batches):
+        shingle = Shingler(k)
+        for part in (p for b in batches for p in slices(b, b.num_columns - 1)):
+            hashes = pa.array([shingle(x.as_py() or "").tobytes() or None for x in part.column(part.num_columns - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], hashes], [*part.schema.names[:-1], "hashes"]).filter(hashes.is_valid())
+
+    return run
+
+
 def _within(num: int, den: int):
     """Connecting links within each chunk: ``(block, chunk, id, hashes)`` in, ``(a, b)`` out."""
     def found(rows):
@@ -427,15 +457,20 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     Ties do not arise: the result does not depend on the order of rows. An empty table gives an empty result.
 
     Shuffled are: counts of shingles that repeat; the key shingles (one in ten at t = 0.9, one in five at 0.8), after equal keys
-    and equal sets of a task are combined; edges; and the hashes of documents that share a key with another. Texts of any
-    length are taken whole. Equality of shingles is that of 64-bit hashes.
+    and equal sets of a task are combined; digests; edges; and the texts that may link with another, the first of equal ones. Texts of any
+    length are taken whole. Equality of shingles is that of 64-bit hashes, of sets that of 128-bit ones.
     """
-    sketch, members = _routed(docs, k, num, den)
-    sizes, equal = (sketch.where(F.col("kind") == x).select(F.col("a").alias(a), F.col("b").alias(b)) for x, a, b in ((SIZE, "doc_id", "n_shingles"), (EQUAL, "a", "b")))
-    heads = members.where("chunks > 1 and doc_id = block").withColumn("chunk", _upto("chunks"))
-    chunked = members.unionByName(heads).select("block", "chunk", "doc_id", "hashes")
-    near = save(chunked.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(released(_within(num, den)), "a long, b long"), "links")
-    near = near.union(_apart(members, near, num, den)).union(equal)
+    (sizes, equal), members = _routed(docs, k, num, den)
+    hashing, within = _hashing(k), _within(num, den)
+    single = members.where("chunks = 1").select("block", F.lit(0).alias("chunk"), "doc_id", "text")  # texts take less of the shuffle than their hashes
+    near = save(single.repartition("block").sortWithinPartitions("block").mapInArrow(released(lambda batches: within(hashing(batches))), "a long, b long"), "links")
+    members = _chunked(members.where("chunks > 1"), k)
+    if not members.isEmpty():
+        heads = members.where("doc_id = block").withColumn("chunk", _upto("chunks"))
+        chunked = members.unionByName(heads).select("block", "chunk", "doc_id", "hashes")
+        near = near.union(save(chunked.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(released(within), "a long, b long"), "links"))
+        near = near.union(_apart(members, near, num, den))
+    near = near.union(equal)
     roots = connected_components(near, "a", "b")
     return sizes.join(roots, sizes.doc_id == roots.node, "left").select("doc_id", F.col("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
@@ -444,8 +479,8 @@ def _upto(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
 
-def _routed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The sketch, and ``(doc_id, block, chunks, hashes, chunk)`` of documents that may link with another."""
+def _routed(docs: DataFrame, k: int, num: int, den: int) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
+    """The sizes ``(doc_id, n_shingles)`` and ``(a, b)`` for equal sets, and ``(doc_id, block, chunks, text)`` of documents that may link with another."""
     if not 0 < num <= den:
         raise ValueError("the threshold is not between 0 and 1")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -453,23 +488,23 @@ def _routed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     run, schema = _sketch(k, num, den, frequent)
     sketch = save(texts.mapInArrow(released(run), schema), "sketch")
     frequent.unpersist()
-    met = _met(sketch, num, den).union(sketch.where(F.col("kind") == MET).select("a", "b"))
+    equal = _equal(sketch)
+    met = _met(sketch, equal, num, den).union(sketch.where(F.col("kind") == MET).select("a", "b"))
     blocks = connected_components(met, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
     sizes = sketch.where(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     size = sizes.join(blocks, "doc_id").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("hashes"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("hashes") / CHUNK_HASHES)).cast("long")
     large = save(size.select("block", chunks.alias("chunks")).where("chunks > 1"), "large")
     blocks = blocks.join(small(large), "block", "left").select("doc_id", "block", F.coalesce("chunks", F.lit(1).cast("long")).alias("chunks"))
-    blocks = save(blocks, "blocks")
+    # block numbers go to the texts where their count allows it, so that texts are not shuffled for this join
+    members = texts.join(small(save(blocks, "blocks")), "doc_id").select("doc_id", "block", "chunks", "text")
+    return (sizes, equal.union(sketch.where(F.col("kind") == EQUAL).select("a", "b"))), members
 
-    def hashes(batches):
-        shingle = Shingler(k)
-        for part in (p for b in batches for p in slices(b, 3)):
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([shingle(x.as_py() or "").tobytes() for x in part.column(3)], pa.binary())], ["doc_id", "block", "chunks", "hashes"])
 
-    # block numbers go to the texts where their count allows it, so that texts and hashes are not shuffled for this join
-    sets = texts.join(small(blocks), "doc_id").select("doc_id", "block", "chunks", "text").mapInArrow(released(hashes), "doc_id long, block long, chunks long, hashes binary").where(F.octet_length("hashes") > 0)
-    return sketch, save(sets.withColumn("chunk", F.pmod(F.xxhash64("hashes"), F.col("chunks"))), "members")  # equal sets meet in a chunk
+def _chunked(members: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, block, chunks, hashes, chunk)``: the members with their sets, dealt out over the chunks of their blocks."""
+    sets = members.mapInArrow(released(_hashing(k)), "doc_id long, block long, chunks long, hashes binary")
+    return save(sets.withColumn("chunk", F.pmod(F.xxhash64("hashes"), F.col("chunks"))), "members")  # equal sets meet in a chunk
 
 
 def representatives(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -495,7 +530,7 @@ def linked_pairs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     """
     own = representatives(docs, k).where("doc_id = representative").select("doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    _, members = _routed(only_ids(rows, save(own, "own"), "doc_id"), k, num, den)
+    members = _chunked(_routed(only_ids(rows, save(own, "own"), "doc_id"), k, num, den)[1], k)
     # each chunk meets each of its block once, itself included
     both = members.withColumn("other", _upto("chunks")).withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
     both = both.select("block", "lo", "hi", "chunk", "doc_id", "hashes").repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "chunk")
@@ -532,10 +567,8 @@ def _every(num: int, den: int):
 
 
 def _apart(members: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
-    """Links across the chunks of large blocks, where documents are still apart from their block's main component."""
-    large = members.where("chunks > 1").select("block", "chunks", "doc_id", "chunk")
-    if large.isEmpty():
-        return near.limit(0)
+    """Links across the chunks of large blocks, whose members these are, where documents are still apart from their block's main component."""
+    large = members.select("block", "chunks", "doc_id", "chunk")
     roots = connected_components(only_ids(near.select(F.col("a").alias("doc_id"), "b"), large, "doc_id"), "doc_id", "b")
     labels = large.join(roots, large.doc_id == roots.node, "left").select("block", "chunks", "doc_id", F.coalesce("root", "doc_id").alias("label"))
     main = labels.groupBy("block", "label").count().groupBy("block").agg(F.max_by("label", F.struct("count", "label")).alias("main"))

@@ -145,6 +145,39 @@ def test_template_pages(spark, monkeypatch, many):
     assert sorted(tuple(r) for r in found.collect()) == linked(near, 5, 80, 100)
 
 
+def test_chance_keys_bring_nothing_together(spark, monkeypatch):
+    """Keys that a hundred documents of several tasks have, few of them each, are counted and bring none into a block; near copies among them are found."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)  # no order: keys are the least hashes, whatever has them
+    passage = [f"p{i}" for i in range(24)]
+    page = lambda i, own: (i, " ".join([*passage, *(f"own{own}x{j}" for j in range(176))]))
+    apart = [page(i, i) for i in range(100)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    shingle = jaccard.Shingler(5)
+    none = jaccard.Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    assert set.intersection(*(set(jaccard.prefix_keys(shingle(t), none, 80, 100).tolist()) for _, t in apart))  # keys of all
+    _, members = jaccard._routed(df(apart), 5, 80, 100)
+    assert members.count() == 0
+    rows = apart + [(i, t + " more") for i, (_, t) in enumerate(apart[:9], 500)]
+    _, members = jaccard._routed(df(rows), 5, 80, 100)
+    assert members.count() == 18
+    assert sorted(tuple(r) for r in jaccard.components(df(rows), 5, 80, 100).collect()) == linked(rows, 5, 80, 100)
+
+
+@pytest.mark.parametrize("broadcast", [2_000_000, 3])
+def test_equal_sets_of_several_tasks(spark, monkeypatch, broadcast):
+    """Of equal sets one is routed, whatever tasks they come from; an id with several sets keeps them all."""
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", broadcast)
+    texts = [" ".join(f"w{i}x{j}" for j in range(20 + i)) for i in range(12)]
+    copies = [[(100 * n + i, t.upper() if n % 2 else t) for i, t in enumerate(texts)] for n in range(4)]
+    rows = sum(copies, []) + [(500 + i, t + " z") for i, t in enumerate(texts)] + [(501, texts[4] + " y"), (302, texts[7]), (600, None), (601, "")]
+    df = spark.createDataFrame(copies[0], "doc_id long, text string").coalesce(1)
+    for more in (copies[1], copies[2], copies[3], rows[48:]):
+        df = df.union(spark.createDataFrame(more, "doc_id long, text string").coalesce(1))
+    _, members = jaccard._routed(df.where("doc_id not in (302, 501)"), 5, 80, 100)
+    assert members.count() == 22  # the first of four copies, and the near copy, of each text; that of one text was left out
+    assert sorted(tuple(r) for r in jaccard.components(df, 5, 80, 100).collect()) == linked(rows, 5, 80, 100)
+
+
 def test_frequent_shingles_go_last(spark, monkeypatch):
     rows = [(f"common words of every text here {i} {i + 1} {i + 2}",) for i in range(50)]
     frequent = jaccard.frequent_shingles(spark.createDataFrame(rows, "text string").repartition(2), 3)
